@@ -76,9 +76,10 @@ class Layout:
     def __init__(self, spark: SparkSession, n_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> None:
         self.bytes = n_bytes
         self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_bytes // (64 << 20))
-        self.chunks = max(self.parts, 1 + n_bytes // chunk_bytes)
-        #: Of 64-bit keys, the leading bits that name a bucket: about a million keys each.
-        self.bucket_bits = max(4, (self.parts * 2 - 1).bit_length(), (n_bytes >> 23).bit_length())
+        #: Both follow the bytes alone: a chunk sends a row to each bucket, and small inputs in many partitions would send only such rows.
+        self.chunks = max(min(self.parts, 1 + n_bytes // (chunk_bytes // 8)), 1 + n_bytes // chunk_bytes)
+        #: The leading bits of a key that name its bucket.
+        self.bucket_bits = max(4, (n_bytes >> 22).bit_length())
         #: A key of a filter has 14 bits more than a count of all words takes: one in 16,000 is taken for another.
         self.filter_bits = min(64, max(32, (n_bytes // 5).bit_length() + 14))
 
