@@ -188,6 +188,15 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
         yield sorted((r["item_id"], r["text"].encode()) for r in part.collect())
 
 
+def _hits_udf(shared):
+    @F.arrow_udf(_DDL)
+    def hits(column: pa.Array) -> pa.Array:
+        found = [hit for _, t in pieces(column, 1 << 20) for hit in shared.value.hits(t)]
+        return pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hit] for hit in found], pa.list_(HIT))
+
+    return hits
+
+
 def benchmark_hits(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 80, walks: int = 12, samples: int = 2, bits: int = 2, seed: int = 5) -> F.Column:
     """A column of a text column's hits: array of (item_id, start, n_words, edits), by item_id.
 
@@ -201,13 +210,7 @@ def benchmark_hits(benchmark: DataFrame, text: str = "text", item_id: str = "ite
     parts = []
     for block in _blocks(benchmark, item_id, item_text):
         shared = spark.sparkContext.broadcast(Items(block, percent, walks, samples, bits, seed))
-
-        @F.arrow_udf(_DDL)
-        def hits(column: pa.Array, shared=shared) -> pa.Array:
-            found = [hit for _, t in pieces(column, 1 << 20) for hit in shared.value.hits(t)]
-            return pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hit] for hit in found], pa.list_(HIT))
-
-        parts.append(hits(F.col(text).cast("string")))
+        parts.append(_hits_udf(shared)(F.col(text).cast("string")))
     return F.array_sort(F.array_distinct(F.concat(*parts)))
 
 

@@ -49,7 +49,6 @@ def text_counts(t: Texts, window: int = 8) -> dict[str, np.ndarray]:
     return out | rest
 
 
-@F.arrow_udf("struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">")
 def _counts(text: pa.Array) -> pa.Array:
     found = [text_counts(t) for _, t in pieces(text)]
     return pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found]) if found else [], pa.int64()) for c in COUNTS], fields=list(_TYPE))
@@ -57,22 +56,26 @@ def _counts(text: pa.Array) -> pa.Array:
 
 def rule_counts(text: str = "text") -> F.Column:
     """A struct of COUNTS of a text column; of nulls, zeros."""
-    return _counts(F.col(text).cast("string"))
+    return F.arrow_udf(_counts, "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">")(F.col(text).cast("string"))
 
 
 def statistics(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits on: a row of ratios for each text."""
+    """What the forest splits on, a row for each text: by how much each ratio leaves the range that prose usually keeps to.
+
+    Inside its range a ratio says nothing about quality (a short text has few digits, a list has short lines), so it
+    counts as zero there and does not make its text odd.
+    """
     n, chars, lines = (np.maximum(counts[c], 1).astype(float) for c in ("n_words", "word_chars", "n_lines"))
+    over = lambda ratio, most: np.maximum(ratio - most, 0)
     return np.stack(
         [
-            np.minimum(chars / n, 40),
-            counts["n_symbols"] / n,
-            counts["n_dup_lines"] / lines,
-            counts["n_repeat_words"] / n,
-            counts["n_distinct"] / n**0.9,
-            counts["n_upper"] / chars,
-            counts["n_digits"] / chars,
-            counts["n_marks"] / chars,
+            over(np.abs(np.minimum(chars / n, 40) - 5.5), 2.5),
+            over(np.minimum(counts["n_symbols"] / n, 1), 0.02),
+            over(counts["n_dup_lines"] / lines, 0.4),
+            over(1.05, np.minimum(counts["n_distinct"] / n**0.9, 1.05)),
+            over(counts["n_upper"] / chars, 0.2),
+            over(counts["n_digits"] / chars, 0.3),
+            over(counts["n_marks"] / chars, 0.06),
         ],
         axis=1,
     )

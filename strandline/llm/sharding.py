@@ -49,9 +49,10 @@ def shard(docs: DataFrame, limit_bytes: int, doc_id: str = "doc_id", text: str =
     keyed = docs.select(key.alias("key"), size.alias("size"))
     sizes = staged(keyed.groupBy("key").agg(F.sum("size").alias("n_bytes"), F.count("*").alias("n"), F.max("size").alias("largest")))
 
-    directory = None
+    directory, rounds = None, 0
     open_ = sizes.withColumn("node", F.lit(0).cast("long"))
     for k in range(ROUNDS):
+        rounds = k + 1
         cells = open_.withColumn("cell", _word("key", k * ROUND, ROUND)).groupBy("node", "cell").agg(F.sum("n_bytes").alias("n_bytes"))
         leaves = staged(_leaves(cells, k * ROUND, limit_bytes).withColumn("round", F.lit(k)))
         found = leaves.where("depth IS NOT NULL")
@@ -65,7 +66,6 @@ def shard(docs: DataFrame, limit_bytes: int, doc_id: str = "doc_id", text: str =
             directory = directory.unionAll(last.select(*directory.columns))
         open_ = staged(below.select("key", "n_bytes", "n", "largest", F.shiftright("key", 60 - (k + 1) * ROUND).alias("node")))
 
-    rounds = directory.select("round").distinct().count()
     rows = docs.select(key.alias("key"), size.alias("size"), body)
     placed = _placed(rows, directory, rounds)
     out = placed.where(~((F.col("depth") == 60) & (F.col("leaf_bytes") > limit_bytes))).withColumn("part", F.lit(0)).withColumn("bytes", F.col("leaf_bytes"))
