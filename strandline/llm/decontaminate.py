@@ -4,8 +4,8 @@ The CGK embedding (Chakraborty, Goldenberg and Koucky, 2016) walks over a string
 under its pointer and moves on or not, as a random function of step and word says.  Strings a few edits apart become
 outputs that agree in most places, so that sampled places are a locality-sensitive key.  Windows as long as a class of
 items are embedded by several walks; windows and items that agree on a key of any walk are compared exactly.  Windows that
-can't be near any item, because too few of their word pairs occur in the items at all (each edit destroys two), are
-not walked.
+can't be near any item, because too few of their runs of two or three words occur in the items at all (an edit destroys two
+or three of them), are not walked.
 """
 
 from __future__ import annotations
@@ -54,113 +54,143 @@ class Items:
 
     def __init__(self, items: list[tuple[int, bytes]], percent: int, walks: int, samples: int, bits: int, seed: int) -> None:
         self.percent, self.walks, self.samples, self.bits = percent, walks, samples, bits
-        self.seeds = np.random.default_rng(seed).integers(0, 1 << 63, (walks, 4), dtype=np.uint64)
-        texts = Texts(np.frombuffer(b"\n".join(t for _, t in items), np.uint8), np.cumsum([0, *(len(t) + 1 for _, t in items)]).clip(0, sum(len(t) + 1 for _, t in items) - 1 if items else 0))
+        self.seeds = np.random.default_rng(seed).integers(0, 1 << 63, (walks, 3), dtype=np.uint64)
+        sizes = np.cumsum([0, *(len(t) + 1 for _, t in items)])
+        texts = Texts(np.frombuffer(b"".join(t + b"\n" for _, t in items), np.uint8), sizes)
         starts, stops, firsts = texts.words()
         hashes = texts.word_hashes(starts, stops, lower=True)
-        self.ids, self.words, own = [], [], []
+        self.ids, self.words, self.hashes = [], [], []
         for k, (item_id, text) in enumerate(items):
-            words = _lower(text).split()
-            if words:
+            if words := _lower(text).split():
                 self.ids.append(item_id)
                 self.words.append(words)
-                own.append(hashes[firsts[k] : firsts[k + 1]])
-        self.pairs, self.single = np.zeros(1 << _TABLE, bool), np.zeros(1 << _TABLE, bool)
-        for h in own:
-            self.single[_slot(h)] = True
-            self.pairs[_slot(_pair(h[:-1], h[1:]))] = True
-        # classes of items of like length: (least length, rows of items)
-        classes = defaultdict(list)
+                self.hashes.append(hashes[firsts[k] : firsts[k + 1]])
+        self.listed = [h.tolist() for h in self.hashes]
+        self.single, self.pairs, self.triples = (np.zeros(1 << _TABLE, bool) for _ in range(3))
+        for h in self.hashes:
+            for n, table in enumerate((self.single, self.pairs, self.triples), 1):
+                if len(h) >= n:
+                    table[_slot(_run(h, n))] = True
+        # classes of items of like length: least length, most edits, and for each table its sorted keys with their items
+        by_length = defaultdict(list)
         for k, w in enumerate(self.words):
-            classes[_class(len(w))].append(k)
+            by_length[_class(len(w))].append(k)
         self.classes = []
-        for members in classes.values():
+        for members in by_length.values():
             length = min(len(self.words[k]) for k in members)
             most = max(self.edits(len(self.words[k])) for k in members)
-            tables = defaultdict(list)
-            for k in members:
-                padded, stop = own[k], np.array([min(len(own[k]), length)])
-                for number, keys in enumerate(self.keys(padded, np.array([0]), stop, length)):
-                    tables[(number, int(keys[0]))].append(k)
-            self.classes.append((length, most, [np.array(sorted({key for n, key in tables if n == number}), _U) for number in range(walks * samples)], dict(tables)))
+            rows = np.stack([self.hashes[k][:length] for k in members])
+            tables = []
+            for keys in self.keys(rows, np.full(len(members), length)):
+                owners = defaultdict(list)
+                for key, k in zip(keys.tolist(), members, strict=True):
+                    owners[key].append(k)
+                tables.append((np.array(sorted(owners), _U), dict(owners)))
+            self.classes.append((length, most, tables))
 
     def edits(self, n: int) -> int:
         """Edits that an item of n words may have: at most (100 - percent) % of its words."""
         return (100 - self.percent) * n // 100
 
-    def keys(self, hashes: np.ndarray, start: np.ndarray, stop: np.ndarray, length: int):
-        """For each walk and sample the keys of the windows [start, stop) of word hashes, over `length` words at most."""
-        stop = np.minimum(stop, start + length)
+    def keys(self, rows: np.ndarray, stop: np.ndarray):
+        """For each walk and sample the keys of windows: a row of word hashes each, of which the first `stop` are text."""
+        n, length = rows.shape
         steps = max(1, 2 * length)
-        padded = np.append(hashes, _U(0x1234567890ABCDEF))
+        every = np.arange(n)
         for walk in range(self.walks):
-            a, b, c, d = self.seeds[walk]
+            a, b, c = self.seeds[walk]
             rng = np.random.default_rng([int(a & _U(0xFFFFFFFF)), length])
-            picks = [np.sort(rng.choice(steps, min(self.bits, steps), replace=False)) for _ in range(self.samples)]
-            last = max(p[-1] for p in picks)
-            out = [np.full(len(start), c, _U) for _ in picks]
-            at = start.copy()
-            coin = mix(hashes ^ a)
-            for step in range(last + 1):
+            picks = [set(rng.choice(steps, min(self.bits, steps), replace=False).tolist()) for _ in range(self.samples)]
+            out = [np.full(n, c, _U) for _ in picks]
+            at = np.zeros(n, np.int64)
+            coin = mix(rows ^ a)
+            for step in range(max(map(max, picks)) + 1):
                 inside = at < stop
-                here = np.where(inside, at, len(hashes))
+                here = np.minimum(at, length - 1)
                 for k, p in enumerate(picks):
                     if step in p:
-                        out[k] = mix(out[k] * _U(0x9E3779B97F4A7C15) + padded[here] + _U(step))
-                if step % 64 == 63:
+                        seen = np.where(inside, rows[every, here], _U(0x1234567890ABCDEF))
+                        out[k] = mix(out[k] * _U(0x9E3779B97F4A7C15) + seen + _U(step))
+                if step and step % 64 == 0:
                     coin = mix(coin + b)
-                at = at + (inside & ((coin[np.minimum(here, max(len(hashes) - 1, 0))] >> _U(step % 64)) & _U(1)).astype(bool))
+                at += inside & ((coin[every, here] >> _U(step % 64)) & _U(1)).astype(bool)
             yield from out
 
-    def hits(self, t: Texts) -> list[list[tuple[int, int, int, int]]]:
-        """For each text its items: (item, start, number of words, edits), one for each item."""
-        starts, stops, firsts = t.words()
-        out: list[list] = [[] for _ in range(t.n)]
-        n = len(starts)
-        if not n:
-            return out
-        h = t.word_hashes(starts, stops, lower=True)
-        text_of = np.repeat(np.arange(t.n), np.diff(firsts))
-        end = firsts[1:][text_of]
-        single = self.single[_slot(h)]
-        pair = np.zeros(n, bool)
-        pair[:-1] = self.pairs[_slot(_pair(h[:-1], h[1:]))] & (text_of[:-1] == text_of[1:])
-        found = np.concatenate([[0], np.cumsum(pair)])
-        maybe: dict[tuple[int, int], list[int]] = defaultdict(list)
-        for length, most, keys, tables in self.classes:
-            stop = np.minimum(np.arange(n) + length, end)
-            need = length - 1 - 2 * most if length > 1 else 0
-            at = np.flatnonzero(single & (found[np.maximum(stop - 1, np.arange(n))] - found[:-1] >= need) & (stop - np.arange(n) >= length - most))
-            if not len(at):
+    def hits(self, parts: list[Texts]) -> list[list[tuple[int, int, int, int]]]:
+        """For each text of all parts its items: (item, start, number of words, edits), one for each item."""
+        out: list[list] = []
+        near = [[] for _ in self.classes]  # for each class: part, first words and rows of windows
+        words = []
+        for t in parts:
+            starts, stops, firsts = t.words()
+            h = t.word_hashes(starts, stops, lower=True)
+            words.append((t, starts, stops, firsts, h, len(out)))
+            out += [[] for _ in range(t.n)]
+            if not len(h):
                 continue
-            for number, got in enumerate(self.keys(h, at, stop[at], length)):
-                known = keys[number]
-                place = np.minimum(np.searchsorted(known, got), len(known) - 1)
-                for j in np.flatnonzero(known[place] == got):
-                    for item in tables[(number, int(got[j]))]:
-                        maybe[(int(text_of[at[j]]), item)].append(int(at[j]))
-        for (text, item), places in sorted(maybe.items()):
-            words, most = self.words[item], self.edits(len(self.words[item]))
-            best, reach = None, -1
-            low = int(firsts[text])
-            for p in sorted(set(places)):
-                if p < reach:
-                    continue
-                # windows that start close together are compared in one go
-                group_stop = p
-                for q in sorted(set(places)):
-                    if group_stop < q <= group_stop + len(words):
-                        group_stop = q
-                a, b = max(low, p - most), min(int(firsts[text + 1]), group_stop + len(words) + 2 * most)
-                given = [_lower(t.data[starts[k] : stops[k]].tobytes()) for k in range(a, b)]
-                got = near_segment(words, given, most)
-                reach = group_stop + 1
-                if got and (best is None or got[2] < best[3]):
-                    best = (self.ids[item], a - low + got[0], got[1] - got[0], got[2])
-            if best:
-                out[text].append(best)
+            text_of = np.repeat(np.arange(t.n), np.diff(firsts))
+            end = firsts[1:][text_of]
+            single = self.single[_slot(h)]
+            runs = []  # up to each word, how many runs of two and of three words occur in the items
+            for n, table in ((2, self.pairs), (3, self.triples)):
+                hit = np.zeros(len(h), bool)
+                if len(h) >= n:
+                    hit[: 1 - n] = table[_slot(_run(h, n))] & (text_of[: 1 - n] == text_of[n - 1 :])
+                runs.append(np.concatenate([[0], np.cumsum(hit)]))
+            may = np.flatnonzero(single)
+            room = end[may] - may
+            for k, (length, most, _) in enumerate(self.classes):
+                ok = room >= length - most
+                at = may[ok]
+                stop = at + np.minimum(room[ok], length)
+                for n, found in zip((2, 3), runs, strict=True):
+                    # an edit destroys n runs of n words
+                    need = length - n + 1 - n * most
+                    if need > 0:
+                        ok = found[np.maximum(stop - n + 1, at)] - found[at] >= need
+                        at, stop = at[ok], stop[ok]
+                if len(at):
+                    rows = h[np.minimum(at[:, None] + np.arange(length), len(h) - 1)]
+                    near[k].append((len(words) - 1, at, stop - at, rows))
+        maybe: dict[tuple[int, int, int], set[int]] = defaultdict(set)
+        for (length, _, tables), windows in zip(self.classes, near, strict=True):
+            if not windows:
+                continue
+            part = np.concatenate([np.full(len(w[1]), w[0]) for w in windows])
+            at, stop, rows = (np.concatenate([w[j] for w in windows]) for j in (1, 2, 3))
+            for a in range(0, len(at), 1 << 16):
+                cut = slice(a, a + (1 << 16))
+                for got, (known, owners) in zip(self.keys(rows[cut], stop[cut]), tables, strict=True):
+                    hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, got), len(known) - 1)] == got)
+                    for j in hit.tolist():
+                        for item in owners[int(got[j])]:
+                            p = int(part[a + j])
+                            maybe[(p, int(np.searchsorted(words[p][3], at[a + j], "right")) - 1, item)].add(int(at[a + j]))
+        for (p, text, item), places in sorted(maybe.items()):
+            if best := self._best(words[p], text, item, sorted(places)):
+                out[words[p][5] + text].append(best)
         return out
 
+    def _best(self, part: tuple, text: int, item: int, places: list[int]) -> tuple[int, int, int, int] | None:
+        """The segment with the fewest edits around these windows of a text."""
+        t, starts, stops, firsts, h, _ = part
+        words, most = self.words[item], self.edits(len(self.words[item]))
+        low, high = int(firsts[text]), int(firsts[text + 1])
+        best, k = None, 0
+        while k < len(places):  # windows that start close together are compared in one go
+            first = last = places[k]
+            while k < len(places) and places[k] <= last + len(words):
+                last = places[k]
+                k += 1
+            a, b = max(low, first - most), min(high, last + len(words) + 2 * most)
+            around = set(h[a:b].tolist())
+            if sum(map(around.__contains__, self.listed[item])) < len(words) - most:
+                continue
+            got = near_segment(words, [_lower(t.data[starts[j] : stops[j]].tobytes()) for j in range(a, b)], most)
+            if got and (best is None or got[2] < best[3]):
+                best = (self.ids[item], a - low + got[0], got[1] - got[0], got[2])
+        return best
+
 
 def _lower(data: bytes) -> bytes:
     return data.lower()  # of bytes: A-Z only
@@ -170,8 +200,12 @@ def _class(n: int) -> int:
     return n if n < 10 else int(10 + np.log(n / 10) / np.log(1.2))
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(a * _U(0xD1342543DE82EF95) + b)
+def _run(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n words."""
+    out = h[: len(h) - n + 1]
+    for k in range(1, n):
+        out = mix(out * _U(0xD1342543DE82EF95) + h[k : len(h) - n + 1 + k])
+    return out
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -191,7 +225,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
 def _hits_udf(shared):
     @F.arrow_udf(_DDL)
     def hits(column: pa.Array) -> pa.Array:
-        found = [hit for _, t in pieces(column, 1 << 20) for hit in shared.value.hits(t)]
+        found = shared.value.hits([t for _, t in pieces(column, 1 << 20)])
         return pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hit] for hit in found], pa.list_(HIT))
 
     return hits
