@@ -97,14 +97,14 @@ def ruled(g: np.ndarray, b: np.ndarray, rules, method: str, reg: float, options:
     fixed: dict[int, float] = {}
     zeros, offsets, low, high, total = set(), set(), np.full(p, -np.inf), np.full(p, np.inf), None
     for r in rules if rules is not None else ():
-        kind, i = r["kind"], r["feature"]
+        kind, i = r["kind"], int(r["feature"])
         if kind == "fixed":
             if fixed.setdefault(i, r["value"]) != r["value"]:
                 raise ValueError(f"feature {i} has two fixed values")
         elif kind == "zero":
             zeros.add(i)
         elif kind == "offset":
-            offsets.add((i, r["feature2"]))
+            offsets.add((i, int(r["feature2"])))
         elif method == "qp" and kind == "nonneg":
             low[i] = 0.0
         elif method == "qp" and kind == "nonpos":
