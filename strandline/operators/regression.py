@@ -333,3 +333,35 @@ def global_against_sliced(df: DataFrame, idx: str, size: int, stride: int, n_row
     whole = solve(grams(df, keys, x, y), len(x)).select(*keys, "w")
     both = df.join(mean, [*keys, idx]).join(whole, keys).withColumn("_g", sum((F.col(c) * F.col("w")[k] for k, c in enumerate(x)), F.lit(0.0)))
     return both.groupBy(*keys).agg(F.avg((F.col(y) - F.col("_g")) ** 2).alias("global_mse"), F.avg((F.col(y) - F.col("_s")) ** 2).alias("sliced_mse"))
+
+
+def solve_opposite(grams_: DataFrame, pairs: DataFrame, group: str, others: list[str], p: int, reg: float = 1e-6) -> DataFrame:
+    """others, group, w with w of one group = - w of the other, for each pair (a, b) of groups and each of `others`.
+
+    The two outputs share one unknown: their Grams add, with b's xy turned round, and the solution is read with its sign.
+    """
+    signs = pairs.select(F.col("a").alias(group), F.concat_ws("|", "a", "b").alias("_pair"), F.lit(1.0).alias("_sign")).unionAll(pairs.select(F.col("b").alias(group), F.concat_ws("|", "a", "b"), F.lit(-1.0)))
+    both = grams_.join(F.broadcast(signs), group)  # pairs are a configuration
+    both = both.withColumn("xy", F.transform("xy", lambda x: x * F.col("_sign")))
+    solved = solve(_added(both, [*others, "_pair"], p), p, reg=reg).select(*others, "_pair", "w")
+    return both.select(*others, group, "_pair", "_sign").join(solved, [*others, "_pair"]).select(*others, group, F.transform("w", lambda x: x * F.col("_sign")).alias("w"))
+
+
+def window_diagnostics(w: DataFrame, mask: DataFrame, keys: list[str]) -> DataFrame:
+    """window_id, mean, std, spread = std / (|mean| + 1e-8), and the greatest and number (> 1e-6) of weights where the mask is zero."""
+    both = w.join(mask.where("is_zero").select(*keys, F.lit(True).alias("_z")), keys, "left")
+    missed = F.when(F.col("_z"), F.abs("w"))
+    out = both.groupBy("window_id").agg(F.avg("w").alias("mean"), F.stddev_pop("w").alias("std"), F.coalesce(F.max(missed), F.lit(0.0)).alias("worst"), F.count_if(missed > 1e-6).alias("n_missed"))
+    return out.withColumn("spread", F.col("std") / (F.abs("mean") + 1e-8))
+
+
+def fit_report(scores: DataFrame, group: str, item: str, items: list[str]) -> dict[str, DataFrame]:
+    """Four tables for sources.write_report: summary, by_window, by_country, and mean R2 as a matrix of groups and items."""
+    matrix = scores.groupBy(group).pivot(item, items).agg(F.avg("r2"))
+    return {"summary": roll_up(scores, []), "by_window": roll_up(scores, ["window_id"]), "by_country": roll_up(scores, [group]), "matrix": matrix}
+
+
+def predict(df: DataFrame, fit: DataFrame, x: list[str]) -> DataFrame:
+    """df with pred = intercept + x . w of the chosen row of asymmetric_ridge()."""
+    chosen = fit.where("chosen").select(F.col("intercept").alias("_a"), F.col("w").alias("_w"))
+    return df.crossJoin(F.broadcast(chosen)).withColumn("pred", sum((F.col(c) * F.col("_w")[k] for k, c in enumerate(x)), F.col("_a"))).drop("_a", "_w")

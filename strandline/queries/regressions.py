@@ -310,6 +310,35 @@ def reg_global_against_sliced(spark, d):
     return out.select(*KEYS, rounded("global_mse").alias("global_mse"), rounded("sliced_mse").alias("sliced_mse"))
 
 
+@query(f"""{_WITH}, c AS (SELECT window_id, tenor, sum(g11) + 1e-6 AS g11, sum(g12) AS g12, sum(g22) + 1e-6 AS g22, sum(CASE WHEN country = 'A' THEN b1 ELSE -b1 END) AS b1, sum(CASE WHEN country = 'A' THEN b2 ELSE -b2 END) AS b2 FROM g WHERE country IN ('A', 'N') GROUP BY ALL),
+u AS (SELECT window_id, tenor, (g22 * b1 - g12 * b2) / (g11 * g22 - g12 * g12) AS w1, (g11 * b2 - g12 * b1) / (g11 * g22 - g12 * g12) AS w2 FROM c)
+SELECT window_id, country, tenor, {r("w1 * s")} AS w1, {r("w2 * s")} AS w2 FROM u, (VALUES ('A', 1), ('N', -1)) v(country, s)""")
+def reg_opposite_countries(spark, d):
+    pairs = spark.createDataFrame([("A", "N")], "a string, b string")
+    return _two(regression.solve_opposite(_grams(spark, d), pairs, "country", ["window_id", "tenor"], 2))
+
+
+@query(f"""{_WITH} SELECT window_id, {r("avg(w)")} AS mean, {r("stddev_pop(w)")} AS std, {r("max(abs(w)) FILTER (feature = 'x2')")} AS worst, count(*) FILTER (feature = 'x2' AND abs(w) > 1e-6) AS n_missed, {r("stddev_pop(w) / (abs(avg(w)) + 1e-8)")} AS spread FROM wl GROUP BY window_id""")
+def reg_diagnostics(spark, d):
+    mask = spark.createDataFrame([("x1", False), ("x2", True)], "feature string, is_zero boolean")
+    out = regression.window_diagnostics(_long(spark, d), mask, ["feature"])
+    return out.select("window_id", "n_missed", *(rounded(c).alias(c) for c in ("mean", "std", "worst", "spread")))
+
+
+@query(f"""{_WITH}, s AS (SELECT *, 1 - ss_res / (ss_tot + 1e-10) AS r2 FROM sc) SELECT country, {r("avg(r2) FILTER (tenor = 'F')")} AS "F", {r("avg(r2) FILTER (tenor = 'O')")} AS "O" FROM s GROUP BY country""")
+def reg_report_matrix(spark, d):
+    tables = regression.fit_report(regression.fit_scores(_solved(spark, d), 2, ["window_id", *KEYS]), "country", "tenor", ["F", "O"])
+    return tables["matrix"].select("country", rounded("F").alias("F"), rounded("O").alias("O"))
+
+
+@query()
+def reg_ridge_predictions(spark, d):
+    rows, _ = regression_rows(spark, d)
+    rows = rows.where("country = 'A' AND tenor = 'F'")
+    fit = regression.asymmetric_ridge(rows, "idx", X3, "y", alphas=[0.0, 0.5, 1.0])
+    return regression.predict(rows, fit, X3).select("idx", rounded("pred").alias("pred"))
+
+
 # after the fit ----------------------------------------------------------------------------------------------------------
 
 
