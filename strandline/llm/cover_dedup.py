@@ -56,7 +56,7 @@ def _pick_period(window: int) -> int:
     return max((p for p in COVERS if window - p + 1 >= max(1, 0.4 * window)), default=0)
 
 
-def cover_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, chunk_bytes: int = 8 << 20) -> DataFrame:
+def cover_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = 20, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_removed, kept_sha256 and the removed spans of words.
 
     A word is removed if a window of `window` words over it also starts earlier: in a smaller doc_id, or earlier in the

@@ -225,7 +225,7 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
 def _hits_udf(shared):
     @F.arrow_udf(_DDL)
     def hits(column: pa.Array) -> pa.Array:
-        found = shared.value.hits([t for _, t in pieces(column, 1 << 20)])
+        found = shared.value.hits([t for _, t in pieces(column)])
         return pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hit] for hit in found], pa.list_(HIT))
 
     return hits

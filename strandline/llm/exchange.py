@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 ASK = "bucket int, chunk long, keys binary, extra binary"
 ANSWER = "chunk long, bucket int, answer binary"
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:

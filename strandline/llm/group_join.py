@@ -109,7 +109,7 @@ def _could_match(na: str, nb: str, pa_: str, pb: str, percent: int) -> F.Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.least(a - F.col(pa_), b - F.col(pb)) >= least)
 
 
-def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk_bytes: int = 8 << 20) -> DataFrame:
+def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (least id with the same set), component_id.
 
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of `shingle`-word shingles (A-Z lower-cased;

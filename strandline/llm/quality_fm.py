@@ -140,7 +140,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        found = [sigmoid(shared.value.margin(*features(t))).astype(float) for _, t in pieces(column, 1 << 20)]
+        found = [sigmoid(shared.value.margin(*features(t))).astype(float) for _, t in pieces(column)]
         return pa.array(np.concatenate(found) if found else [], pa.float64())
 
     return rows.select("doc_id", held.alias("held_out"), score("text").alias("score")).withColumn("predicted", (F.col("score") >= limit).cast("int"))

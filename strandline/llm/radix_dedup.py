@@ -92,7 +92,7 @@ def _first_place(grams: np.ndarray, best: np.ndarray, at: np.ndarray, reach: int
     return out
 
 
-def radix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, chunk_bytes: int = 8 << 20) -> DataFrame:
+def radix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of bytes.
 
     A byte (of UTF-8) is removed if a string of `length` bytes over it, within its text, also starts at any other place
@@ -107,7 +107,7 @@ def radix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", len
     bucket_bits = layout.bucket_bits
 
     def runs_of(table: pa.Table) -> list[tuple[int, _Runs]]:
-        return [(row, _Runs(t, length, reach)) for row, t in pieces(table["text"], 1 << 20)]
+        return [(row, _Runs(t, length, reach)) for row, t in pieces(table["text"])]
 
     def digits(runs: list[tuple[int, _Runs]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct first digits of a chunk; for each, its extents' common hash, whether they differ, and how many there are."""

@@ -92,7 +92,7 @@ class Texts:
         return spans(prefix_sums(byte_values(data)), starts, stops)
 
 
-def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 21) -> Iterator[tuple[int, Texts]]:
+def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, Texts]]:
     """Runs of whole texts of about `most` bytes (a longer text stands alone), with the first row of each; null is empty."""
     row = 0
     for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
