@@ -26,6 +26,8 @@ _DDL = "array<struct<item_id:long,start:long,n_words:long,edits:long>>"
 _TABLE = 22
 #: Bytes of item texts that a task is given at once; more items are taken in blocks, each against all documents.
 BLOCK_BYTES = 4 << 20
+#: Pieces of text whose windows are walked together.
+PIECES = 16
 
 
 def near_segment(item: list[bytes], words: list[bytes], most: int) -> tuple[int, int, int] | None:
@@ -225,7 +227,13 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str):
 def _hits_udf(shared):
     @F.arrow_udf(_DDL)
     def hits(column: pa.Array) -> pa.Array:
-        found = shared.value.hits([t for _, t in pieces(column)])
+        parts, found = [], []
+        for _, t in pieces(column):
+            parts.append(t)
+            if len(parts) == PIECES:
+                found += shared.value.hits(parts)
+                parts = []
+        found += shared.value.hits(parts)
         return pa.array([[dict(zip(HIT.names, h, strict=True)) for h in hit] for hit in found], pa.list_(HIT))
 
     return hits
