@@ -22,15 +22,19 @@ ANSWER = "chunk long, bucket int, answer binary"
 CHUNK_BYTES = 4 << 20
 
 
+_own_folder: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir; one of its own where none is named, as in tests."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder
+    if not _own_folder:
         import tempfile
 
-        folder = tempfile.mkdtemp(prefix="strandline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+        _own_folder.append(tempfile.mkdtemp(prefix="strandline-"))
+    return _own_folder[0]
 
 
 def staged(df: DataFrame) -> DataFrame:
