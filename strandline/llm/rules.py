@@ -60,32 +60,33 @@ def rule_counts(text: str = "text") -> F.Column:
 
 
 def statistics(counts: dict[str, np.ndarray]) -> np.ndarray:
-    """What the forest splits on, a row for each text: by how much each ratio leaves the range that prose usually keeps to.
-
-    Inside its range a ratio says nothing about quality (a short text has few digits, a list has short lines), so it
-    counts as zero there and does not make its text odd.
-    """
+    """What the forest splits on, a row for each text: the rules' ratios as they are, word length up to 40 and symbols a word up to 1."""
     n, chars, lines = (np.maximum(counts[c], 1).astype(float) for c in ("n_words", "word_chars", "n_lines"))
-    over = lambda ratio, most: np.maximum(ratio - most, 0)
     return np.stack(
         [
-            over(np.abs(np.minimum(chars / n, 40) - 5.5), 2.5),
-            over(np.minimum(counts["n_symbols"] / n, 1), 0.02),
-            over(counts["n_dup_lines"] / lines, 0.4),
-            over(1.05, np.minimum(counts["n_distinct"] / n**0.9, 1.05)),
-            over(counts["n_upper"] / chars, 0.2),
-            over(counts["n_digits"] / chars, 0.3),
-            over(counts["n_marks"] / chars, 0.06),
+            np.minimum(chars / n, 40),
+            np.minimum(counts["n_symbols"] / n, 1),
+            counts["n_dup_lines"] / lines,
+            counts["n_repeat_words"] / n,
+            counts["n_distinct"] / n**0.9,
+            counts["n_upper"] / chars,
+            counts["n_digits"] / chars,
+            counts["n_marks"] / chars,
         ],
         axis=1,
     )
 
 
 class IsolationForest:
-    """Trees of random splits (Liu, Ting and Zhou, 2008), each over `sample` rows, as flat arrays."""
+    """Trees of random splits (Liu, Ting and Zhou, 2008), each over `sample` rows, as flat arrays.
+
+    Splits lie within the range of a node's own rows; if `among` is given, within the part of its rows' range that the
+    node covers, so that trees of usual rows also split where only other rows are, and a side may be empty.
+    """
 
-    def __init__(self, rows: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 7) -> None:
+    def __init__(self, rows: np.ndarray, trees: int = 200, sample: int = 256, seed: int = 7, among: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(seed)
+        self.range = None if among is None or not len(among) else (among.min(axis=0), among.max(axis=0))
         self.sample = min(sample, len(rows))
         self.depth = int(np.ceil(np.log2(max(self.sample, 2))))
         self.trees = [self._tree(rows[rng.choice(len(rows), self.sample, replace=False)], rng) for _ in range(trees)] if len(rows) else []
@@ -93,10 +94,10 @@ class IsolationForest:
     def _tree(self, rows: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
         feature, split, left, length = [], [], [], []
 
-        def grow(part: np.ndarray, depth: int, at: int) -> None:
-            low, high = part.min(axis=0), part.max(axis=0)
+        def grow(part: np.ndarray, depth: int, at: int, box: tuple[np.ndarray, np.ndarray] | None) -> None:
+            low, high = box or (part.min(axis=0), part.max(axis=0))
             open_ = np.flatnonzero(high > low)
-            if depth == self.depth or len(part) < 2 or not len(open_):
+            if depth == self.depth or len(part) < (1 if box else 2) or not len(open_):
                 length[at] = depth + _mean_depth(len(part))
                 return
             f = int(rng.choice(open_))
@@ -105,8 +106,9 @@ class IsolationForest:
             for _ in range(2):
                 new()
             mask = part[:, f] <= cut
-            grow(part[mask], depth + 1, left[at])
-            grow(part[~mask], depth + 1, left[at] + 1)
+            edge = np.arange(len(low)) == f
+            grow(part[mask], depth + 1, left[at], box and (low, np.where(edge, cut, high)))
+            grow(part[~mask], depth + 1, left[at] + 1, box and (np.where(edge, cut, low), high))
 
         def new() -> None:
             feature.append(0)
@@ -115,7 +117,7 @@ class IsolationForest:
             length.append(0.0)
 
         new()
-        grow(rows, 0, 0)
+        grow(rows, 0, 0, self.range)
         return np.array(feature), np.array(split), np.array(left), np.array(length)
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -158,9 +160,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_
     """docs with one more struct column `rules`: the counts of COUNTS, base_failed, score and kept.
 
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that the text repeats.  kept: base rules
-    passed and the forest's score is under the calibrated limit.  The forest is grown on at most max_fit_rows rows (the
-    least hashes of their ids) of labelled documents that pass the base rules; the limit comes from the scores of all of
-    them.  Without labelled rows the forest is grown on documents and nothing is rejected by it.  Null and empty texts fail
+    passed and the forest's score is under the calibrated limit.  At most max_fit_rows labelled documents that pass the base
+    rules (the least hashes of their ids) make the forest: it is grown on the good ones (on all, if none is good), with
+    splits over the range of all; the limit comes from the scores of all that are labelled and pass.  Without labelled rows the forest is grown on documents and nothing is rejected by it.  Null and empty texts fail
     for want of words; repeated rows get the same verdict; all columns stay, an own column named `rules` is replaced.
     """
     spark = docs.sparkSession
@@ -175,7 +177,8 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_
 
     passing = staged(passing.select("id", "y", "c.*"))
     fit = passing.orderBy(F.xxhash64("id"), "id").limit(max_fit_rows).toPandas()
-    forest = IsolationForest(statistics({c: fit[c].to_numpy() for c in COUNTS}), trees, sample)
+    rows, good = statistics({c: fit[c].to_numpy() for c in COUNTS}), fit["y"].to_numpy() != 0
+    forest = IsolationForest(rows[good] if good.any() else rows, trees, sample, among=rows)
     shared = spark.sparkContext.broadcast(forest)
 
     @F.pandas_udf("double")

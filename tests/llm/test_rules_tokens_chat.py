@@ -56,6 +56,28 @@ def test_rules_part_junk_from_prose(spark):
     assert sum(not kept[k] for k in kept if k % 10) <= 0.01 * len(kept)
 
 
+def test_forest_rejects_what_is_odd_in_many_small_ways(spark):
+    """A third of the lines are repeated, a quarter of the words too, with many capitals and digits: no single ratio is beyond what clean rows may have."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9)))
+    digits = lambda: "".join(r.choice("0123456789") for _ in range(r.randint(4, 6)))
+    rows, marks = [], []
+    for k in range(600):
+        lines = [" ".join(word() for _ in range(10)) for _ in range(r.randint(8, 14))]
+        if k % 10 == 0:
+            lines = [" ".join(digits() if r.random() < 0.14 else x.upper() if r.random() < 0.13 else x for x in line.split()) for line in lines]
+            lines += lines[:1] + [digits()] * (len(lines) // 2)
+        rows.append((k, "\n".join(lines), "", "", 0))
+        if k % 2 == 0:
+            marks.append((k, int(k % 10 > 0), 0))
+    out = quality_rules(table(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"), trees=60).collect()
+    odd = [x.rules for x in out if x.doc_id % 10 == 0]
+    for c in odd:
+        assert not c.base_failed and c.n_dup_lines <= 0.4 * c.n_lines and c.n_upper <= 0.2 * c.word_chars and c.n_digits <= 0.3 * c.word_chars and c.n_repeat_words > 0
+    assert sum(c.kept for c in odd) <= 0.05 * len(odd)
+    assert sum(not x.rules.kept for x in out if x.doc_id % 10) <= 0.01 * len(out)
+
+
 def test_forest_paths_and_limit():
     rng = np.random.default_rng(1)
     usual = rng.normal(size=(2000, 3))
