@@ -21,10 +21,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; so do rows without an id."""
-    stays = ngram_join(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    """Of each group of near duplicates one document stays: that of the least id, of equal ids that of the least hash of id and text; null ids come last.
+
+    A document is an id with a text.  Texts that share an id are documents of their own and go only if they are near
+    copies themselves; so do texts without an id.  Of rows with equal id and text the least in its columns' order stays.
+    """
+    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()))
+    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("id"))
+    parts = ngram_join(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id").distinct().join(ids, "_row")
+    stays = parts.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("least")).select("least._row")
+    kept = rows.join(stays, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return kept.select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -92,6 +92,23 @@ def test_stages_against_plain_versions(spark, tmp_path):
     assert all(n <= corpus_pipeline.SHARD_BYTES for n in shards.values())
 
 
+def test_near_duplicates_of_repeated_and_missing_ids(spark, tmp_path):
+    r = random.Random(8)
+    texts = [" ".join(f"{c}{r.randrange(10**6)}" for _ in range(70)) for c in "abcde"]
+    near = [t + " changed" for t in texts]
+    rows = [(1, texts[0]), (1, texts[1]), (2, near[0]), (0, near[1]), (None, texts[2]), (None, texts[2]), (None, near[2]), (None, near[0]), (3, texts[3]), (3, near[3]), (4, texts[4]), (4, texts[4]), (5, "")]
+    want = [(0, near[1]), (1, texts[0]), (4, texts[4]), (5, "")]
+    found = []
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in order], COLUMNS).repartition(3)
+        out = [(x.doc_id, x.text) for x in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()]
+        assert sorted(x for x in out if x[0] not in (None, 3)) == want
+        assert len([x for x in out if x[0] is None]) == 1 and {x[1] for x in out if x[0] is None} < {texts[2], near[2]}
+        assert len([x for x in out if x[0] == 3]) == 1
+        found.append(sorted(out, key=str))
+    assert found[0] == found[1]
+
+
 def test_run_on_empty_and_odd_tables(spark, tmp_path):
     for k, rows in enumerate(([], [(None, None, None, None, None), (1, "", None, None, None), (2, " ".join(f"w{x}" for x in range(40)), None, None, None)])):
         d = f"{tmp_path}/{k}"
