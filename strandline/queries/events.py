@@ -9,6 +9,8 @@ from ..operators import asof, compare, leadlag, orders, signature, windows
 from .base import TICKS, Registry, r, table, ticks
 
 query = Registry()
+#: Microseconds of the slabs that one hot series is cut into.
+DAY = 86400e6
 SYMBOLS = ["click", "error", "purchase", "signup", "view"]
 
 
@@ -43,7 +45,7 @@ for _d in ("backward", "forward", "nearest"):
 @query(_asof("nearest") + " AND abs(t - t_match) <= 600000000")
 def asof_tolerance_slabs(spark, d):
     """Nearest within ten minutes, in slabs of a day."""
-    return _asof_query("nearest", tolerance=600e6, slab=86400e6)(spark, d)
+    return _asof_query("nearest", tolerance=600e6, slab=DAY)(spark, d)
 
 
 @query(f"""WITH {TICKS}, a AS (SELECT *, price - lag(price) OVER (PARTITION BY symbol ORDER BY event_id) AS da FROM ticks WHERE side = 'buy'),
@@ -78,14 +80,14 @@ def _pair(spark, d):
 @query(_HY)
 def overlap_covariance(spark, d):
     a, b = _pair(spark, d)
-    out = asof.overlap_covariance(a, b, ["k"], "t", "price", [-3600000000, 0, 3600000000])
+    out = asof.overlap_covariance(a, b, ["k"], "t", "price", [-3600000000, 0, 3600000000], DAY)
     return out.select(F.col("shift").cast("long").alias("shift"), rounded("cov", 3).alias("cov"), rounded("corr").alias("corr"))
 
 
 @query(f"SELECT shift, corr FROM ({_HY}) ORDER BY -abs(corr), shift LIMIT 1")
 def overlap_best_shift(spark, d):
     a, b = _pair(spark, d)
-    out = asof.overlap_covariance(a, b, ["k"], "t", "price", [-3600000000, 0, 3600000000]).select(F.lit("click").alias("a"), F.lit("view").alias("b"), F.col("shift").cast("long").alias("lag"), rounded("corr").alias("score"))
+    out = asof.overlap_covariance(a, b, ["k"], "t", "price", [-3600000000, 0, 3600000000], DAY).select(F.lit("click").alias("a"), F.lit("view").alias("b"), F.col("shift").cast("long").alias("lag"), rounded("corr").alias("score"))
     return leadlag.best_lag(out).select(F.col("lag").alias("shift"), F.col("score").alias("corr"))
 
 
