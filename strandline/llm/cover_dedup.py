@@ -14,13 +14,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .exchange import ASK, Layout, answered, answers, chunked, in_order, measure, per_chunk, questions, with_answers
-from .text import Texts, covered, ngram_hashes, pieces, prefix_sums, spans
+from .exchange import ASK, Layout, answered, chunked, distinct, measure, per_chunk, questions, with_answers
+from .text import Texts, byte_values, covered, ngram_hashes, pieces, prefix_sums, spans
 
 #: Perfect difference sets: every shift modulo the period is a difference of two members.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
 _U = np.uint64
+#: What a chunk tells of a window: the second half of its hash, and the row that has it first.
+OWNER = np.dtype([("check", "<u8"), ("id", "<i8"), ("text", "<u8")])
 
 
 class _Piece:
@@ -38,8 +40,8 @@ class _Piece:
         ok = np.isin(np.arange(self.period), COVERS[self.period])[inside % self.period]
         return hashes[ok], at[ok]
 
-    def windows(self, anchored: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows that contain, at a shift under the period, one of these anchors: hashes and starts."""
+    def windows(self, anchored: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows that contain, at a shift under the period, one of these anchors: starts and two hashes."""
         n = len(self.hashes)
         first = np.zeros(n, bool)
         hit = np.zeros(n, bool)
@@ -48,7 +50,10 @@ class _Piece:
             first[: n - shift] |= hit[shift:]
         room = np.repeat(self.firsts[1:], np.diff(self.firsts)) - np.arange(n)
         at = np.flatnonzero(first & (room >= self.window))
-        return spans(prefix_sums(self.hashes), at, at + self.window), at
+        if not len(at):
+            return at, np.zeros(0, _U), np.zeros(0, _U)
+        second = prefix_sums(self.texts.word_hashes(self.starts, self.stops, which=1), 1)
+        return at, spans(prefix_sums(self.hashes), at, at + self.window), spans(second, at, at + self.window, 1)
 
 
 def _pick_period(window: int) -> int:
@@ -61,8 +66,8 @@ def cover_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     A word is removed if a window of `window` words over it also starts earlier: in a smaller doc_id, or earlier in the
     same document.  Null and empty texts have no words; a text shorter than a window loses none.  Rows of one doc_id
-    follow each other in the order of their texts, null ids come first, so equal rows after the first lose their words.
-    Other columns are ignored.
+    follow each other in the order of a hash of their texts, null ids come first, so equal rows after the first lose
+    their words.  Other columns are ignored.  Windows are taken for equal if two independent 64-bit hashes of them are.
     """
     if window < 5:
         raise ValueError("a window has at least 5 words")
@@ -80,15 +85,17 @@ def cover_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
 
     def ask_anchors(chunk: int, table: pa.Table) -> pa.Table:
         keys, twice = anchor_keys(table)
-        return questions(chunk, keys, bucket_bits, bits, twice.astype(np.uint8))
+        return questions(chunk, keys, bucket_bits, bits, twice.astype([("twice", "u1")]))
 
-    def shared(group: np.ndarray, owner: np.ndarray, extras: list[bytes], chunks: np.ndarray) -> np.ndarray:
-        twice = np.frombuffer(b"".join(extras), np.uint8) > 0
-        return (np.bincount(group)[group] > 1) | twice
+    def shared(group: np.ndarray, extras: np.ndarray) -> np.ndarray:
+        twice = np.bincount(group) > 1
+        twice[group[extras["twice"] > 0]] = True
+        return twice[group]
 
-    reply = answered(per_chunk(chunks, ask_anchors), shared)
+    reply = answered(per_chunk(chunks, ask_anchors), shared, [("twice", "u1")])
 
-    def repeated_windows(table: pa.Table, reply: np.ndarray) -> list[tuple[int, _Piece, np.ndarray, np.ndarray]]:
+    def repeated_windows(table: pa.Table, reply: np.ndarray) -> list[tuple]:
+        """For each piece of text its first row, itself, and its windows around anchors that occur again."""
         keys, _ = anchor_keys(table)
         again = keys[reply > 0]
         out = []
@@ -100,37 +107,37 @@ def cover_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
             out.append((row, piece, *piece.windows(hit)))
         return out
 
-    def first_rows(found: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows of a chunk, the first row with each, and the serial number of its first place."""
-        hashes = np.concatenate([f[2] for f in found]) if found else np.zeros(0, _U)
-        rows = np.concatenate([f[0] + np.searchsorted(f[1].firsts, f[3], "right") - 1 for f in found]) if found else np.zeros(0, int)
-        keys, first = np.unique(hashes, return_index=True)
-        return keys, rows[first], first
-
-    def ask_windows(chunk: int, table: pa.Table, reply: np.ndarray) -> pa.Table:
-        keys, rows, _ = first_rows(repeated_windows(table, reply))
-        ids = _ids(table)
-        return questions(chunk, keys, bucket_bits, 64, ids[rows])
-
-    def owned(group: np.ndarray, owner: np.ndarray, extras: list[bytes], chunks: np.ndarray) -> np.ndarray:
-        ids = np.frombuffer(b"".join(extras), np.int64)
-        least = np.full(group.max() + 1 if len(group) else 0, np.iinfo(np.int64).max)
-        np.minimum.at(least, group, ids)
-        return ids == least[group]
-
-    first_reply = answered(with_answers(chunks, reply, ask_windows, ASK), owned)
-    # the anchors' answers are needed again to find the same windows; both come in one table, the anchors' with negative buckets
-    both = reply.selectExpr("chunk", "bucket - 2147483647 AS bucket", "answer").unionByName(first_reply)
-
-    def finish(chunk: int, table: pa.Table, replies: tuple[np.ndarray, np.ndarray]) -> pa.Table:
+    def first_places(found: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The first place of each distinct window of a chunk, numbered through all pieces; its hashes and its row."""
+        keys, checks = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, _U) for k in (3, 4))
+        rows = np.concatenate([f[0] + np.searchsorted(f[1].firsts, f[2], "right") - 1 for f in found]) if found else np.zeros(0, int)
+        first = distinct(keys, checks)[1]
+        return first, keys[first], checks[first], rows[first]
+
+    def ask_windows(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
+        _, keys, checks, rows = first_places(repeated_windows(table, replies[0]))
+        extra = np.zeros(len(keys), OWNER)
+        extra["check"], extra["id"], extra["text"] = checks, _ids(table)[rows], _text_hashes(table)[rows]
+        return questions(chunk, keys, bucket_bits, 64, extra)
+
+    def owned(group: np.ndarray, extras: np.ndarray) -> np.ndarray:
+        """The row of the least id, then of the least hash of its text, has a window first; equal rows are of one chunk."""
+        order = np.lexsort((extras["text"], extras["id"], group))
+        mine = np.zeros(len(group), bool)
+        mine[order[np.flatnonzero(np.diff(group[order], prepend=-1))]] = True
+        return mine
+
+    owners = answered(with_answers(chunks, [reply], ask_windows, ASK), owned, OWNER.descr)
+
+    def finish(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
         found = repeated_windows(table, replies[0])
-        keys, _, first = first_rows(found)
+        first = first_places(found)[0]
         mine = np.zeros(sum(len(f[2]) for f in found), bool)
         mine[first[replies[1] > 0]] = True
         out: dict[str, list] = {"doc_id": [], "n_words": [], "n_removed": [], "kept_sha256": [], "spans": []}
         seen = 0
         ids = table["doc_id"].to_pylist()
-        for row, piece, hashes, at in found:
+        for row, piece, at, _, _ in found:
             gone = covered(len(piece.hashes), at[~mine[seen : seen + len(at)]], window)
             seen += len(at)
             total = np.concatenate([[0], np.cumsum(gone)])
@@ -150,7 +157,7 @@ def cover_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", win
                 out["spans"].append(runs)
         return pa.table(out, schema=_OUT)
 
-    return with_answers_of_two(chunks, both, finish, SCHEMA)
+    return with_answers(chunks, [reply, owners], finish, SCHEMA)
 
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
@@ -163,15 +170,7 @@ def _ids(table: pa.Table) -> np.ndarray:
     return pc.fill_null(table["doc_id"], np.iinfo(np.int64).min).to_numpy()
 
 
-def with_answers_of_two(docs: DataFrame, both: DataFrame, f, schema: str) -> DataFrame:
-    """Like with_answers, for two rounds of answers; the first round's buckets are negative."""
-    import pyarrow.compute as pc
-
-    def of_chunk(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        if not mine.num_rows:
-            return f(-1, mine, (np.zeros(0, np.uint8), np.zeros(0, np.uint8)))
-        first = pc.less(theirs["bucket"], 0)
-        replies = answers(theirs.filter(first)), answers(theirs.filter(pc.invert(first)))
-        return f(mine["chunk"][0].as_py(), in_order(mine), replies)
-
-    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(of_chunk, schema)
+def _text_hashes(table: pa.Table) -> np.ndarray:
+    """A hash of each whole text; null and empty texts have no windows to own."""
+    found = [spans(prefix_sums(byte_values(t.data)), t.offsets[:-1], t.offsets[1:]) for _, t in pieces(table["text"])]
+    return np.concatenate(found) if found else np.zeros(0, _U)

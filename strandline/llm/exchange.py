@@ -1,8 +1,9 @@
 """Who else has this fingerprint?  A question that chunks of documents put to each other through Spark shuffles.
 
-Documents are dealt to chunks by a hash of their id.  Each chunk sends its distinct fingerprints, sorted, to the
-buckets of their leading bits; a bucket answers each chunk with one byte for each of them, in the same order.
+Documents are dealt to chunks by a hash of their id and text.  Each chunk sends its distinct fingerprints, sorted, to
+the buckets of their leading bits; a bucket answers each chunk with one byte for each of them, in the same order.
 A fingerprint that very many documents share is sent once by each chunk, so that no bucket gets a hot key's rows.
+What only a filter asks has 64 bits or fewer; what decides has a second, independent hash of 64 bits beside each key.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from __future__ import annotations
 import atexit
 import contextlib
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +25,17 @@ CHUNK_BYTES = 4 << 20
 
 
 _own_folder: list[str] = []
+#: Staged tables that still stand, oldest first.
+_tables: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of its own where none is named, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of its own where none is named, which only a local master allows."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_folder:
         import tempfile
 
@@ -42,14 +48,28 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/strandline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if not _tables:
+        atexit.register(_remove_from, spark, 0)
+    _tables.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def staged_alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """staged(make()), after which the tables that make() itself staged are removed; none of them may be in use elsewhere."""
+    first = len(_tables)
+    out = staged(make())
+    mine = _tables.pop()
+    _remove_from(spark, first)
+    _tables.append(mine)
+    return out
+
+
+def _remove_from(spark: SparkSession, first: int) -> None:
+    while len(_tables) > first:
+        path = _tables.pop()
+        with contextlib.suppress(Exception):
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def pack(keys: np.ndarray) -> bytes:
@@ -79,11 +99,14 @@ class Layout:
 
     def __init__(self, spark: SparkSession, n_bytes: int, chunk_bytes: int = CHUNK_BYTES) -> None:
         self.bytes = n_bytes
+        # a chunk sends a row to each bucket: beyond 32 GB both grow with the corpus' cube root, at most 16 times, or rows would hold a key each
+        grown = 2 ** min(4, max(0, (n_bytes >> 35).bit_length() // 3))
+        chunk_bytes *= grown
         self.parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + n_bytes // (64 << 20))
         #: Both follow the bytes alone: a chunk sends a row to each bucket, and small inputs in many partitions would send only such rows.
         self.chunks = max(min(self.parts, 1 + n_bytes // (chunk_bytes // 8)), 1 + n_bytes // chunk_bytes)
         #: The leading bits of a key that name its bucket.
-        self.bucket_bits = max(4, (n_bytes >> 22).bit_length())
+        self.bucket_bits = max(4, (n_bytes // (grown << 22)).bit_length())
         #: A key of a filter has 14 bits more than a count of all words takes: one in 16,000 is taken for another.
         self.filter_bits = min(64, max(32, (n_bytes // 5).bit_length() + 14))
 
@@ -94,9 +117,9 @@ def measure(docs: DataFrame, text: str) -> int:
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str, layout: Layout) -> DataFrame:
-    """chunk, doc_id, text: all rows of an id are in one chunk."""
+    """chunk, doc_id, text: rows of equal id and text are in one chunk, others of an id (or without one) spread."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(layout.chunks))).repartition(layout.parts, "chunk")
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(layout.chunks))).repartition(layout.parts, "chunk")
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -110,7 +133,7 @@ def in_order(table: pa.Table) -> pa.Table:
 
 
 def questions(chunk: int, keys: np.ndarray, bucket_bits: int, bits: int = 64, extra: np.ndarray | None = None) -> pa.Table:
-    """Rows of ASK for a chunk's sorted distinct keys; extra has one item for each key."""
+    """Rows of ASK for a chunk's sorted keys, distinct or with distinct checks in extra, which has one item for each key."""
     cut = np.searchsorted(keys >> np.uint64(bits - bucket_bits), np.arange((1 << bucket_bits) + 1, dtype=np.uint64))
     full = np.flatnonzero(np.diff(cut))
     return pa.table(
@@ -123,18 +146,37 @@ def questions(chunk: int, keys: np.ndarray, bucket_bits: int, bits: int = 64, ex
     )
 
 
-def answered(asked: DataFrame, decide: Callable[[np.ndarray, np.ndarray, list[bytes], np.ndarray], np.ndarray]) -> DataFrame:
-    """decide(group, owner, extras, chunks) gives a byte for each key: group numbers equal keys alike, owner is the row of each key."""
+def distinct(keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of fingerprints of two halves: the order that sorts them (equal ones as they stand), the first of each in it, each one's number, and how often each occurs."""
+    order = np.lexsort((checks, keys))
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]) | (checks[order[1:]] != checks[order[:-1]])
+    number = np.empty(len(order), np.int64)
+    number[order] = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    return order, order[first], number, np.diff(np.append(first, len(order)))
+
+
+def answered(asked: DataFrame, decide: Callable[[np.ndarray, np.ndarray], np.ndarray], extra: list[tuple[str, str]] | None = None) -> DataFrame:
+    """decide(group, extras) gives a byte for each key: group numbers equal keys alike, extras is an array of the type `extra`.
+
+    An extra named check is the second half of its key.
+    """
+    kind = np.dtype(extra or [])
 
     def of_bucket(table: pa.Table) -> pa.Table:
         lists = [unpack(x) for x in table["keys"].to_pylist()]
         sizes = np.array([len(x) for x in lists], np.int64)
-        keys, owner = np.concatenate(lists), np.repeat(np.arange(len(lists)), sizes)
-        order = np.argsort(keys, kind="stable")
-        ranked = keys[order]
-        group = np.empty(len(keys), np.int64)
-        group[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
-        out = decide(group, owner, table["extra"].to_pylist(), table["chunk"].to_numpy()).astype(np.uint8)
+        keys = np.concatenate(lists)
+        extras = np.frombuffer(b"".join(table["extra"].to_pylist()), kind) if extra else np.zeros(len(keys), kind)
+        if extra and "check" in kind.names:
+            group = distinct(keys, extras["check"])[2]
+        else:
+            order = np.argsort(keys, kind="stable")
+            ranked = keys[order]
+            group = np.empty(len(keys), np.int64)
+            group[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
+        out = decide(group, extras).astype(np.uint8)
         cut = np.concatenate([[0], np.cumsum(sizes)])
         return pa.table({"chunk": table["chunk"].cast(pa.int64()), "bucket": table["bucket"].cast(pa.int32()), "answer": pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 
@@ -150,29 +192,18 @@ def answers(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(parts[k] for k in order), np.uint8)
 
 
-def with_answers(docs: DataFrame, reply: DataFrame, f: Callable[[int, pa.Table, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """f(chunk, its documents, its answers) for each chunk of documents."""
+def with_answers(docs: DataFrame, replies: list[DataFrame], f: Callable[[int, pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+    """f(chunk, its documents, its answers to each round of questions) for each chunk of documents."""
+    import pyarrow.compute as pc
+
+    both, n = reduce(DataFrame.unionByName, [reply.withColumn("turn", F.lit(k)) for k, reply in enumerate(replies)]), len(replies)
 
     def of_chunk(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        if not mine.num_rows:
-            return f(-1, mine, np.zeros(0, np.uint8)).slice(0, 0)
-        return f(mine["chunk"][0].as_py(), in_order(mine), answers(theirs))
+        given = [answers(theirs.filter(pc.equal(theirs["turn"], k))) for k in range(n)]
+        return f(mine["chunk"][0].as_py() if mine.num_rows else -1, in_order(mine), given)
 
-    return docs.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(of_chunk, schema)
+    return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(of_chunk, schema)
 
 
 def per_chunk(docs: DataFrame, f: Callable[[int, pa.Table], pa.Table], schema: str = ASK) -> DataFrame:
     return docs.groupBy("chunk").applyInArrow(lambda table: f(table["chunk"][0].as_py(), in_order(table)), schema)
-
-
-def lookup(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    """values at the wanted keys, all of which are among the sorted keys."""
-    return values[np.searchsorted(keys, wanted)]
-
-
-def gathered(parts: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys, and how often each occurs."""
-    parts = [p for p in parts if len(p)]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.unique(np.concatenate(parts), return_counts=True)

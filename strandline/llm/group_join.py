@@ -62,15 +62,15 @@ def prefixed_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent
 
     def ask(chunk: int, table: pa.Table) -> pa.Table:
         keys, counts = keys_of(sets_of(table))
-        return questions(chunk, keys, bucket_bits, bits, counts.astype(np.uint32))
+        return questions(chunk, keys, bucket_bits, bits, counts.astype([("count", "<u4")]))
 
-    def count(group: np.ndarray, owner: np.ndarray, extras: list[bytes], chunks: np.ndarray) -> np.ndarray:
-        return _level(np.bincount(group, weights=np.frombuffer(b"".join(extras), np.uint32)))[group]
+    def count(group: np.ndarray, extras: np.ndarray) -> np.ndarray:
+        return _level(np.bincount(group, weights=extras["count"]))[group]
 
-    reply = answered(per_chunk(chunks, ask), count)
+    reply = answered(per_chunk(chunks, ask), count, [("count", "<u4")])
 
-    def prefixes(chunk: int, table: pa.Table, levels: np.ndarray) -> pa.Table:
-        sets = sets_of(table)
+    def prefixes(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
+        sets, levels = sets_of(table), replies[0]
         keys, _ = keys_of(sets)
         out: dict[str, list] = {name: [] for name in _SETS_OUT.names}
         out["doc_id"] = table["doc_id"]
@@ -91,7 +91,7 @@ def prefixed_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent
             out["shared"].append(s[level > 1].view(np.int64) if len(common) else np.zeros(0, np.int64))
         return pa.table(out, schema=_SETS_OUT)
 
-    return with_answers(chunks, reply, prefixes, _SETS)
+    return with_answers(chunks, [reply], prefixes, _SETS)
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -1,36 +1,41 @@
 """Byte strings of a given length that occur twice, by a radix sort of suffixes that stops at that depth.
 
-Suffixes are ordered by most-significant-digit passes, and only through their first `length` bytes: a suffix that is
-alone in its group after a pass is done, and after the last pass equal groups are exactly the repeated strings.
-The first digit is read where the least fingerprint of the suffix's first `reach` places lies: neighbouring suffixes
-read the same digit there, and equal suffixes read equal ones, so that a pass over the whole corpus sends one digit
-for a run of neighbours.  The second digit is the run's whole extent: where it is the only one among equal first
-digits, the whole run repeats.  Only suffixes that are still undecided send their whole first `length` bytes.
+Suffixes are parted by most-significant-digit passes, and only through their first `length` bytes: a suffix that is
+alone in its group after a pass is done, only the others read further, and after the last pass equal groups are exactly
+the repeated strings.  A group is what agrees on all bytes read so far, so each pass parts the groups of the pass before.
+
+Neighbouring suffixes are sorted together as long as they can be: all whose first `reach` places have their least
+fingerprint at the same anchor form a run, and equal suffixes lie in runs with equal anchors.  From the anchor a run reads
+DIGIT bytes in the first pass and the `length` - `reach` + 1 bytes that all its suffixes share there in the second,
+which also compares the whole extents of runs: where all are equal, all their suffixes repeat.  What is still mixed
+is parted suffix by suffix in the last pass, through all its `length` bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .cover_dedup import with_answers_of_two
-from .exchange import ASK, Layout, answered, chunked, measure, per_chunk, questions, with_answers
-from .text import Texts, byte_values, covered, mix, pieces, prefix_sums, spans
+from .exchange import ASK, Layout, answered, chunked, distinct, measure, per_chunk, questions, with_answers
+from .text import Texts, byte_values, covered, mix, pieces, powers, prefix_sums, spans
 
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,stop:long>>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
 _U = np.uint64
+#: Bytes that the first pass reads from a run's anchor.
+DIGIT = 32
 ALONE, REPEATED, MIXED = 0, 1, 2
 
 
 class _Runs:
-    """Suffixes of some texts that have `length` bytes, in runs that read their first digit at the same place."""
+    """Suffixes of some texts that have `length` bytes, in runs of the same anchor."""
 
     def __init__(self, texts: Texts, length: int, reach: int) -> None:
-        self.texts, self.length = texts, length
+        self.texts, self.length, self.depth = texts, length, length - reach + 1
         n = len(texts.data)
         self.sums = prefix_sums(byte_values(texts.data))
         sizes = np.diff(texts.offsets)
@@ -38,13 +43,12 @@ class _Runs:
         for a, size in zip(texts.offsets[:-1][sizes >= length], sizes[sizes >= length], strict=True):
             valid[a : a + size - length + 1] = True
         at = np.flatnonzero(valid)
-        self.first = self.last = self.digit = self.extent = at
+        self.first = self.last = self.anchor = at
         if not len(at):
-            self.digit = self.extent = np.zeros(0, _U)
             return
         # the least fingerprint, and of equal ones the first place, among the next `reach` places; windows of 8 bytes stay in a text where a suffix has `length`
         grams = np.zeros(n, _U)
-        grams[: n - 7] = mix((self.sums[8:] - self.sums[:-8]) * _inverse(n - 7))
+        grams[: n - 7] = mix((self.sums[8:] - self.sums[:-8]) * powers(n - 7, True))
         grams &= ~_U(0xFFFFF)
         if n > 1 << 20:  # a long text's places don't fit into the 20 bits
             anchor = _first_place(grams, _sliding_least(grams, reach), at, reach)
@@ -52,21 +56,27 @@ class _Runs:
             anchor = (_sliding_least(grams | np.arange(n, dtype=_U), reach)[at] & _U(0xFFFFF)).astype(np.int64)
         cut = np.flatnonzero(np.diff(anchor, prepend=-1) | (np.diff(at, prepend=-2) != 1))
         self.first, self.last = at[cut], at[np.concatenate([cut[1:], [len(at)]]) - 1]
-        anchor = anchor[cut]
-        self.digit = spans(self.sums, anchor, anchor + length - reach + 1)
-        self.extent = spans(self.sums, self.first, self.last + length)
+        self.anchor = anchor[cut]
 
-    def windows(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All suffixes of these runs: hashes of their first `length` bytes, and places."""
-        sizes = (self.last - self.first + 1)[runs]
-        at = np.repeat(self.first[runs] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else self.first[:0]
-        return spans(self.sums, at, at + self.length), at
+    @cached_property
+    def checks(self) -> np.ndarray:
+        """Prefix sums of the second hash."""
+        return prefix_sums(byte_values(self.texts.data, 1), 1)
 
+    def digits(self, depth: int, runs: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """What the runs read from their anchors through `depth` bytes."""
+        return spans(self.sums, self.anchor[runs], self.anchor[runs] + depth)
 
-def _inverse(n: int) -> np.ndarray:
-    from .text import powers
+    def extents(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of all bytes of the runs' suffixes."""
+        a, b = self.first[runs], self.last[runs] + self.length
+        return spans(self.sums, a, b), spans(self.checks, a, b, 1)
 
-    return powers(n, True)
+    def suffixes(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All suffixes of the runs: two hashes of their first `length` bytes, and places."""
+        sizes = (self.last - self.first + 1)[runs]
+        at = np.repeat(self.first[runs] - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum()) if len(sizes) else self.first[:0]
+        return spans(self.sums, at, at + self.length), spans(self.checks, at, at + self.length, 1) if len(at) else np.zeros(0, _U), at
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -92,94 +102,148 @@ def _first_place(grams: np.ndarray, best: np.ndarray, at: np.ndarray, reach: int
     return out
 
 
+class _Chunk:
+    """A chunk's texts on their way through the passes; each pass takes the answers to the one before."""
+
+    def __init__(self, table: pa.Table, length: int, reach: int, shift: int) -> None:
+        self.shift = _U(shift)
+        self.parts = [(row, _Runs(t, length, reach)) for row, t in pieces(table["text"])]
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct first digits, each run's number among them, and how often each occurs."""
+        return np.unique(self._joined([r.digits(min(DIGIT, r.depth)) >> self.shift for _, r in self.parts]), return_inverse=True, return_counts=True)
+
+    def open_runs(self, shared: np.ndarray) -> list[np.ndarray]:
+        """The runs of each piece that are not alone after the first pass."""
+        return [np.flatnonzero(x) for x in self._split((shared > 0)[self.first()[1]] if len(shared) else np.zeros(0, bool), [len(r.first) for _, r in self.parts])]
+
+    def second(self, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct second digits of open runs, what is known of their extents, and each run's number among them."""
+        some = list(zip((r for _, r in self.parts), runs, strict=True))
+        digit = self._joined([r.digits(r.depth, x) for r, x in some])
+        a, b = (self._joined(list(x)) for x in zip(*(r.extents(x) for r, x in some), strict=True)) if some else (digit, digit)
+        keys, first, back, counts = np.unique(digit, return_index=True, return_inverse=True, return_counts=True)
+        known = np.zeros(len(keys), SECOND)
+        known["extent"], known["other"], known["twice"] = a[first], b[first], counts > 1
+        known["differ"][back[(a != a[first][back]) | (b != b[first][back])]] = 1
+        return keys, known, back
+
+    def kinds(self, runs: list[np.ndarray], reply: np.ndarray) -> list[np.ndarray]:
+        """ALONE, REPEATED or MIXED for each open run of each piece."""
+        return self._split(reply[self.second(runs)[2]] if len(reply) else np.zeros(0, np.uint8), [len(x) for x in runs])
+
+    def last(self, runs: list[np.ndarray], kinds: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The suffixes of mixed runs: both hashes, and the places of each piece."""
+        found = [r.suffixes(x[k == MIXED]) for (_, r), x, k in zip(self.parts, runs, kinds, strict=True)]
+        return self._joined([f[0] for f in found]), self._joined([f[1] for f in found]), [f[2] for f in found]
+
+    @staticmethod
+    def _joined(arrays: list[np.ndarray]) -> np.ndarray:
+        return np.concatenate(arrays) if arrays else np.zeros(0, _U)
+
+    @staticmethod
+    def _split(values: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+        return np.split(values, np.cumsum(sizes)[:-1]) if len(values) else [values for _ in sizes]
+
+
+SECOND = np.dtype([("extent", "<u8"), ("other", "<u8"), ("differ", "u1"), ("twice", "u1")])
+LAST = np.dtype([("check", "<u8"), ("twice", "u1")])
+
+
+def _shared(group: np.ndarray, extras: np.ndarray) -> np.ndarray:
+    """First and last pass: whether a group has more than one member."""
+    twice = np.bincount(group) > 1
+    twice[group[extras["twice"] > 0]] = True
+    return twice[group]
+
+
+def _kinds(group: np.ndarray, extras: np.ndarray) -> np.ndarray:
+    """Second pass: ALONE, REPEATED (all extents of the group are equal) or MIXED."""
+    n = int(group.max()) + 1 if len(group) else 0
+    some = np.zeros(n, np.int64)
+    some[group] = np.arange(len(group))
+    other = extras[some[group]]
+    differ, twice = np.zeros(n, bool), np.bincount(group, minlength=n) > 1
+    differ[group[(extras["extent"] != other["extent"]) | (extras["other"] != other["other"]) | (extras["differ"] > 0)]] = True
+    twice[group[extras["twice"] > 0]] = True
+    return np.where(differ, MIXED, np.where(twice, REPEATED, ALONE))[group]
+
+
 def radix_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = 400, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans of bytes.
 
     A byte (of UTF-8) is removed if a string of `length` bytes over it, within its text, also starts at any other place
     of any text.  Spans are maximal runs of removed bytes.  Null and empty texts have no bytes; a text shorter than
-    `length` loses none; equal rows count as two texts, so both lose everything.  Other columns are ignored.
+    `length` loses none; equal rows count as two texts, so both lose everything.  Other columns are ignored.  Strings are
+    taken for equal if two independent 64-bit hashes of them are.
     """
     if length < 32:
         raise ValueError("strings have at least 32 bytes")
     reach = length // 2
     layout = Layout(docs.sparkSession, measure(docs, text), chunk_bytes)
     chunks = chunked(docs, doc_id, text, layout)
-    bucket_bits = layout.bucket_bits
+    bucket_bits, bits = layout.bucket_bits, layout.filter_bits
+    opened = lambda table: _Chunk(table, length, reach, 64 - bits)
 
-    def runs_of(table: pa.Table) -> list[tuple[int, _Runs]]:
-        return [(row, _Runs(t, length, reach)) for row, t in pieces(table["text"])]
+    def first_pass(chunk: int, table: pa.Table) -> pa.Table:
+        keys, _, counts = opened(table).first()
+        return questions(chunk, keys, bucket_bits, bits, (counts > 1).astype([("twice", "u1")]))
 
-    def digits(runs: list[tuple[int, _Runs]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct first digits of a chunk; for each, its extents' common hash, whether they differ, and how many there are."""
-        digit = np.concatenate([r.digit for _, r in runs]) if runs else np.zeros(0, _U)
-        extent = np.concatenate([r.extent for _, r in runs]) if runs else np.zeros(0, _U)
-        keys, first, back, counts = np.unique(digit, return_index=True, return_inverse=True, return_counts=True)
-        differ = np.zeros(len(keys), bool)
-        differ[back[extent != extent[first][back]]] = True
-        return keys, extent[first], differ, counts
-
-    def ask_digits(chunk: int, table: pa.Table) -> pa.Table:
-        keys, extent, differ, counts = digits(runs_of(table))
-        # two bits: 1 differ, 2 more than one run here
-        extra = np.zeros(len(keys), [("extent", "<u8"), ("how", "u1")])
-        extra["extent"], extra["how"] = extent, differ + 2 * (counts > 1)
-        return questions(chunk, keys, bucket_bits, 64, extra)
-
-    def kinds(group: np.ndarray, owner: np.ndarray, extras: list[bytes], chunks: np.ndarray) -> np.ndarray:
-        extra = np.frombuffer(b"".join(extras), [("extent", "<u8"), ("how", "u1")])
-        n = group.max() + 1 if len(group) else 0
-        some = np.zeros(n, _U)
-        some[group] = extra["extent"]
-        differ, twice = np.zeros(n, bool), np.bincount(group, minlength=n) > 1
-        differ[group[(extra["extent"] != some[group]) | (extra["how"] & 1 > 0)]] = True
-        twice[group[extra["how"] & 2 > 0]] = True
-        return np.where(differ, MIXED, np.where(twice, REPEATED, ALONE))[group]
-
-    reply = answered(per_chunk(chunks, ask_digits), kinds)
-
-    def kinds_of(runs: list[tuple[int, _Runs]], reply: np.ndarray) -> list[np.ndarray]:
-        keys = np.unique(np.concatenate([r.digit for _, r in runs])) if runs else np.zeros(0, _U)
-        return [reply[np.searchsorted(keys, r.digit)] for _, r in runs]
-
-    def undecided(runs: list[tuple[int, _Runs]], kind: list[np.ndarray]) -> list[tuple[np.ndarray, np.ndarray]]:
-        return [r.windows(np.flatnonzero(k == MIXED)) for (_, r), k in zip(runs, kind, strict=True)]
-
-    def strings(windows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([w[0] for w in windows]), return_counts=True) if windows else (np.zeros(0, _U), np.zeros(0, int))
-
-    def ask_strings(chunk: int, table: pa.Table, reply: np.ndarray) -> pa.Table:
-        if not reply.any():
+    def second_pass(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
+        if not replies[0].any():
             return questions(chunk, np.zeros(0, _U), bucket_bits)
-        runs = runs_of(table)
-        keys, counts = strings(undecided(runs, kinds_of(runs, reply)))
-        return questions(chunk, keys, bucket_bits, 64, (counts > 1).astype(np.uint8))
-
-    def repeated(group: np.ndarray, owner: np.ndarray, extras: list[bytes], chunks: np.ndarray) -> np.ndarray:
-        return (np.bincount(group)[group] > 1) | (np.frombuffer(b"".join(extras), np.uint8) > 0)
-
-    last = answered(with_answers(chunks, reply, ask_strings, ASK), repeated)
-    both = reply.selectExpr("chunk", "bucket - 2147483647 AS bucket", "answer").unionByName(last)
+        c = opened(table)
+        keys, known, _ = c.second(c.open_runs(replies[0]))
+        return questions(chunk, keys, bucket_bits, 64, known)
 
-    def finish(chunk: int, table: pa.Table, replies: tuple[np.ndarray, np.ndarray]) -> pa.Table:
-        runs = runs_of(table)
-        kind = kinds_of(runs, replies[0])
-        windows = undecided(runs, kind)
-        again = strings(windows)[0][replies[1] > 0]
-        out: dict[str, list] = {name: [] for name in _OUT.names}
+    def last_pass(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
+        if not (replies[1] == MIXED).any():
+            return questions(chunk, np.zeros(0, _U), bucket_bits)
+        c = opened(table)
+        runs = c.open_runs(replies[0])
+        keys, checks, _ = c.last(runs, c.kinds(runs, replies[1]))
+        _, first, _, counts = distinct(keys, checks)
+        extra = np.zeros(len(first), LAST)
+        extra["check"], extra["twice"] = checks[first], counts > 1
+        return questions(chunk, keys[first], bucket_bits, 64, extra)
+
+    def finish(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
         ids = table["doc_id"].to_pylist()
-        for (row, r), k, (hashes, at) in zip(runs, kind, windows, strict=True):
-            whole = np.flatnonzero(k == REPEATED)
-            starts = np.concatenate([r.windows(whole)[1], at[np.isin(hashes, again)]])
-            gone = covered(len(r.texts.data), starts, length)
-            for j in range(r.texts.n):
-                a, b = r.texts.offsets[j], r.texts.offsets[j + 1]
-                edges = np.flatnonzero(np.diff(gone[a:b].astype(np.int8), prepend=0, append=0)).reshape(-1, 2) if b > a else np.zeros((0, 2), int)
-                out["doc_id"].append(ids[row + j])
-                out["n_bytes"].append(int(b - a))
-                out["n_removed"].append(int((edges[:, 1] - edges[:, 0]).sum()))
-                out["n_spans"].append(len(edges))
-                out["kept_sha256"].append(hashlib.sha256(r.texts.data[a:b][~gone[a:b]].tobytes()).hexdigest())
-                out["spans"].append([{"start": int(x), "stop": int(y)} for x, y in edges])
+        out: dict[str, list] = {name: [] for name in _OUT.names}
+        if replies[1].any():
+            c = opened(table)
+            runs = c.open_runs(replies[0])
+            kinds = c.kinds(runs, replies[1])
+            keys, checks, places = c.last(runs, kinds)
+            again = c._split(replies[2][distinct(keys, checks)[2]] > 0 if len(keys) else np.zeros(0, bool), [len(p) for p in places])
+            for (row, r), x, k, at, hit in zip(c.parts, runs, kinds, places, again, strict=True):
+                whole = x[k == REPEATED]
+                starts = np.concatenate([r.first[whole], at[hit]])
+                sizes = np.concatenate([(r.last - r.first)[whole] + length, np.full(int(hit.sum()), length)])
+                _append(out, ids[row : row + r.texts.n], r.texts, covered(len(r.texts.data), starts, sizes) if len(starts) else None)
+        else:
+            for row, t in pieces(table["text"]):
+                _append(out, ids[row : row + t.n], t, None)
         return pa.table(out, schema=_OUT)
 
-    return with_answers_of_two(chunks, both, finish, SCHEMA)
+    first = answered(per_chunk(chunks, first_pass), _shared, [("twice", "u1")])
+    second = answered(with_answers(chunks, [first], second_pass, ASK), _kinds, SECOND.descr)
+    last = answered(with_answers(chunks, [first, second], last_pass, ASK), _shared, LAST.descr)
+    return with_answers(chunks, [first, second, last], finish, SCHEMA)
+
+
+def _append(out: dict[str, list], ids: list, texts: Texts, gone: np.ndarray | None) -> None:
+    """Rows of _OUT for some texts; gone: which of their bytes go, None for none."""
+    for k, doc_id in enumerate(ids):
+        a, b = int(texts.offsets[k]), int(texts.offsets[k + 1])
+        mine = None if gone is None else gone[a:b]
+        if mine is None or not mine.any():
+            edges, kept = np.zeros((0, 2), int), texts.data[a:b]
+        else:
+            edges, kept = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2), texts.data[a:b][~mine]
+        out["doc_id"].append(doc_id)
+        out["n_bytes"].append(b - a)
+        out["n_removed"].append(b - a - len(kept))
+        out["n_spans"].append(len(edges))
+        out["kept_sha256"].append(hashlib.sha256(kept.tobytes()).hexdigest())
+        out["spans"].append([{"start": int(x), "stop": int(y)} for x, y in edges])

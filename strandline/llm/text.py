@@ -87,9 +87,9 @@ class Texts:
         starts, stops = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         return starts, stops, np.searchsorted(starts, self.offsets)
 
-    def word_hashes(self, starts: np.ndarray, stops: np.ndarray, lower: bool = False) -> np.ndarray:
+    def word_hashes(self, starts: np.ndarray, stops: np.ndarray, lower: bool = False, which: int = 0) -> np.ndarray:
         data = LOWER[self.data] if lower else self.data
-        return spans(prefix_sums(byte_values(data)), starts, stops)
+        return spans(prefix_sums(byte_values(data, which), which), starts, stops, which)
 
 
 def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[tuple[int, Texts]]:
@@ -121,9 +121,7 @@ def ngram_hashes(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.nda
     return spans(prefix_sums(hashes), at, at + n), at
 
 
-def covered(n: int, starts: np.ndarray, length: int) -> np.ndarray:
+def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:
     """Which of n places lie in any of the spans [start, start + length)."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, np.minimum(starts + length, n), -1)
-    return np.cumsum(change[:-1]) > 0
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(np.minimum(starts + length, n), minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
