@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.decontaminate import decontaminated
-from strandline.llm.exchange import staged
+from strandline.llm.exchange import staged_alone
 from strandline.llm.group_join import ngram_join
-from strandline.llm.mixing import mix
+from strandline.llm.mixing import laid_out, mix
 from strandline.llm.rules import quality_rules
 from strandline.llm.sharding import shard
 
@@ -40,8 +40,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mix(docs).withColumn("place", F.explode("mix.places")).select(*docs.columns)
+    """The mix: each document as often as it is dealt out, the rows of an output shard together and shuffled."""
+    return laid_out(mix(docs)).select(*docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = staged(docs)
-    return docs
+        if k + 1 == len(STAGES):
+            return stage(spark, docs, sf_dir)
+        docs = staged_alone(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))

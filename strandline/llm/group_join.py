@@ -109,6 +109,46 @@ def _could_match(na: str, nb: str, pa_: str, pb: str, percent: int) -> F.Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b)) & (F.least(a - F.col(pa_), b - F.col(pb)) >= least)
 
 
+#: A key of very many rows is joined in so many parts.
+SALTS = 64
+#: Rows of a list that one task pairs with others at once.
+LIST = 256
+
+
+def _salt(column: str) -> F.Column:
+    return F.pmod(F.xxhash64(F.lit(17), column), F.lit(SALTS)).cast("int")
+
+
+def _with_group(rows: DataFrame, key: list[str], spread: str, **least: F.Column) -> DataFrame:
+    """rows with the least of each expression over their key.  Values go back to a key's rows by parts, so that no task gets all of a key.
+
+    spread: a column by whose hash a key's rows are parted.  A group is at most a row for each part, a part's a row for each key.
+    """
+    parted = rows.withColumn("_salt", _salt(spread))
+    parts = parted.groupBy(*key, "_salt").agg(*(F.min(c).alias(n) for n, c in least.items()))
+    whole = parts.groupBy(*key).agg(*(F.min(n).alias(n) for n in least), F.collect_set("_salt").alias("_salts"))
+    return parted.join(whole.withColumn("_salt", F.explode("_salts")).drop("_salts"), [*key, "_salt"]).drop("_salt")
+
+
+def _open_pairs(listed: DataFrame, key: str, percent: int) -> DataFrame:
+    """Pairs of (group, component) that share a key, have unlike components and pass the bounds.
+
+    Only lists whose rows are not all of one component are paired: each in blocks of LIST rows, and only with sizes of the
+    same band or the next, so that a list of any length is many tasks.
+    """
+    band = F.floor(F.log("n") / F.log(F.lit(100 / percent))).cast("int")
+    parts = listed.withColumn("_salt", _salt("group_id")).groupBy(key, "_salt").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"))
+    mixed = parts.groupBy(key).agg(F.min("x").alias("x"), F.max("y").alias("y"), F.sum("c").alias("c"), F.collect_set("_salt").alias("_salts")).where("x < y")
+    mixed = mixed.select(key, F.ceil(F.col("c") / LIST).cast("int").alias("blocks"), F.explode("_salts").alias("_salt"))
+    rows = staged(listed.withColumn("_salt", _salt("group_id")).join(mixed, [key, "_salt"]).select(key, "blocks", "group_id", "n", "place", "comp", band.alias("band")))
+    left, right = (rows.select(key, "blocks", "band", *(F.col(c).alias(f"{c}_{s}") for c in ("group_id", "n", "place", "comp"))) for s in "ab")
+    left = left.withColumn("block", F.pmod(F.xxhash64("group_id_a", "comp_a"), F.col("blocks")).cast("int")).drop("blocks")
+    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    right = right.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    pairs = left.join(right, [key, "block", "band"]).where(F.col("comp_a") < F.col("comp_b")).where(_could_match("n_a", "n_b", "place_a", "place_b", percent))
+    return pairs.select("group_id_a", "comp_a", "group_id_b", "comp_b")
+
+
 def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, percent: int = 80, chunk_bytes: int = 4 << 20) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, class_id (least id with the same set), component_id.
 
@@ -120,43 +160,49 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     sets = staged(prefixed_sets(docs, doc_id, text, shingle, percent, chunk_bytes))
     known = sets.where("doc_id IS NOT NULL AND n_shingles > 0")
     key = ["n_shingles", "set_a", "set_b"]
-    classes = known.groupBy(*key).agg(F.min("doc_id").alias("class_id"))
+    light = known.select("doc_id", *key)
+    classed = staged(_with_group(light, key, "doc_id", class_id=F.col("doc_id")))
+    classes = classed.where("doc_id = class_id").distinct()
     # one row per distinct set that could have a partner
-    nodes = known.where("size(tokens) > 0").join(classes, key).where("doc_id = class_id").dropDuplicates(key)
+    nodes = known.where("size(tokens) > 0").join(classes.select("doc_id", *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
     nodes = staged(nodes.withColumn("group_id", F.xxhash64("n_shingles", "prefix_key")).select("doc_id", "n_shingles", "group_id", "tokens", "places", "shared"))
 
     # postings of groups: one member stands for its group, as all have the same prefix and size
-    groups = nodes.groupBy("group_id").agg(F.min("doc_id").alias("leader"), F.first("n_shingles").alias("n"), F.min_by(F.arrays_zip("tokens", "places"), "doc_id").alias("prefix"))
-    postings = staged(groups.select("group_id", "leader", "n", F.explode("prefix").alias("p")).select("group_id", "leader", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place")))
+    members = staged(_with_group(nodes.select("doc_id", "n_shingles", "group_id"), ["group_id"], "doc_id", leader=F.col("doc_id")))
+    leaders = members.where("doc_id = leader").select("doc_id")
+    prefix = nodes.join(leaders, "doc_id", "left_semi").select("group_id", F.col("doc_id").alias("leader"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    postings = staged(prefix.select("group_id", "leader", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place")))
 
     # leaders: of each group, and of each list of groups of about the same size
-    of_group = nodes.join(groups.select("group_id", "leader"), "group_id").select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
-    banded = postings.withColumn("band", F.floor(F.log("n") / F.log(F.lit(100 / percent))))
-    lists = banded.groupBy("token", "band").agg(F.min("leader").alias("a"), F.count("*").alias("c")).where("c > 1")
-    of_list = banded.join(lists, ["token", "band"]).select("a", F.col("leader").alias("b"))
+    of_group = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
+    banded = postings.select("token", F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("band"), "leader")
+    of_list = _with_group(banded, ["token", "band"], "leader", a=F.col("leader")).select("a", F.col("leader").alias("b"))
     links = staged(_verified(of_group.unionAll(of_list).where("a <> b").distinct(), nodes, percent))
 
     # rows of one id with different sets are one document to links
-    owned = known.join(classes, key).select("doc_id", "class_id").distinct()
+    sets_of = F.struct(*key)
+    several = light.groupBy("doc_id").agg(F.min(sets_of).alias("lo"), F.max(sets_of).alias("hi")).where("lo <> hi").select("doc_id")
+    owned = classed.join(several, "doc_id", "left_semi").select("doc_id", "class_id").distinct()
     same = owned.join(owned.groupBy("doc_id").agg(F.min("class_id").alias("b")), "doc_id").select(F.col("class_id").alias("a"), "b").where("a <> b")
     parts = components(links)
-    at = staged(nodes.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "group_id", F.coalesce("component", "doc_id").alias("comp")))
+    at = staged(members.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", "n_shingles", "group_id", F.coalesce("component", "doc_id").alias("comp")))
 
     # the rest: groups that share a shingle of their prefixes and have members in different components
-    placed = at.select("group_id", "comp").distinct()
-    listed = postings.join(placed, "group_id")
-    split = listed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("token")
-    open_ = staged(listed.join(split, "token").select("token", "group_id", "n", "place", "comp"))
-    left, right = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("group_id", "n", "place", "comp"))) for s in "ab")
-    pairs = left.join(right, "token").where(F.col("comp_a") < F.col("comp_b")).where(_could_match("n_a", "n_b", "place_a", "place_b", percent))
-    pairs = pairs.groupBy("group_id_a", "comp_a", "group_id_b", "comp_b").agg(F.count("*").alias("hits"))
-    inside = placed.alias("l").join(placed.alias("r"), "group_id").where("l.comp < r.comp").select(F.col("group_id").alias("group_id_a"), F.col("l.comp").alias("comp_a"), F.col("group_id").alias("group_id_b"), F.col("r.comp").alias("comp_b"))
-    pairs = pairs.drop("hits").unionAll(inside).distinct()
+    placed = at.select("group_id", "comp", F.col("n_shingles").alias("n")).distinct()
+    listed = postings.select("token", "group_id", "place").join(placed, "group_id")
+    between = _open_pairs(listed, "token", percent)
+    inside = _open_pairs(placed.withColumn("place", F.lit(0)).withColumn("group", F.col("group_id")), "group", percent)
+    pairs = between.unionAll(inside).distinct()
     member_a = at.select(F.col("group_id").alias("group_id_a"), F.col("comp").alias("comp_a"), F.col("doc_id").alias("a"))
     member_b = at.select(F.col("group_id").alias("group_id_b"), F.col("comp").alias("comp_b"), F.col("doc_id").alias("b"))
     rest = pairs.join(member_a, ["group_id_a", "comp_a"]).join(member_b, ["group_id_b", "comp_b"]).select("a", "b").distinct()
     more = staged(_verified(rest, nodes, percent))
     final = components(links.unionAll(more).unionAll(same))
 
-    out = sets.select("doc_id", "n_shingles", *key[1:]).join(classes, key, "left").withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id"))).join(final.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
+    # a class's component goes back to its rows by parts, too
+    found = classes.select("class_id", *key).join(final.withColumnRenamed("node", "class_id"), "class_id").select(*key, F.col("component").alias("least"))
+    rows = classed.select("doc_id", *key, "class_id", F.lit(None).cast("long").alias("least")).unionAll(found.select(F.lit(None).cast("long").alias("doc_id"), *key, F.lit(None).cast("long").alias("class_id"), "least"))
+    rows = _with_group(rows, key, "doc_id", component=F.col("least")).where("doc_id IS NOT NULL")
+    out = rows.select("doc_id", "n_shingles", "class_id", F.coalesce("component", "class_id").alias("component_id"))
+    rest = sets.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return out.unionAll(rest)

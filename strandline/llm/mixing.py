@@ -77,20 +77,36 @@ def _left(total: int, node: int, level: int, shards: int) -> int:
     return total if here <= left else round(total * left / here)
 
 
+#: Blocks that one task orders; the blocks of a large source are ordered in such parts.
+PART = 1 << 16
+
+
+def _before(df: DataFrame, key: str, part: str, order: list[str], value: str, out: str) -> DataFrame:
+    """df with out: the sum of value over the key's rows before each row, along part and then order.
+
+    The sums of parts are added up first, so that a key of very many rows is one task for each part.
+    """
+    up_to = (Window.unboundedPreceding, Window.currentRow)
+    sums = df.groupBy(key, part).agg(F.sum(value).alias("_s"))
+    ahead = sums.select(key, part, (F.sum("_s").over(Window.partitionBy(key).orderBy(part).rowsBetween(*up_to)) - F.col("_s")).alias("_ahead"))
+    inside = F.sum(value).over(Window.partitionBy(key, part).orderBy(*order).rowsBetween(*up_to)) - F.col(value)
+    return df.join(ahead, [key, part]).withColumn(out, F.col("_ahead") + inside).drop("_ahead")
+
+
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), repeats: int = 3, block_words: int = 100_000, shard_words: int = 4_000_000, seed: int = 11) -> DataFrame:
     """docs with one more struct column `mix`: size, source_size, target, copies and places, an array of (shard, position).
 
     Size is a text's number of words (null: 0).  Sources weigh weights[0], [1], ... by code point, null last, repeating,
     and share all words; none takes more than `repeats` times its own, the excess goes to the others by weight.  A
     source's blocks are each taken floor(target / size) times, and in the permuted order once more until the target is
-    met, the last block in part; the error is at most about a document.  copies is how often the mix takes the document,
-    places where: to read the mix, explode places and sort by shard and position.  A document without words is never
-    taken; equal rows are separate documents of equal fate but for the part of the last block; all other columns stay.
+    met, the last block in part; the error is at most about a document.  The tree deals all these block copies to shards
+    of about shard_words, and a document is where its block's copies are dealt to: places, of which there are `copies`.
+    To read the mix, explode places and sort by shard and position (see laid_out).  A document without words is never
+    taken; equal rows are separate documents of equal fate; all other columns stay.
     """
     key, order = F.xxhash64(F.col(source).cast("string")), F.xxhash64(F.lit(seed), F.col(doc_id).cast("string"), F.col(text).cast("string"))
-    rows = docs.select(F.col(source).cast("string").alias("source"), word_count(text).alias("size"), order.alias("h"), F.octet_length(F.col(source).cast("string")).alias("_"))
-    from_rows = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    sizes = staged(from_rows)
+    rows = staged(docs.select(F.col(source).cast("string").alias("source"), word_count(text).alias("size"), order.alias("h")))
+    sizes = staged(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     by_code = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*(F.lit(float(w)) for w in weights))
     total = sizes.agg(F.sum("source_size").cast("double").alias("total"))
@@ -100,21 +116,22 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     targets = targets.withColumn("rest", F.col("target") - F.col("full") * F.col("source_size")).withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(block_words))))
     targets = staged(targets.withColumn("source_key", F.xxhash64("source")))
 
-    def block(h: str) -> F.Column:
-        """The block of a permuted document: an equal part of the range of hashes."""
-        return F.floor(F.shiftrightunsigned(F.col(h), 11).cast("double") / F.lit(float(1 << 53)) * F.col("n_blocks")).cast("long")
+    def unit(h: F.Column) -> F.Column:
+        return F.shiftrightunsigned(h, 11).cast("double") / F.lit(float(1 << 53))
+
+    #: The block of a permuted document: an equal part of the range of hashes.
+    block = F.floor(unit(F.col("h")) * F.col("n_blocks")).cast("long")
 
     # what each block holds, and how much of it the last round takes
-    sized = rows.where("size > 0").withColumn("source_key", F.xxhash64("source")).join(targets.select("source_key", "n_blocks"), "source_key")
-    blocks = sized.groupBy("source_key", block("h").alias("block")).agg(F.sum("size").alias("words"))
-    along = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.join(targets.select("source_key", "full", "rest"), "source_key").withColumn("before", F.sum("words").over(along) - F.col("words"))
-    need = F.col("rest") - F.col("before")
-    blocks = staged(blocks.select("source_key", "block", "words", "full", F.greatest(F.lit(0.0), F.least(need, F.col("words").cast("double"))).alias("need")).withColumn("extra", (F.col("need") > 0).cast("long")))
-
-    # the last block of a source is taken in part: documents in permuted order while they fit, then the largest that still fits
+    sized = rows.where("size > 0").withColumn("source_key", F.xxhash64("source")).join(targets.select("source_key", "n_blocks"), "source_key").withColumn("block", block)
+    blocks = staged(sized.groupBy("source_key", "block").agg(F.sum("size").alias("words")).withColumn("part", F.floor(F.col("block") / PART)))
+    blocks = _before(blocks, "source_key", "part", ["block"], "words", "before").join(targets.select("source_key", "full", "rest", "n_blocks"), "source_key")
+    need = F.greatest(F.lit(0.0), F.least(F.col("rest") - F.col("before"), F.col("words").cast("double")))
+    blocks = staged(blocks.select("source_key", "block", "n_blocks", "words", "full", need.alias("need")))
+
+    # the last block of a source is taken in part: documents in permuted order while they fit, then the one that comes nearest
     part = blocks.where("need > 0 AND need < words").select("source_key", "block", "need")
-    inside = sized.withColumn("block", block("h")).join(part, ["source_key", "block"]).groupBy("source_key", "block", "need", "h", "size").agg(F.count("*").alias("c"))
+    inside = sized.join(part, ["source_key", "block"]).groupBy("source_key", "block", "need", "h", "size").agg(F.count("*").alias("c"))
     up_to = Window.partitionBy("source_key", "block").orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     inside = inside.withColumn("upto", F.sum(F.col("size") * F.col("c")).over(up_to))
     gap = F.max(F.when(F.col("upto") <= F.col("need"), F.col("upto"))).over(Window.partitionBy("source_key", "block"))
@@ -123,29 +140,34 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     late = inside.where("upto > need").groupBy("source_key", "block").agg(closest.alias("one"), F.min(F.abs(F.col("gap") - F.col("size") * F.col("c")) - F.col("gap")).alias("gain"))
     chosen = inside.where("upto <= need").select("source_key", "h").unionAll(late.where("gain < 0").select("source_key", F.col("one").alias("h"))).distinct().withColumn("chosen", F.lit(True))
 
-    # block copies dealt to shards
+    # a source's block copies in a permuted order, round by round; the tree deals the shards disjoint ranges of it
+    rounds = F.col("full") + (F.col("need") > 0).cast("long")
+    copies = blocks.where(rounds > 0).withColumn("copy", F.explode(F.sequence(F.lit(1), rounds.cast("int"))))
+    turn = F.xxhash64(F.lit(seed), "block", "copy")
+    parts = F.ceil(F.col("n_blocks") / F.lit(PART))
+    copies = copies.withColumn("turn", turn).withColumn("part", F.col("copy") * parts + F.floor(unit(F.col("turn")) * parts)).withColumn("one", F.lit(1).cast("long"))
+    copies = _before(copies, "source_key", "part", ["turn", "block"], "one", "at")
     shards = total.select(F.greatest(F.lit(1), F.ceil(F.coalesce("total", F.lit(0.0)) / F.lit(float(shard_words))))).first()[0]
-    copies = blocks.groupBy("source_key").agg(F.sum(F.col("full") + F.col("extra")).cast("long").alias("n")).where("n > 0")
-    quotas = split_quotas(copies, int(shards), seed)
+    quotas = split_quotas(blocks.groupBy("source_key").agg(F.sum(rounds).cast("long").alias("n")).where("n > 0"), int(shards), seed)
     line = Window.partitionBy("source_key").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    quotas = quotas.withColumn("stop", F.sum("n").over(line)).select("source_key", "shard", F.explode(F.sequence(F.col("stop") - F.col("n"), F.col("stop") - 1)).alias("at"))
-    taken = blocks.where("full + extra > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), (F.col("full") + F.col("extra")).cast("int"))))
-    # a source's copies of blocks in a permuted order, the numbers of which are the shards' disjoint ranges
-    turn = Window.partitionBy("source_key").orderBy("copy", F.xxhash64(F.lit(seed), "block", "copy"), "block")
-    taken = taken.withColumn("at", (F.row_number().over(turn) - 1).cast("long"))
-    dealt = taken.join(quotas, ["source_key", "at"])
-    places = dealt.groupBy("source_key", "block", "full", "need", "words").agg(F.sort_array(F.collect_list(F.struct("copy", F.col("shard").cast("int").alias("shard")))).alias("deals"))
-    places = staged(places)
+    quotas = quotas.withColumn("stop", F.sum("n").over(line)).select("source_key", F.col("shard").cast("int").alias("shard"), F.explode(F.sequence(F.col("stop") - F.col("n"), F.col("stop") - 1)).alias("at"))
+    in_part = (F.col("copy") > F.col("full")) & (F.col("need") < F.col("words"))
+    deal = F.struct("copy", "shard", in_part.alias("in_part"))
+    deals = staged(copies.join(quotas, ["source_key", "at"]).groupBy("source_key", "block").agg(F.sort_array(F.collect_list(deal)).alias("deals")))
 
     kept = [c for c in docs.columns if c != "mix"]
     out = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), key.alias("source_key"), word_count(text).alias("size"), order.alias("h"))
-    out = out.join(targets.select("source_key", "n_blocks", "source_size", "target"), "source_key").withColumn("block", F.when(F.col("size") > 0, block("h")))
-    out = out.join(places.select("source_key", "block", "full", "need", "words", "deals"), ["source_key", "block"], "left")
-    out = out.join(chosen, ["source_key", "h"], "left")
-    whole = (F.col("need") >= F.col("words")) | F.coalesce("chosen", F.lit(False))
-    n = F.when(F.col("deals").isNotNull(), F.col("full").cast("int") + whole.cast("int")).otherwise(F.lit(0))
-    # all but the round in part take a block whole; that round's deals stand last
-    mine = F.slice(F.coalesce("deals", F.array().cast("array<struct<copy:int,shard:int>>")), F.lit(1), F.col("copies"))
-    at = F.transform(mine, lambda d: F.struct(d.shard.alias("shard"), F.xxhash64(F.lit(seed), F.col("h"), d.copy).alias("position")))
-    out = out.withColumn("copies", n).withColumn("places", at)
-    return out.select("row.*", F.struct("size", "source_size", F.col("target").alias("target"), "copies", "places").alias("mix"))
+    out = out.join(targets.select("source_key", "n_blocks", "source_size", "target"), "source_key").withColumn("block", F.when(F.col("size") > 0, block))
+    out = out.join(deals, ["source_key", "block"], "left").join(chosen, ["source_key", "h"], "left")
+    mine = F.filter(F.coalesce("deals", F.array().cast("array<struct<copy:int,shard:int,in_part:boolean>>")), lambda d: ~d.in_part | F.coalesce("chosen", F.lit(False)))
+    out = out.withColumn("places", F.transform(mine, lambda d: F.struct(d.shard.alias("shard"), F.xxhash64(F.lit(seed), F.col("h"), d.copy).alias("position"))))
+    return out.select("row.*", F.struct("size", "source_size", "target", F.size("places").alias("copies"), "places").alias("mix"))
+
+
+def laid_out(mixed: DataFrame) -> DataFrame:
+    """The mix itself: a row for each place of mix()'s rows, those of a shard together and in the order of their positions; `mix` goes.
+
+    A shard is one task's rows: about shard_words words, whatever the corpus.
+    """
+    placed = mixed.withColumn("_place", F.explode("mix.places"))
+    return placed.repartition(F.col("_place.shard")).sortWithinPartitions("_place").drop("_place", "mix")

@@ -115,11 +115,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     held_out rows have crc32(doc_id as text) mod folds = 0 and teach nothing.  The machine is fitted on the labelled others
     with the least hashes of their ids, at most max_fit_rows of them; every text is scored whole.  Null and empty texts
     are scored by their structure; a null doc_id is never held out and teaches nothing; without labelled rows all scores are
-    0.5.  Repeated rows get equal scores; other columns are ignored.
+    0.5.  Of unlike labels of an id the least holds.  Repeated rows get equal scores; other columns are ignored.
     """
     spark = docs.sparkSession
     held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds)) == 0, F.lit(False))
-    marks = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL").where(~held & F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    marks = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where("y IS NOT NULL").where(~held & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("y").alias("y"))
     marks = marks.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_fit_rows)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 

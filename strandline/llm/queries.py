@@ -45,7 +45,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(read(spark, sf_dir, "documents"))
-    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken"))
+    places = F.col("mix.places")
+    return out.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.size(places)).alias("taken"), F.transform(places, lambda p: p.shard).alias("shards"))
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +58,8 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digests(formatted: pa.Array, turns: pa.Array, loss: pa.Array) -> pa.Array:
         found = []
         for text, spans, mask in zip(formatted.to_pylist(), turns.to_pylist(), loss.to_pylist(), strict=True):
-            back = "".join(f"{role_of(text[s['block_start'] : s['start']])}\n{unescape(text[s['start'] : s['stop']])}\n" for s in spans)
-            learnt = "".join(unescape(text[s["start"] : s["stop"]]) for s in mask)
+            back = "".join(f"{role_of(text[s['block_start'] : s['start']])}\n{unescape(text[s['start'] : s['stop']])}\n" for s in spans if s)
+            learnt = "".join(unescape(text[s["start"] : s["stop"]]) for s in mask if s)
             found.append({"turns_sha256": hashlib.sha256(back.encode()).hexdigest(), "loss_chars": len(learnt), "loss_sha256": hashlib.sha256(learnt.encode()).hexdigest()})
         return pa.array(found, pa.struct([("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string())]))
 
@@ -105,8 +106,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
-ORACLE_SQL: dict[str, str] = {
-    "op3_sharding": f"""
+
+
+def sharding_sql(limit: int) -> str:
+    """SQL of op3 for shards of `limit` bytes, if no id and text is so often repeated that 60 bits can't part its rows."""
+    return f"""
 WITH d AS (
   SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes,
          CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || chr(31) || coalesce(text, '')), 1, 15) AS BIGINT) AS key
@@ -115,12 +119,29 @@ sums AS (
   SELECT depth, key >> (60 - depth) AS prefix, CAST(sum(n_bytes) AS BIGINT) AS n
   FROM d, unnest(range(0, 61)) t(depth) GROUP BY ALL),
 leaf AS (
-  SELECT d.doc_id, d.key, d.n_bytes, coalesce(min(depth) FILTER (WHERE n <= {SHARD_BYTES}), 60) AS depth
+  SELECT d.doc_id, d.key, d.n_bytes, coalesce(min(depth) FILTER (WHERE n <= {limit}), 60) AS depth
   FROM d JOIN sums ON prefix = key >> (60 - depth) GROUP BY ALL)
 SELECT doc_id, n_bytes, left(lpad(bin(key), 60, '0'), CAST(l.depth AS INT)) AS shard_id, CAST(l.depth AS BIGINT) AS shard_depth,
        s.n AS shard_bytes, CAST(0 AS INT) AS shard_part
 FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.key >> (60 - l.depth)
+"""
+
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_radix_dedup": """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (SELECT doc_id, i, md5_number(array_slice(b, i + 1, i + 400)) AS g FROM b, unnest(range(0, octet_length(b) - 399)) t(i)),
+again AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM w SEMI JOIN again USING (g)),
+runs AS (SELECT doc_id, i, sum((p IS NULL OR i > p + 400)::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts),
+gone AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS z FROM runs GROUP BY ALL),
+after AS (SELECT doc_id, run, z, lead(a) OVER (PARTITION BY doc_id ORDER BY run) AS a FROM gone UNION ALL SELECT doc_id, 0, 0, (SELECT min(a) FROM gone WHERE gone.doc_id = b.doc_id) FROM b),
+kept AS (SELECT doc_id, string_agg(hex(array_slice(b, z + 1, coalesce(a, octet_length(b)))), '' ORDER BY run) AS k FROM after JOIN b USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM gone GROUP BY doc_id)
+SELECT b.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256
+FROM b JOIN kept USING (doc_id) LEFT JOIN n USING (doc_id)
 """,
+    "op3_sharding": sharding_sql(SHARD_BYTES),
     "op5_chat_format": r"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

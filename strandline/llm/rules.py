@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import staged
 from .text import Texts, covered, ngram_hashes, pieces
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_digits", "n_marks")
@@ -162,19 +163,19 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_
     base_failed: fewer than 20 words, or over 30 % of the words in 8-word windows that the text repeats.  kept: base rules
     passed and the forest's score is under the calibrated limit.  At most max_fit_rows labelled documents that pass the base
     rules (the least hashes of their ids) make the forest: it is grown on the good ones (on all, if none is good), with
-    splits over the range of all; the limit comes from the scores of all that are labelled and pass.  Without labelled rows the forest is grown on documents and nothing is rejected by it.  Null and empty texts fail
-    for want of words; repeated rows get the same verdict; all columns stay, an own column named `rules` is replaced.
+    splits over the range of all; the limit comes from the scores of all that are labelled and pass.  Of unlike labels of
+    an id the least holds.  Without labelled rows the forest is grown on documents and nothing is rejected by it.  Null and
+    empty texts fail for want of words; repeated rows get the same verdict; all columns stay, an own column named `rules` is
+    replaced.
     """
     spark = docs.sparkSession
     counted = docs.select(F.col(doc_id).cast("long").alias("id"), rule_counts(text).alias("c"))
     passing = counted.where(~base_failed("c"))
     if labels is not None:
-        marks = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").dropDuplicates(["id"])
+        marks = labels.select(F.col(doc_id).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id IS NOT NULL AND y IS NOT NULL").groupBy("id").agg(F.min("y").alias("y"))
         passing = passing.join(marks, "id")
     else:
         passing = passing.withColumn("y", F.lit(1))
-    from .exchange import staged
-
     passing = staged(passing.select("id", "y", "c.*"))
     fit = passing.orderBy(F.xxhash64("id"), "id").limit(max_fit_rows).toPandas()
     rows, good = statistics({c: fit[c].to_numpy() for c in COUNTS}), fit["y"].to_numpy() != 0

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm.decontaminate import benchmark_matches, decontaminated, near_segment
-from strandline.llm.mixing import mix, split_quotas
+from strandline.llm import mixing
+from strandline.llm.mixing import laid_out, mix, split_quotas
 from strandline.llm.quality_fm import Machine, fitted, quality_scores
 from strandline.llm.sharding import shard
 
@@ -125,6 +126,31 @@ def test_quotas_are_exact_and_fair(spark):
     assert all(abs(r.n - 180) < 25 for r in got if r.source_key == 1)
 
 
+def test_documents_are_where_the_tree_deals_their_blocks(spark, monkeypatch):
+    rows = corpus(3, 200)
+    given = dict(block_words=100, shard_words=1000)
+    out = mix(table(spark, rows), **given)
+    shards = Counter(p.shard for r in out.collect() for p in r.mix.places)
+    assert len(shards) > 3
+    taken = {r.doc_id: r.mix.places for r in out.collect() if r.mix.copies}
+    parts = defaultdict(list)
+    for r in laid_out(out).select("doc_id", F.spark_partition_id().alias("part")).collect():
+        parts[r.part].append(r.doc_id)
+    assert Counter(d for ids in parts.values() for d in ids) == {d: len(p) for d, p in taken.items()}
+    by_shard = defaultdict(list)
+    for doc, places in taken.items():
+        for p in places:
+            by_shard[p.shard].append((p.position, doc))
+    # each shard's documents stand together, in the order of their positions
+    for members in by_shard.values():
+        want = [doc for _, doc in sorted(members)]
+        assert any(ids[k : k + len(want)] == want for ids in parts.values() for k in range(len(ids)))
+    monkeypatch.setattr(mixing, "split_quotas", lambda blocks, shards, seed: blocks.select("source_key", F.lit(0).alias("shard"), "n"))
+    assert Counter(p.shard for r in mix(table(spark, rows), **given).collect() for p in r.mix.places).keys() == {0}
+    monkeypatch.setattr(mixing, "split_quotas", lambda blocks, shards, seed: blocks.select("source_key", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("n")).where("n > 0"))
+    assert sum(r.mix.copies for r in mix(table(spark, rows), **given).collect()) == 0
+
+
 def test_mix_of_odd_rows(spark):
     assert mix(spark.createDataFrame([], COLUMNS)).collect() == []
     rows = [(None, None, None, None, None), (1, "a b c", None, None, None), (1, "a b c", None, None, None)]
