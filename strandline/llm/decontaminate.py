@@ -6,6 +6,10 @@ outputs that agree in most places, so that sampled places are a locality-sensiti
 items are embedded by several walks; windows and items that agree on a key of any walk are compared exactly.  Windows that
 can't be near any item, because too few of their runs of two or three words occur in the items at all (an edit destroys two
 or three of them), are not walked.
+
+Two walks drift apart over many edits, so an item of more than SEGMENT words is walked in equal segments of at most as
+many: of the segments of an item within its share of edits one at least is within the same share of its own length.
+What is compared in the end is always the whole item.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import staged
 from .text import Texts, mix, pieces
 
 _U = np.uint64
@@ -26,6 +32,8 @@ _DDL = "array<struct<item_id:long,start:long,n_words:long,edits:long>>"
 _TABLE = 22
 #: Bytes of item texts that a task is given at once; more items are taken in blocks, each against all documents.
 BLOCK_BYTES = 4 << 20
+#: Words of an item that are walked at once.
+SEGMENT = 64
 #: Pieces of text whose windows are walked together.
 PIECES = 16
 
@@ -73,20 +81,21 @@ class Items:
             for n, table in enumerate((self.single, self.pairs, self.triples), 1):
                 if len(h) >= n:
                     table[_slot(_run(h, n))] = True
-        # classes of items of like length: least length, most edits, and for each table its sorted keys with their items
+        # classes of segments of like length: least length, most edits, and for each table its sorted keys with their (item, offset)
         by_length = defaultdict(list)
         for k, w in enumerate(self.words):
-            by_length[_class(len(w))].append(k)
+            for start, stop in _segments(len(w)):
+                by_length[_class(stop - start)].append((k, start, stop))
         self.classes = []
         for members in by_length.values():
-            length = min(len(self.words[k]) for k in members)
-            most = max(self.edits(len(self.words[k])) for k in members)
-            rows = np.stack([self.hashes[k][:length] for k in members])
+            length = min(stop - start for _, start, stop in members)
+            most = max(self.edits(stop - start) for _, start, stop in members)
+            rows = np.stack([self.hashes[k][start : start + length] for k, start, _ in members])
             tables = []
             for keys in self.keys(rows, np.full(len(members), length)):
                 owners = defaultdict(list)
-                for key, k in zip(keys.tolist(), members, strict=True):
-                    owners[key].append(k)
+                for key, (k, start, _) in zip(keys.tolist(), members, strict=True):
+                    owners[key].append((k, start))
                 tables.append((np.array(sorted(owners), _U), dict(owners)))
             self.classes.append((length, most, tables))
 
@@ -165,16 +174,16 @@ class Items:
                 for got, (known, owners) in zip(self.keys(rows[cut], stop[cut]), tables, strict=True):
                     hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, got), len(known) - 1)] == got)
                     for j in hit.tolist():
-                        for item in owners[int(got[j])]:
+                        for item, offset in owners[int(got[j])]:
                             p = int(part[a + j])
-                            maybe[(p, int(np.searchsorted(words[p][3], at[a + j], "right")) - 1, item)].add(int(at[a + j]))
+                            maybe[(p, int(np.searchsorted(words[p][3], at[a + j], "right")) - 1, item)].add(int(at[a + j]) - offset)
         for (p, text, item), places in sorted(maybe.items()):
             if best := self._best(words[p], text, item, sorted(places)):
                 out[words[p][5] + text].append(best)
         return out
 
     def _best(self, part: tuple, text: int, item: int, places: list[int]) -> tuple[int, int, int, int] | None:
-        """The segment with the fewest edits around these windows of a text."""
+        """The segment with the fewest edits around these places of a text, where the item may start."""
         t, starts, stops, firsts, h, _ = part
         words, most = self.words[item], self.edits(len(self.words[item]))
         low, high = int(firsts[text]), int(firsts[text + 1])
@@ -198,6 +207,11 @@ def _lower(data: bytes) -> bytes:
     return data.lower()  # of bytes: A-Z only
 
 
+def _segments(n: int) -> list[tuple[int, int]]:
+    cuts = [n * k // -(-n // SEGMENT) for k in range(-(-n // SEGMENT) + 1)]
+    return list(zip(cuts[:-1], cuts[1:], strict=True))
+
+
 def _class(n: int) -> int:
     return n if n < 10 else int(10 + np.log(n / 10) / np.log(1.2))
 
@@ -214,14 +228,20 @@ def _slot(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - _TABLE)).astype(np.int64)
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str):
-    """Items in blocks of about BLOCK_BYTES, each small enough for the driver and every task."""
+def _items(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFrame, int]:
+    """item_id, text and block, in a number of blocks of about BLOCK_BYTES, each small enough for the driver and every task."""
     rows = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(text).cast("string").alias("text")).where("text IS NOT NULL AND item_id IS NOT NULL").distinct()
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     n = 1 + size // BLOCK_BYTES
-    for k in range(n):
-        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield sorted((r["item_id"], r["text"].encode()) for r in part.collect())
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
+    return (staged(rows) if n > 1 else rows), n
+
+
+def _block_hits(items: DataFrame, block: int, text: str, percent: int = 80, walks: int = 12, samples: int = 2, bits: int = 2, seed: int = 5) -> tuple[F.Column, Broadcast]:
+    """A column of a text column's hits of a block's items, and what it has broadcast."""
+    given = sorted((r["item_id"], r["text"].encode()) for r in items.where(F.col("block") == block).collect())
+    shared = items.sparkSession.sparkContext.broadcast(Items(given, percent, walks, samples, bits, seed))
+    return F.array_sort(F.array_distinct(_hits_udf(shared)(F.col(text).cast("string")))), shared
 
 
 def _hits_udf(shared):
@@ -239,32 +259,41 @@ def _hits_udf(shared):
     return hits
 
 
-def benchmark_hits(benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", percent: int = 80, walks: int = 12, samples: int = 2, bits: int = 2, seed: int = 5) -> F.Column:
-    """A column of a text column's hits: array of (item_id, start, n_words, edits), by item_id.
+def benchmark_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", **options) -> DataFrame:
+    """One row for each document and item that it holds: doc_id, item_id, start, n_words, edits.
 
-    A hit is a segment of the text's words (A-Z lower-cased; start counts from 0) that at most (100 - percent) % of the item's
-    words, rounded down, of inserted, deleted and changed words turn into the item; of an item's segments the one with
-    the fewest edits.  Exact copies are always found; of edited ones, each of walks * samples keys of `bits` places finds
-    some, together at least 95 % (measured in the tests).  Null and empty texts have no hits, null and empty items are
-    nobody's; items with several texts are found by each.
+    A match is a segment of the text's words (A-Z lower-cased; start counts from 0) that at most (100 - percent) % of the
+    item's words (percent: 80), rounded down, of inserted, deleted and changed words turn into the item; of an item's segments
+    the one with the fewest edits.  Exact copies are always found; of edited ones, each of walks * samples (12 * 2) keys of
+    `bits` (2) places finds some, together at least 95 % (measured in the tests, for items of 8 to 1,000 words).  Null and
+    empty texts have no matches, null and empty items are nobody's; items with several texts are found by each.  Repeated rows
+    give repeated matches; other columns are ignored.
+
+    Items are taken in blocks of BLOCK_BYTES, one pass over the documents for each; a pass is written before the next begins,
+    so that no more than a block is ever at the driver or in a task.
     """
-    spark = benchmark.sparkSession
-    parts = []
-    for block in _blocks(benchmark, item_id, item_text):
-        shared = spark.sparkContext.broadcast(Items(block, percent, walks, samples, bits, seed))
-        parts.append(_hits_udf(shared)(F.col(text).cast("string")))
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
+    items, n = _items(benchmark, item_id, item_text)
+    out = None
+    for block in range(n):
+        hits, shared = _block_hits(items, block, text, **options)
+        part = docs.select(F.col(doc_id).alias("doc_id"), hits.alias("hits")).select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
+        if n > 1:
+            part = staged(part)
+            shared.destroy()
+        out = part if out is None else out.unionAll(part)
+    return out
 
 
-def benchmark_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """One row for each document and item that it holds: doc_id, item_id, start, n_words, edits (see benchmark_hits).
+def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", **options) -> DataFrame:
+    """docs without the rows whose text holds a benchmark item (see benchmark_matches); all columns stay.
 
-    Repeated rows give repeated matches; other columns are ignored.
+    Of several blocks of items, each is looked for in what the one before has left.
     """
-    hits = docs.select(F.col(doc_id).alias("doc_id"), benchmark_hits(benchmark, text, **options).alias("hits"))
-    return hits.select("doc_id", F.explode("hits").alias("hit")).select("doc_id", "hit.*")
-
-
-def decontaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
-    """docs without the rows whose text holds a benchmark item; all columns stay."""
-    return docs.where(F.size(benchmark_hits(benchmark, text, **options)) == 0)
+    items, n = _items(benchmark, item_id, item_text)
+    for block in range(n):
+        hits, shared = _block_hits(items, block, text, **options)
+        docs = docs.where(F.size(hits) == 0)
+        if n > 1:
+            docs = staged(docs)
+            shared.destroy()
+    return docs

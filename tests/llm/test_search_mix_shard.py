@@ -76,6 +76,27 @@ def test_decontamination_recall_and_precision(spark, n_edits, recall):
     assert benchmark_matches(table(spark, docs), empty).count() == 0 and benchmark_matches(spark.createDataFrame([], COLUMNS), benchmark).count() == 0
 
 
+def test_long_items_and_blocks_of_items(spark, monkeypatch):
+    r = random.Random(9)
+    vocab = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(r.choice(vocab) for _ in range(n))) for k, n in enumerate([100, 300, 1000] * 4)]
+    docs = []
+    for k, item in [*items, *items]:
+        w = item.split()
+        for _ in range(len(w) // 5):
+            at, how = r.randrange(len(w)), r.randrange(3)
+            w[at : at + (how < 2)] = [r.choice(vocab)] if how else []
+        docs.append((k, " ".join([*r.choices(vocab, k=50), *w, *r.choices(vocab, k=20)]), "", "", 0))
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = {(k, k) for k in range(12)}
+    whole = benchmark_matches(table(spark, docs), benchmark).collect()
+    assert len({(x.doc_id, x.item_id) for x in whole} & want) >= 0.95 * len(want)
+    monkeypatch.setattr("strandline.llm.decontaminate.BLOCK_BYTES", 4000)
+    assert sorted(benchmark_matches(table(spark, docs), benchmark).collect()) == sorted(whole)
+    clean = [(100, "nothing of that kind", "", "", 0)]
+    assert [x.doc_id for x in decontaminated(table(spark, docs + clean), benchmark).collect()] == [x[0] for x in docs + clean if x[0] not in {h.doc_id for h in whole}]
+
+
 def filled(weights, limits, total):
     out, open_, left = [0.0] * len(weights), {k for k, x in enumerate(limits) if x > 0}, total
     while open_ and left > 0:
