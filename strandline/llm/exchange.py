@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .text import release
+
 ASK = "bucket int, chunk long, keys binary, extra binary"
 ANSWER = "chunk long, bucket int, answer binary"
 CHUNK_BYTES = 4 << 20
@@ -177,6 +179,7 @@ def answered(asked: DataFrame, decide: Callable[[np.ndarray, np.ndarray], np.nda
             group = np.empty(len(keys), np.int64)
             group[order] = np.cumsum(np.concatenate([[False], ranked[1:] != ranked[:-1]]))
         out = decide(group, extras).astype(np.uint8)
+        release()
         cut = np.concatenate([[0], np.cumsum(sizes)])
         return pa.table({"chunk": table["chunk"].cast(pa.int64()), "bucket": table["bucket"].cast(pa.int32()), "answer": pa.array([out[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())})
 

@@ -15,7 +15,7 @@ from .exchange import staged
 from .text import Texts, covered, ngram_hashes, pieces
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_distinct", "n_lines", "n_upper", "n_digits", "n_marks")
-_TYPE = pa.struct([(c, pa.int64()) for c in COUNTS])
+_DDL = "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">"
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _CLASSES = {
     "word_chars": ~_SPACE & ((np.arange(256) & 0xC0) != 0x80),
@@ -50,14 +50,19 @@ def text_counts(t: Texts, window: int = 8) -> dict[str, np.ndarray]:
     return out | rest
 
 
-def _counts(text: pa.Array) -> pa.Array:
+def _counts(text: pa.Array) -> dict[str, np.ndarray]:
     found = [text_counts(t) for _, t in pieces(text)]
-    return pa.StructArray.from_arrays([pa.array(np.concatenate([f[c] for f in found]) if found else [], pa.int64()) for c in COUNTS], fields=list(_TYPE))
+    return {c: np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in COUNTS}
 
 
 def rule_counts(text: str = "text") -> F.Column:
     """A struct of COUNTS of a text column; of nulls, zeros."""
-    return F.arrow_udf(_counts, "struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">")(F.col(text).cast("string"))
+
+    @F.arrow_udf(_DDL)
+    def counts(text: pa.Array) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in _counts(text).values()], names=list(COUNTS))
+
+    return counts(F.col(text).cast("string"))
 
 
 def statistics(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -182,17 +187,22 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, doc_id: str = "doc_
     forest = IsolationForest(rows[good] if good.any() else rows, trees, sample, among=rows)
     shared = spark.sparkContext.broadcast(forest)
 
-    @F.pandas_udf("double")
-    def score(*columns):
-        import pandas as pd
+    @F.arrow_udf("double")
+    def score(*columns: pa.Array) -> pa.Array:
+        return pa.array(shared.value.score(statistics({c: x.to_numpy() for c, x in zip(COUNTS, columns, strict=True)})), pa.float64())
 
-        return pd.Series(shared.value.score(statistics({c: x.to_numpy() for c, x in zip(COUNTS, columns, strict=True)})))
+    @F.arrow_udf(_DDL.replace(">", ",score:double>"))
+    def judged(text: pa.Array) -> pa.Array:
+        """Counts and score in one go, so that a task has one Python worker."""
+        counts = _counts(text)
+        values = [*(pa.array(x, pa.int64()) for x in counts.values()), pa.array(shared.value.score(statistics(counts)), pa.float64())]
+        return pa.StructArray.from_arrays(values, names=[*COUNTS, "score"])
 
     scored = passing.select("y", F.least(F.floor(score(*COUNTS) * BINS), F.lit(BINS - 1)).cast("int").alias("bin"))
     shares = np.zeros((2, BINS))
     for r in scored.groupBy("y", "bin").count().collect():  # at most 2 * BINS rows
         shares[1 if r["y"] else 0, r["bin"]] += r["count"]
     limit = calibrated(shares[1], shares[0])
-    out = docs.withColumn("rules", rule_counts(text))
-    out = out.withColumn("rules", F.struct("rules.*", base_failed("rules").alias("base_failed"), score(*(F.col(f"rules.{c}") for c in COUNTS)).alias("score")))
+    out = docs.withColumn("rules", judged(F.col(text).cast("string")))
+    out = out.withColumn("rules", F.struct(*(f"rules.{c}" for c in COUNTS), base_failed("rules").alias("base_failed"), F.col("rules.score").alias("score")))
     return out.withColumn("rules", F.struct("rules.*", (~F.col("rules.base_failed") & (F.col("rules.score") < limit)).alias("kept")))

@@ -108,6 +108,12 @@ def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[
             yield row + first, Texts(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
             first = last
         row += len(part)
+    release()
+
+
+def release() -> None:
+    """Give what Arrow has freed back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
 
 
 def ngram_hashes(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
