@@ -4,8 +4,9 @@ Every shingle's document count orders the shingles of a document, rarest first.
 a shingle among the first n - ceil(t n) + 1 of each; a shingle of one document alone cannot be it and is left out.
 Equal sets become one class; sets with equal prefix and size become one group, and groups are paired through the
 shingles of their prefixes under bounds of size and place; members of a surviving pair are verified on their sets.
-For components, members are first verified against one leader of each list; only sets that are still in
-different components are paired further, so that a large group of copies costs a link for each copy, not for each pair.
+For components, members are first verified against one leader of each list, the one whose shingles are the commonest on
+average: of an original and its edited copies that is the original.  Only sets that are still in different components are
+paired, so that a large group of copies costs a link for each copy, not for each pair.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .exchange import Layout, answered, chunked, measure, per_chunk, questions,
 from .text import Texts, mix, ngram_hashes, pieces, prefix_sums, spans
 
 _U = np.uint64
-_SETS = "doc_id long, n_shingles long, set_a long, set_b long, prefix_key long, tokens array<long>, places array<int>, shared array<long>"
-_SETS_OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("prefix_key", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("shared", pa.list_(pa.int64()))])
+_SETS = "doc_id long, n_shingles long, rarity long, set_a long, set_b long, prefix_key long, tokens array<long>, places array<int>, shared array<long>"
+_SETS_OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("rarity", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("prefix_key", pa.int64()), ("tokens", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("shared", pa.list_(pa.int64()))])
 
 
 def shingle_sets(texts: Texts, n: int) -> list[np.ndarray]:
@@ -83,6 +84,7 @@ def prefixed_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent
             common = np.flatnonzero(level[first] > 1)
             ranked = s[first]
             out["n_shingles"].append(n)
+            out["rarity"].append(-int(1000 * level.mean()) if n else 0)
             out["set_a"].append(int(a.sum().astype(np.int64)) if n else 0)
             out["set_b"].append(int(np.bitwise_xor.reduce(b).astype(np.int64)) if n else 0)
             out["prefix_key"].append(int((mix(ranked) * (2 * np.arange(len(ranked), dtype=_U) + _U(1))).sum().astype(np.int64)) if n else 0)
@@ -165,18 +167,19 @@ def ngram_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     classes = classed.where("doc_id = class_id").distinct()
     # one row per distinct set that could have a partner
     nodes = known.where("size(tokens) > 0").join(classes.select("doc_id", *key), ["doc_id", *key], "left_semi").dropDuplicates(["doc_id", *key])
-    nodes = staged(nodes.withColumn("group_id", F.xxhash64("n_shingles", "prefix_key")).select("doc_id", "n_shingles", "group_id", "tokens", "places", "shared"))
+    nodes = staged(nodes.withColumn("group_id", F.xxhash64("n_shingles", "prefix_key")).select("doc_id", "n_shingles", "rarity", "group_id", "tokens", "places", "shared"))
 
     # postings of groups: one member stands for its group, as all have the same prefix and size
-    members = staged(_with_group(nodes.select("doc_id", "n_shingles", "group_id"), ["group_id"], "doc_id", leader=F.col("doc_id")))
+    members = _with_group(nodes.select("doc_id", "n_shingles", "rarity", "group_id"), ["group_id"], "doc_id", first=F.struct("rarity", "doc_id"))
+    members = staged(members.withColumn("leader", F.col("first.doc_id")))
     leaders = members.where("doc_id = leader").select("doc_id")
-    prefix = nodes.join(leaders, "doc_id", "left_semi").select("group_id", F.col("doc_id").alias("leader"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
+    prefix = nodes.join(leaders, "doc_id", "left_semi").select("group_id", F.struct("rarity", F.col("doc_id").alias("id")).alias("leader"), F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("tokens", "places")).alias("p"))
     postings = staged(prefix.select("group_id", "leader", "n", F.col("p.tokens").alias("token"), F.col("p.places").alias("place")))
 
     # leaders: of each group, and of each list of groups of about the same size
     of_group = members.select(F.col("leader").alias("a"), F.col("doc_id").alias("b"))
     banded = postings.select("token", F.floor(F.log("n") / F.log(F.lit(100 / percent))).alias("band"), "leader")
-    of_list = _with_group(banded, ["token", "band"], "leader", a=F.col("leader")).select("a", F.col("leader").alias("b"))
+    of_list = _with_group(banded, ["token", "band"], "leader", first=F.col("leader")).select(F.col("first.id").alias("a"), F.col("leader.id").alias("b"))
     links = staged(_verified(of_group.unionAll(of_list).where("a <> b").distinct(), nodes, percent))
 
     # rows of one id with different sets are one document to links
