@@ -203,10 +203,17 @@ def with_answers(docs: DataFrame, replies: list[DataFrame], f: Callable[[int, pa
 
     def of_chunk(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         given = [answers(theirs.filter(pc.equal(theirs["turn"], k))) for k in range(n)]
-        return f(mine["chunk"][0].as_py() if mine.num_rows else -1, in_order(mine), given)
+        out = f(mine["chunk"][0].as_py() if mine.num_rows else -1, in_order(mine), given)
+        release()
+        return out
 
     return docs.groupBy("chunk").cogroup(both.groupBy("chunk")).applyInArrow(of_chunk, schema)
 
 
 def per_chunk(docs: DataFrame, f: Callable[[int, pa.Table], pa.Table], schema: str = ASK) -> DataFrame:
-    return docs.groupBy("chunk").applyInArrow(lambda table: f(table["chunk"][0].as_py(), in_order(table)), schema)
+    def of_chunk(table: pa.Table) -> pa.Table:
+        out = f(table["chunk"][0].as_py(), in_order(table))
+        release()
+        return out
+
+    return docs.groupBy("chunk").applyInArrow(of_chunk, schema)

@@ -57,12 +57,18 @@ def prefixed_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent
     def sets_of(table: pa.Table) -> list[np.ndarray]:
         return [s for _, t in pieces(table["text"]) for s in shingle_sets(t, shingle)]
 
-    def keys_of(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        full = [s >> shift for s in sets if len(s)]
-        return np.unique(np.concatenate(full), return_counts=True) if full else (np.zeros(0, _U), np.zeros(0, int))
+    def ranked_keys(sets: list[np.ndarray]) -> np.ndarray:
+        keys = np.concatenate([np.zeros(0, _U), *sets])
+        keys >>= shift
+        keys.sort()
+        return keys
 
     def ask(chunk: int, table: pa.Table) -> pa.Table:
-        keys, counts = keys_of(sets_of(table))
+        sets = sets_of(table)
+        keys = ranked_keys(sets)
+        sets.clear()
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+        keys, counts = keys[first], np.diff(first, append=len(keys))
         return questions(chunk, keys, bucket_bits, bits, counts.astype([("count", "<u4")]))
 
     def count(group: np.ndarray, extras: np.ndarray) -> np.ndarray:
@@ -72,7 +78,8 @@ def prefixed_sets(docs: DataFrame, doc_id: str, text: str, shingle: int, percent
 
     def prefixes(chunk: int, table: pa.Table, replies: list[np.ndarray]) -> pa.Table:
         sets, levels = sets_of(table), replies[0]
-        keys, _ = keys_of(sets)
+        keys = ranked_keys(sets)
+        keys = keys[np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]])]
         out: dict[str, list] = {name: [] for name in _SETS_OUT.names}
         out["doc_id"] = table["doc_id"]
         for s in sets:

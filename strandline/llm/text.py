@@ -6,6 +6,7 @@ polynomial hashes read off prefix sums, so that every window of a text costs a f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,9 +112,15 @@ def pieces(column: pa.Array | pa.ChunkedArray, most: int = 1 << 19) -> Iterator[
     release()
 
 
+#: Of glibc alone; elsewhere None.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def release() -> None:
-    """Give what Arrow has freed back to the system: workers live on between tasks."""
+    """Give what Arrow and numpy have freed back to the system: workers live on between tasks, beside those at work."""
     pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 def ngram_hashes(hashes: np.ndarray, firsts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
