@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import known
+from .windows import with_row_number
 
 
 def validate(df: DataFrame, required: list[str]) -> DataFrame:
@@ -81,9 +82,9 @@ def to_returns(df: DataFrame, keys: list[str], order: list[str], price: str, kin
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:
-    """<column>_code: rank of the value among the sorted distinct ones, from 0; NULL stays NULL."""
+    """<column>_code: rank of the value among the sorted distinct ones, from 0; NULL stays NULL.  Distinct values are numbered in ranges."""
     for c in columns:
-        codes = df.select(c).where(F.col(c).isNotNull()).distinct().withColumn(f"{c}_code", F.row_number().over(Window.orderBy(c)) - 1)
+        codes = with_row_number(df.select(c).where(F.col(c).isNotNull()).distinct(), [c], out=f"{c}_code").withColumn(f"{c}_code", F.col(f"{c}_code").cast("int"))
         df = df.join(codes, c, "left")
     return df
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import paths
@@ -55,9 +55,20 @@ def signature_lags(df: DataFrame, series: str, idx: str, value: str, lags: list[
 
 
 def _aligned(df: DataFrame, series: str, order: str, value: str) -> DataFrame:
-    """a, b, x, y: both series of a pair as arrays along order, each of its own times."""
+    """a, b, x, y: both series of a pair as arrays along order, each of its own times.
+
+    Pairs are made of names alone; arrays come to them by equal joins.
+    """
     one = df.groupBy(series).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda r: r[value].cast("double")).alias("v"))
-    return one.select(F.col(series).alias("a"), F.col("v").alias("x")).join(one.select(F.col(series).alias("b"), F.col("v").alias("y")), F.col("a") < F.col("b"))
+    names = df.select(F.col(series).alias("a")).distinct()
+    pairs = names.join(names.select(F.col("a").alias("b")), F.col("a") < F.col("b"))
+    return pairs.join(one.select(F.col(series).alias("a"), F.col("v").alias("x")), "a").join(one.select(F.col(series).alias("b"), F.col("v").alias("y")), "b")
+
+
+def _each_lag(rows: DataFrame, lags: list[int], scores: Column) -> DataFrame:
+    """a, b, lag, score from an array of scores in the order of lags."""
+    names = F.array(*map(F.lit, lags))
+    return rows.select("a", "b", F.posexplode(scores).alias("_k", "score")).select("a", "b", F.element_at(names, F.col("_k") + 1).alias("lag"), "score")
 
 
 def _cut(x: np.ndarray, y: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray]:
@@ -65,15 +76,20 @@ def _cut(x: np.ndarray, y: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray
     return (x[: len(x) - lag], y[lag:]) if lag >= 0 else (x[-lag:], y[: len(y) + lag])
 
 
+def _level(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = min(len(x), len(y))
+    return x[:n], y[:n]
+
+
 def dtw_lags(df: DataFrame, series: str, order: str, value: str, lags: list[int], squared: bool = False, band: int | None = None) -> DataFrame:
     """a, b, lag, score: exact dynamic time warping distance of the series shifted by lag.  One task holds a pair."""
 
-    @F.pandas_udf("double")
-    def distance(x: pd.Series, y: pd.Series, lag: pd.Series) -> pd.Series:
-        return pd.Series([paths.dtw(*_cut(np.array(a, float), np.array(b, float), int(k)), squared, band) for a, b, k in zip(x, y, lag, strict=True)])
+    @F.pandas_udf("array<double>")
+    def distances(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = [(np.array(a, float), np.array(b, float)) for a, b in zip(x, y, strict=True)]
+        return pd.Series([[paths.dtw(*_cut(a, b, k), squared, band) for k in lags] for a, b in both])
 
-    rows = _aligned(df, series, order, value).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
-    return rows.select("a", "b", "lag", distance("x", "y", "lag").alias("score"))
+    return _each_lag(_aligned(df, series, order, value), lags, distances("x", "y"))
 
 
 def dtw_distance(df: DataFrame, series: str, order: str, value: str, squared: bool = False, band: int | None = None) -> DataFrame:
@@ -124,31 +140,43 @@ def feature_lags(df: DataFrame, series: str, order: str, value: str, lags: list[
     def vector(v: np.ndarray) -> np.ndarray:
         return paths.morlet_energy(v) if feature == "wavelet" else paths.signature(np.stack([np.arange(len(v)) / max(len(v) - 1, 1), v], axis=1), level)[1:]
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series, y: pd.Series, lag: pd.Series) -> pd.Series:
-        out = []
-        for a, b, k in zip(x, y, lag, strict=True):
-            p, q = _cut(np.array(a, float), np.array(b, float), int(k))
-            n = min(len(p), len(q))
-            p, q = (vector(v[:n]) for v in (p, q)) if n > 1 else (np.zeros(2), np.zeros(2))
-            out.append(float(np.corrcoef(p, q)[0, 1]) if p.std() > 0 and q.std() > 0 else None)
-        return pd.Series(out, dtype="float64")
+    def score(a: np.ndarray, b: np.ndarray, lag: int) -> float | None:
+        p, q = _level(*_cut(a, b, lag))
+        p, q = (vector(p), vector(q)) if len(p) > 1 else (np.zeros(2), np.zeros(2))
+        return float(np.corrcoef(p, q)[0, 1]) if p.std() > 0 and q.std() > 0 else None
+
+    @F.pandas_udf("array<double>")
+    def scores(x: pd.Series, y: pd.Series) -> pd.Series:
+        both = [(np.array(a, float), np.array(b, float)) for a, b in zip(x, y, strict=True)]
+        return pd.Series([[score(a, b, k) for k in lags] for a, b in both])
 
-    rows = _aligned(df, series, order, value).withColumn("lag", F.explode(F.array(*map(F.lit, lags))))
-    return rows.select("a", "b", "lag", score("x", "y", "lag").alias("score"))
+    return _each_lag(_aligned(df, series, order, value), lags, scores("x", "y"))
 
 
 def all_methods(df: DataFrame, series: str, idx: str, value: str, most: int = 20, beta: float = 1.0) -> DataFrame:
-    """a, b and the lag of each method: correlation, signature, dtw, path; series share their times idx = 0, 1, 2, ..."""
+    """a, b and the lag of each method: correlation, signature, dtw, path; series share their times idx = 0, 1, 2, ...
+
+    One pass over the pairs: all methods read the same two arrays.  Ties and missing scores are those of best_lag().
+    """
     lags = list(range(-most, most + 1))
-    parts = {
-        "correlation_lag": best_lag(lagged_correlation(df, series, idx, value, lags)),
-        "signature_lag": best_lag(signature_lags(df, series, idx, value, lags), "greatest"),
-        "dtw_lag": best_lag(dtw_lags(df, series, idx, value, lags), "least"),
-        "path_lag": optimal_paths(df, series, idx, value, beta, most),
-    }
-    out = None
-    for name, part in parts.items():
-        part = part.select("a", "b", F.col("lag").cast("long").alias(name))
-        out = part if out is None else out.join(part, ["a", "b"], "full_outer")
-    return out
+
+    def correlation(x: np.ndarray, y: np.ndarray) -> float:
+        return -abs(np.corrcoef(x, y)[0, 1]) if len(x) > 1 and x.std() > 0 and y.std() > 0 else np.nan
+
+    def norm(x: np.ndarray, y: np.ndarray) -> float:
+        return -float(np.sqrt((paths.signature(np.stack([x, y], axis=1), 2) ** 2).sum())) if len(x) else np.nan
+
+    def best(a: np.ndarray, b: np.ndarray, score) -> int | None:
+        scores = np.array([score(*_level(*_cut(a, b, k))) for k in lags])
+        return None if np.isnan(scores).all() else lags[int(np.nanargmin(scores))]
+
+    @F.pandas_udf("struct<correlation_lag:long,signature_lag:long,dtw_lag:long,path_lag:long>")
+    def found(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        out = []
+        for a, b in ((np.array(a, float), np.array(b, float)) for a, b in zip(x, y, strict=True)):
+            j, _ = paths.optimal_path(a, b, beta)
+            path = int(np.clip(np.round((j - np.arange(len(j))).mean()), -most, most))
+            out.append((best(a, b, correlation), best(a, b, norm), best(a, b, paths.dtw), path))
+        return pd.DataFrame(out, columns=["correlation_lag", "signature_lag", "dtw_lag", "path_lag"]).astype("Int64")
+
+    return _aligned(df, series, idx, value).select("a", "b", found("x", "y").alias("r")).select("a", "b", "r.*")

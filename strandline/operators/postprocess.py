@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import curves
+from .windows import running_total
 
 
 def keep_top(w: DataFrame, output: list[str], k: int) -> DataFrame:
@@ -21,8 +22,9 @@ def freeze_mask(w: DataFrame, output: list[str], threshold: float | None = None,
     if threshold is not None:
         return w.withColumn("frozen", F.abs("w") < threshold)
     by = Window.partitionBy(*output)
-    top = F.element_at(F.sort_array(F.collect_list(F.abs("w")).over(by), asc=False), k)
-    return w.withColumn("frozen", F.abs("w") < F.coalesce(top, F.lit(0.0)))
+    place = F.row_number().over(by.orderBy(F.abs("w").desc()))
+    top = F.max(F.when(F.col("_r") == k, F.abs("w"))).over(by)
+    return w.withColumn("_r", place).withColumn("frozen", F.abs("w") < F.coalesce(top, F.lit(0.0))).drop("_r")
 
 
 def post_process(w: DataFrame, output: list[str], zero: float = 1e-6, relative: float | None = None, top: int | None = None, signs: bool = False, sparsity: float | None = None) -> DataFrame:
@@ -40,11 +42,10 @@ def post_process(w: DataFrame, output: list[str], zero: float = 1e-6, relative:
         w = w.withColumn("w", F.when(F.abs(mean) < 0.5, 0.0).otherwise(F.col("w")))
     if sparsity is not None:
         # the limit is the value before which just as many are kept as the share allows
-        counts = w.where("w <> 0").groupBy(F.abs("w").alias("a")).agg(F.count("*").alias("c"))
+        counts = w.where("w <> 0").groupBy((-F.abs("w")).alias("_a")).agg(F.count("*").alias("c"))
         size = w.agg(F.count("*").alias("n"), F.count_if(F.abs("w") > 1e-10).alias("on"))
-        upto = F.sum("c").over(Window.orderBy(F.desc("a")))
         keep = F.floor(F.lit(1 - sparsity) * F.col("n") + 1e-9)
-        limit = counts.withColumn("u", upto).crossJoin(F.broadcast(size)).where((F.col("u") > keep) & (1 - F.col("on") / F.col("n") < sparsity)).agg(F.max("a").alias("_limit"))
+        limit = running_total(counts, ["_a"], "c", "u").crossJoin(F.broadcast(size)).where((F.col("u") > keep) & (1 - F.col("on") / F.col("n") < sparsity)).agg(F.max(-F.col("_a")).alias("_limit"))
         w = w.crossJoin(F.broadcast(limit)).withColumn("w", F.when(F.abs("w") > F.coalesce("_limit", F.lit(-1.0)), F.col("w")).otherwise(0.0)).drop("_limit")
     return w
 

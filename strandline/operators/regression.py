@@ -6,6 +6,7 @@ gcd(size, stride) rows; windows are sums of blocks.  Solving works on one small
 
 from __future__ import annotations
 
+from itertools import accumulate
 from math import gcd
 
 import numpy as np
@@ -156,6 +157,12 @@ def fit_scores(solved: DataFrame, p: int, keys: list[str], centering: str = "win
     return out.select(*keys, "n", "ss_res", "ss_tot", "r2", "rmse")
 
 
+def rescored(grams_: DataFrame, w: DataFrame, p: int, keys: list[str], centering: str = "window") -> DataFrame:
+    """fit_scores() of coefficients that were changed after the fit; w: keys, feature_no, w, a missing one is 0."""
+    parts = [F.coalesce(F.sum(F.when(F.col("feature_no") == k, F.col("w"))), F.lit(0.0)) for k in range(p)]
+    return fit_scores(grams_.join(w.groupBy(*keys).agg(F.array(*parts).alias("w")), keys), p, keys, centering)
+
+
 def roll_up(scores: DataFrame, by: list[str], r2: str = "r2") -> DataFrame:
     """by, n, mean, std (population), min, max of R2 and the pooled R2 of all rows."""
     pooled = 1 - F.sum("ss_res") / (F.sum("ss_tot") + 1e-10)
@@ -237,9 +244,13 @@ def total_coefficients(layers: DataFrame, keys: list[str], features: list[str])
 def warm_started(w: DataFrame, output: list[str], momentum: float = 0.9) -> DataFrame:
     """window_id, output, feature, w, warm: m * warm before + (1 - m) * w along windows, from 0."""
     series = w.groupBy(*output, "feature").agg(F.sort_array(F.collect_list(F.struct("window_id", "w"))).alias("s"))
-    step = F.transform("s", lambda r: r["w"])
-    run = F.aggregate(step, F.array().cast("array<double>"), lambda a, v: F.concat(a, F.array(momentum * F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0.0)) + (1 - momentum) * v)))
-    return series.withColumn("warm", run).select(*output, "feature", F.explode(F.arrays_zip("s", "warm")).alias("z")).select("z.s.window_id", *output, "feature", "z.s.w", F.col("z.warm").alias("warm"))
+
+    @F.pandas_udf("array<double>")
+    def run(values: pd.Series) -> pd.Series:
+        step = lambda warm, v: momentum * warm + (1 - momentum) * v
+        return pd.Series([list(accumulate(v, step, initial=0.0))[1:] for v in values])
+
+    return series.withColumn("warm", run(F.transform("s", lambda r: r["w"].cast("double")))).select(*output, "feature", F.explode(F.arrays_zip("s", "warm")).alias("z")).select("z.s.window_id", *output, "feature", "z.s.w", F.col("z.warm").alias("warm"))
 
 
 def violations(w: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:

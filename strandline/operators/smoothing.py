@@ -106,21 +106,35 @@ def compare_smoothing(methods: dict[str, DataFrame], date: str, country: str, te
 
 
 def smoothing_effect(df: DataFrame, keys: list[str], tenor: str) -> DataFrame:
-    """keys, original and smoothed roughness and the reduction in %: 0 where the original is smooth."""
+    """keys, original and smoothed roughness and the reduction in %: 0 where the original is smooth (under 1e-9, what rounding leaves)."""
     long = df.select(*keys, tenor, F.col("value").alias("_x"), F.col("smooth").alias("_y"))
     a = roughness(long, keys, [tenor], "_x").select(*keys, F.col("rms_second").alias("original_roughness"))
     b = roughness(long, keys, [tenor], "_y").select(*keys, F.col("rms_second").alias("smooth_roughness"))
-    cut = F.when(F.col("original_roughness") > 0, (1 - F.try_divide(F.col("smooth_roughness"), F.col("original_roughness"))) * 100).otherwise(0.0)
+    cut = F.when(F.col("original_roughness") > 1e-9, (1 - F.try_divide(F.col("smooth_roughness"), F.col("original_roughness"))) * 100).otherwise(0.0)
     return a.join(b, keys).withColumn("reduction", cut)
 
 
 def grid_search(df: DataFrame, keys: list[str], tenor: str, value: str, method: str, name: str, values: list[float]) -> DataFrame:
-    """parameter, mse, roughness and score = mse / (roughness + 1e-10) of a tenor smoother, over all curves."""
-    out = None
-    for x in values:
-        done = smooth_tenor(df, keys, tenor, value, method, **{name: x})
-        mse = done.agg(F.avg((F.col("smooth") - F.col(value)) ** 2).alias("mse"))
-        rough = roughness(done, keys, [tenor], "smooth").agg(F.avg("roughness").alias("roughness"))
-        part = mse.crossJoin(rough).select(F.lit(float(x)).alias("parameter"), "mse", "roughness")
-        out = part if out is None else out.unionAll(part)
+    """parameter, mse, roughness and score = mse / (roughness + 1e-10) of a tenor smoother, over all curves.
+
+    One pass: each curve is gathered once and gives, for each value, its squared errors and its mean squared second difference.
+    """
+    kernel = curves.METHODS[method]
+    rows = df.groupBy(*keys, tenor).agg(F.avg(known(value)).alias(value))
+    curve = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(tenor, value))).alias("_s"))
+
+    def one(t: np.ndarray, v: np.ndarray, x: float) -> dict:
+        good = ~np.isnan(v)
+        out = v if good.sum() < 2 else np.asarray(kernel(t, v, **{name: x}), float)
+        bends = np.diff(out[~np.isnan(out)], n=2)
+        errors = (out - v)[good & ~np.isnan(out)]
+        return {"parameter": float(x), "n": len(errors), "errors": float((errors**2).sum()), "rough": float((bends**2).mean()) if len(bends) else None}
+
+    @F.pandas_udf("array<struct<parameter:double,n:long,errors:double,rough:double>>")
+    def tried(tenors: pd.Series, given: pd.Series) -> pd.Series:
+        return pd.Series([[one(np.array(t, float), np.array(v, float), x) for x in values] for t, v in zip(tenors, given, strict=True)])
+
+    nan = F.lit(float("nan"))
+    each = curve.select(F.explode(tried(F.transform("_s", lambda s: s[tenor].cast("double")), F.transform("_s", lambda s: F.coalesce(s[value], nan)))).alias("r")).select("r.*")
+    out = each.groupBy("parameter").agg((F.sum("errors") / F.nullif(F.sum("n"), F.lit(0))).alias("mse"), F.avg("rough").alias("roughness"))
     return out.withColumn("score", F.col("mse") / (F.col("roughness") + 1e-10))

@@ -8,22 +8,54 @@ from pyspark.sql import functions as F
 from ..functions import known
 
 
-def with_row_number(df: DataFrame, order: list[str], keys: list[str] | None = None, out: str = "idx", parts: int = 64) -> DataFrame:
+def ranged(df: DataFrame, order: list[str], parts: int | None = None) -> DataFrame:
+    """df with _range: 0, 1, 2, ... ascending along all of `order`, in about equal shares; equal rows share a range.
+
+    Cuts come from the rows with the least hashes, 16 for each part, so a hot first column is cut by the next one.  Any
+    cuts are right ones; reruns on the same rows give the same.  parts: 64, or as many as the session's shuffle partitions, at most 4,096.
+    """
+    parts = parts or min(max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 4096)
+    types = [df.schema[c].dataType for c in order]
+    sample = df.select(*order).orderBy(F.xxhash64(*order)).limit(16 * parts).orderBy(*order).collect()
+    step = max(len(sample) / parts, 1)
+    cuts = list(dict.fromkeys(sample[int(k * step)] for k in range(1, parts) if int(k * step) < len(sample)))
+    if not cuts:
+        return df.withColumn("_range", F.lit(0))
+    # in two steps, so that a row is compared with about 2 * sqrt(parts) cuts
+    width = max(int(len(cuts) ** 0.5), 1)
+    point = lambda row: F.struct(*(F.lit(v).cast(t).alias(c) for c, v, t in zip(order, row, types, strict=True)))
+    own = F.struct(*order)
+    blocks = F.array(*(F.array(*map(point, cuts[k : k + width])) for k in range(0, len(cuts), width)))
+    over = F.size(F.filter(blocks, lambda b: b[0] < own))  # blocks that start before the row: all cuts of all but the last lie before it
+    rest = F.size(F.filter(F.get(blocks, over - 1), lambda c: c < own))
+    return df.withColumn("_range", F.when(over == 0, 0).otherwise((over - 1) * width + rest))
+
+
+def _before(rows: DataFrame, amount: Column) -> DataFrame:
+    """_range and _before: what the ranges before it hold; a row for each range."""
+    sums = rows.groupBy("_range").agg(F.sum(amount).alias("_n"))
+    return F.broadcast(sums.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before")))
+
+
+def with_row_number(df: DataFrame, order: list[str], keys: list[str] | None = None, out: str = "idx", parts: int | None = None) -> DataFrame:
     """out: 0, 1, 2, ... along order, per key or over the whole table.
 
-    Without keys the first order column (a number or time) is cut at about equal quantiles; ranges are counted, and rows
-    are numbered within their range from its offset, so that no task gets the whole table.
+    Without keys the rows are cut into ranges (see ranged), ranges are counted, and rows are numbered within their range
+    from its offset, so that no task gets the whole table.
     """
     if keys:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    lead = F.col(order[0])
-    number = (F.unix_micros(lead.cast("timestamp")) if dict(df.dtypes)[order[0]].startswith(("timestamp", "date")) else lead).cast("double")
-    cuts = df.agg(F.percentile_approx(number, [k / parts for k in range(1, parts)], 1000).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
-    ranged = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < number)) if cuts else F.lit(0))
-    before = ranged.groupBy("_range").agg(F.count("*").alias("_n")).withColumn("_before", F.sum("_n").over(Window.orderBy("_range")) - F.col("_n"))
-    numbered = ranged.join(F.broadcast(before.drop("_n")), "_range")  # at most `parts` rows
-    return numbered.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).drop("_range", "_before")
+    rows = ranged(df, order, parts)
+    rows = rows.join(_before(rows, F.lit(1).cast("long")), "_range")
+    return rows.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).drop("_range", "_before")
+
+
+def running_total(df: DataFrame, order: list[str], value: str, out: str = "total") -> DataFrame:
+    """out: the sum of value from the first row of the table, along order, to this one; summed in ranges, like row numbers."""
+    rows = ranged(df, order)
+    rows = rows.join(_before(rows, F.col(value)), "_range")
+    within = F.sum(value).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn(out, F.col("_before") + within).drop("_range", "_before")
 
 
 def window_ids(idx: str | Column, size: int, stride: int, n_rows: Column | int) -> Column:
@@ -54,15 +86,15 @@ def densify(df: DataFrame, keys: list[str], idx: str, value: str, fill: float =
     return grid.join(df.select(*keys, idx, value), [*keys, idx], "left").withColumn(value, F.coalesce(known(value), F.lit(fill)))
 
 
-def resample(df: DataFrame, keys: list[str], ms: str, value: str, step: int = 1, base: int | None = None, fill: float = 0.0) -> DataFrame:
+def resample(df: DataFrame, keys: list[str], ms: str, value: str, step: int = 1, base: int | None = None, fill: float = 0.0, tie: tuple[str, ...] = ()) -> DataFrame:
     """keys, slot, value on a regular grid of `step` ms: the last value of a slot, carried forward, leading slots `fill`.
 
-    slot 0 starts at base, or at the table's first ms; each key's grid ends at the last slot of the table.
+    Of rows of one ms the last by the columns of tie counts, or the greatest value.  slot 0 starts at base, or at the table's first ms; each key's grid ends at the last slot of the table.
     """
     ends = df.agg(F.min(ms).alias("_first"), F.max(ms).alias("_last"))
     zero = F.lit(base).cast("long") if base is not None else F.col("_first")
     rows = df.crossJoin(F.broadcast(ends)).withColumn("slot", F.floor((F.col(ms) - zero) / step).cast("long"))
-    last = rows.groupBy(*keys, "slot").agg(F.max_by(value, F.struct(F.col(ms))).alias(value), F.first("_last").alias("_last"), F.first("_first").alias("_first"))
+    last = rows.groupBy(*keys, "slot").agg(F.max_by(value, F.struct(ms, *(tie or (value,)))).alias(value), F.first("_last").alias("_last"), F.first("_first").alias("_first"))
     grid = last.groupBy(*keys).agg(F.max("_last").alias("_l"), F.max("_first").alias("_f")).select(*keys, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_l") - (F.lit(base).cast("long") if base is not None else F.col("_f"))) / step).cast("long"))).alias("slot"))
     w = Window.partitionBy(*keys).orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     out = grid.join(last.select(*keys, "slot", value), [*keys, "slot"], "left")
@@ -124,6 +156,10 @@ def time_split(df: DataFrame, idx: str, horizon: int | None = None, ratio: float
 def walk_forward(df: DataFrame, idx: str, train: int, test: int, first: int, last: int) -> DataFrame:
     """A row for each fold and part: fold k trains on `train` steps from first + k * test on and tests on the `test` after them."""
     folds = max(0, (last - first + 1 - train) // test)
-    out = df.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(max(folds - 1, 0))))).where(F.lit(folds > 0))
-    at = F.col(idx) - first - F.col("fold") * test
+    place = F.col(idx) - first
+    # only the folds that hold the row: fold * test <= place < fold * test + train + test
+    low = F.greatest(F.ceil((place - train - test + 1) / test), F.lit(0)).cast("int")
+    high = F.least(F.floor(place / test), F.lit(folds - 1)).cast("int")
+    out = df.withColumn("fold", F.explode(F.when(low <= high, F.sequence(low, F.greatest(low, high))).otherwise(F.array().cast("array<int>"))))
+    at = place - F.col("fold") * test
     return out.withColumn("part", F.when((at >= 0) & (at < train), "train").when((at >= train) & (at < train + test), "test")).where("part IS NOT NULL")

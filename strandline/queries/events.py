@@ -94,13 +94,13 @@ def overlap_best_shift(spark, d):
 # a regular hourly grid per symbol, the base of lagged work
 HOUR = 3_600_000
 _GRID = f"""{TICKS}, e AS (SELECT min(ms) AS lo, max(ms) AS hi FROM ticks),
-last AS (SELECT symbol, (ms - lo) // {HOUR} AS slot, arg_max(price, ms) AS price FROM ticks, e GROUP BY ALL),
+last AS (SELECT symbol, (ms - lo) // {HOUR} AS slot, arg_max(price, (ms, event_id)) AS price FROM ticks, e GROUP BY ALL),
 g AS (SELECT symbol, unnest(range(0, (SELECT (hi - lo) // {HOUR} FROM e) + 1)) AS slot FROM (SELECT DISTINCT symbol FROM ticks)),
 grid AS (SELECT symbol, slot, coalesce(last_value(price IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY slot), 0) AS price FROM g LEFT JOIN last USING (symbol, slot))"""
 
 
 def _grid(spark, d):
-    return windows.resample(ticks(spark, d), ["symbol"], "ms", "price", HOUR).select("symbol", "slot", "price")
+    return windows.resample(ticks(spark, d), ["symbol"], "ms", "price", HOUR, tie=("event_id",)).select("symbol", "slot", "price")
 
 
 @query(f"WITH {_GRID} SELECT symbol, slot, price FROM grid")
@@ -143,10 +143,22 @@ def signature_level_two(spark, d):
     return signature.signature(t, ["symbol"], ["event_id"], ["x1", "x2"], 2).withColumn("value", rounded("value", 3))
 
 
-@query()
+def _level_three() -> str:
+    """Terms of level three as sums of the levels before each step: S(ijk) gains S(ij) d_k + S(i) d_j d_k / 2 + d_i d_j d_k / 6."""
+    ch = (1, 2)
+    two = ", ".join(f"coalesce(sum(p{i} * d{j} + d{i} * d{j} / 2) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS q{i}{j}" for i in ch for j in ch)
+    sums = [("", "1.0::DOUBLE"), *((f"{i}", f"sum(d{i})") for i in ch), *((f"{i},{j}", f"sum(p{i} * d{j} + d{i} * d{j} / 2)") for i in ch for j in ch)]
+    sums += [(f"{i},{j},{k}", f"sum(q{i}{j} * d{k} + p{i} * d{j} * d{k} / 2 + d{i} * d{j} * d{k} / 6)") for i in ch for j in ch for k in ch]
+    steps = ", ".join(f"coalesce(x{i} - lag(x{i}) OVER w, 0) AS d{i}, coalesce(lag(x{i}) OVER w - first_value(x{i}) OVER w, 0) AS p{i}" for i in ch)
+    terms = " UNION ALL ".join(f"SELECT symbol, '{t}' AS term, {r(v, 1)} AS value FROM q GROUP BY symbol" for t, v in sums)
+    return f"""WITH {TICKS}, path AS (SELECT symbol, event_id AS o, event_id / 10000.0::DOUBLE AS x1, price / 100 AS x2 FROM ticks),
+s AS (SELECT symbol, o, {steps} FROM path WINDOW w AS (PARTITION BY symbol ORDER BY o)), q AS (SELECT *, {two} FROM s WINDOW w AS (PARTITION BY symbol ORDER BY o)) {terms}"""
+
+
+@query(_level_three())
 def signature_level_three(spark, d):
     t = ticks(spark, d).withColumn("x1", F.col("event_id") / 10000).withColumn("x2", F.col("price") / 100)
-    return signature.signature(t, ["symbol"], ["event_id"], ["x1", "x2"], 3).withColumn("value", rounded("value", 3))
+    return signature.signature(t, ["symbol"], ["event_id"], ["x1", "x2"], 3).withColumn("value", rounded("value", 1))
 
 
 @query(f"""WITH {TICKS}, path AS (SELECT user_id AS key, event_id AS o, event_id / 1000.0::DOUBLE AS x1, value / 100 AS x2 FROM events), {_SIG}
@@ -178,7 +190,7 @@ def signature_lags(spark, d):
 
 def _short(spark, d):
     """Series short enough to align: daily last prices."""
-    return windows.resample(ticks(spark, d), ["symbol"], "ms", "price", 24 * HOUR).select("symbol", "slot", (F.col("price") / 100).alias("price"))
+    return windows.resample(ticks(spark, d), ["symbol"], "ms", "price", 24 * HOUR, tie=("event_id",)).select("symbol", "slot", (F.col("price") / 100).alias("price"))
 
 
 @query()

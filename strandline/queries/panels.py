@@ -275,13 +275,60 @@ def _tenor(method: str):
     return run
 
 
-for _method in ("bernstein", "p_spline", "svensson", "polynomial_ridge", "polynomial", "local_quadratic"):
-    query()(_tenor(_method))
+query()(_tenor("p_spline"))
+
+
+def _projected(rows: str, by: str, basis: list[str], name: str) -> str:
+    """Tables that end in `name`: rows with `fit`, the least-squares projection of v on the basis within each group.
+
+    Columns are made orthogonal one after another, each by a pass of window sums.
+    """
+    out, before = f"{name}_0 AS (SELECT *, {', '.join(f'{b} AS b{k}' for k, b in enumerate(basis))}, v AS rest, 0.0::DOUBLE AS fit FROM {rows})", f"{name}_0"
+    for k in range(len(basis)):
+        norm = f"nullif(sum(b{k} * b{k}) OVER g, 0)"
+        part = lambda c, k=k, norm=norm: f"coalesce(sum({c} * b{k}) OVER g / {norm}, 0) * b{k}"
+        columns = [f"{c} - {part(c)} AS {c}" for c in (*(f"b{j}" for j in range(k + 1, len(basis))), "rest")]
+        after = name if k + 1 == len(basis) else f"{name}_{k + 1}"
+        out += f", {after} AS (SELECT * REPLACE ({', '.join([*columns, "fit + " + part("rest") + " AS fit"])}) FROM {before} WINDOW g AS (PARTITION BY {by}))"
+        before = after
+    return out
+
+
+_CURVES = f"{PANEL}, pv AS (SELECT date, country, tenor, value AS v, count(*) OVER (PARTITION BY date, country) AS n FROM panel)"
+_LEVEL, _HUMP = "((1 - exp(-tenor / {0})) / (tenor / {0}))", "((1 - exp(-tenor / {0})) / (tenor / {0}) - exp(-tenor / {0}))"
+_BASES = {
+    "nelson_siegel": ["1.0::DOUBLE", _LEVEL.format("2.0"), _HUMP.format("2.0")],
+    "svensson": ["1.0::DOUBLE", _LEVEL.format("2.0"), _HUMP.format("2.0"), _HUMP.format("5.0")],
+    "polynomial": [f"((tenor - 5.5) ** {k})" for k in range(5)],
+    "bernstein": [f"((tenor - 5.5) ** {k})" for k in range(6)],
+}
+
+
+def _fitted(method: str) -> str:
+    """Tables that end in `fitted` (date, country, tenor, value, smooth): no more points than columns are met exactly."""
+    basis = _BASES[method]
+    smooth = f"CASE WHEN n <= {len(basis)} THEN v ELSE fit END"
+    if method == "bernstein":
+        smooth = f"CASE WHEN n <= {len(basis)} OR max(fit) OVER c - min(fit) OVER c < 0.01 * (max(v) OVER c - min(v) OVER c) THEN v ELSE fit END"
+    return f"{_projected('pv', 'date, country', basis, 'f')}, fitted AS (SELECT date, country, tenor, v AS value, {smooth} AS smooth FROM f WINDOW c AS (PARTITION BY date, country))"
+
+
+for _method in _BASES:
+    query(f"WITH {_CURVES}, {_fitted(_method)} SELECT date, country, tenor, {r('smooth')} AS smooth FROM fitted")(_tenor(_method))
+
+# ridge: rows sqrt(alpha) e_k with v = 0 join each curve
+_RIDGE = f"""{_CURVES}, pr AS (SELECT date, country, tenor, v, n, -1 AS k FROM pv UNION ALL SELECT DISTINCT date, country, NULL, 0.0, n, unnest(range(0, 6)) FROM pv),
+{_projected('pr', 'date, country', [f"CASE WHEN k < 0 THEN tenor ** {j} WHEN k = {j} THEN sqrt(0.1) ELSE 0 END" for j in range(6)], 'f')}"""
+query(f"WITH {_RIDGE} SELECT date, country, tenor, {r('CASE WHEN n < 2 THEN v ELSE fit END')} AS smooth FROM f WHERE k < 0")(_tenor("polynomial_ridge"))
+
+# a weighted quadratic around each tenor of a curve
+_LOCAL = f"""{_CURVES}, pc AS (SELECT a.date, a.country, a.tenor AS centre, b.tenor, a.n, exp((b.tenor - a.tenor) ** 2 / -100) AS root, b.v * exp((b.tenor - a.tenor) ** 2 / -100) AS v FROM pv a JOIN pv b USING (date, country)),
+{_projected('pc', 'date, country, centre', [f"root * (tenor - centre) ** {j}" for j in range(3)], 'f')}"""
+query(f"WITH {_LOCAL} SELECT f.date, f.country, f.tenor, {r('CASE WHEN f.n <= 3 THEN pv.v ELSE fit END')} AS smooth FROM f JOIN pv USING (date, country, tenor) WHERE centre = f.tenor")(_tenor("local_quadratic"))
 
 _CURVE_COPY = f"WITH {PANEL} SELECT date, country, tenor, {r('value')} AS smooth FROM panel"
 query(_CURVE_COPY)(_tenor("cubic_spline"))
 query(_CURVE_COPY)(_tenor("monotone_spline"))
-query()(_tenor("nelson_siegel"))
 
 
 @query()
@@ -319,9 +366,12 @@ def _gap(method: str):
     return run
 
 
-@query(" UNION ALL ".join(f"SELECT '{m}' AS method, true AS causal" for m in ("ewma", "kalman", "moving_average", "savitzky_golay")))
+_CAUSAL = ("ewma", "double_ewma", "kalman", "moving_average", "savitzky_golay", "gaussian_process", "hodrick_prescott")
+
+
+@query(" UNION ALL ".join(f"SELECT '{m}' AS method, true AS causal" for m in _CAUSAL))
 def smooth_causality(spark, d):
-    return clean.concat([_gap(m)(spark, d) for m in ("ewma", "kalman", "moving_average", "savitzky_golay")])
+    return clean.concat([_gap(m)(spark, d) for m in _CAUSAL])
 
 
 _ROUGH = f"""WITH {SERIES}, l AS (SELECT country, date, value AS v, lag(value) OVER (PARTITION BY country ORDER BY date) AS p FROM series),
@@ -346,7 +396,13 @@ def score_smoothing_methods(spark, d):
     return out.select("method", rounded("avg_roughness").alias("avg_roughness"), rounded("avg_rmse").alias("avg_rmse"))
 
 
-@query()
+def _bends(rows: str, value: str) -> str:
+    """SQL of the root of the mean squared second difference of each curve."""
+    return f"SELECT date, country, sqrt(avg(bend * bend)) AS rms FROM (SELECT date, country, ({value} - lag({value}, 1) OVER w) - (lag({value}, 1) OVER w - lag({value}, 2) OVER w) AS bend FROM {rows} WINDOW w AS (PARTITION BY date, country ORDER BY tenor)) GROUP BY ALL"
+
+
+@query(f"""WITH {_CURVES}, {_fitted("nelson_siegel")}, a AS ({_bends("fitted", "value")}), b AS ({_bends("fitted", "smooth")})
+SELECT date, country, {r("a.rms")} AS original_roughness, {r("b.rms")} AS smooth_roughness, {r("CASE WHEN a.rms > 1e-9 THEN (1 - b.rms / a.rms) * 100 ELSE 0 END")} AS reduction FROM a JOIN b USING (date, country)""")
 def score_smoothing_effect(spark, d):
     out = smoothing.smoothing_effect(smoothing.smooth_tenor(panel(spark, d), ["date", "country"], "tenor", "value", "nelson_siegel"), ["date", "country"], "tenor")
     return out.select("date", "country", *(rounded(c).alias(c) for c in ("original_roughness", "smooth_roughness", "reduction")))

@@ -47,11 +47,23 @@ def reg_ols(spark, d):
     return _two(_solved(spark, d))
 
 
-def _two(solved):
-    return solved.select("window_id", *KEYS, rounded(F.col("w")[0]).alias("w1"), rounded(F.col("w")[1]).alias("w2"))
+def _two(solved, digits=6):
+    return solved.select("window_id", *KEYS, rounded(F.col("w")[0], digits).alias("w1"), rounded(F.col("w")[1], digits).alias("w2"))
 
 
-@query()
+def _det(rows: list[list[str]]) -> str:
+    (a, b, c), (d, e, f), (g, h, i) = rows
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+def _cramer() -> str:
+    g = [[f"(sum(x{i} * x{j})" + (" + 1e-6)" if i == j else ")") for j in (1, 2, 3)] for i in (1, 2, 3)]
+    b = [f"sum(x{i} * y)" for i in (1, 2, 3)]
+    swapped = [[[b[i] if j == k else g[i][j] for j in range(3)] for i in range(3)] for k in range(3)]
+    return ", ".join(f"{r(f'{_det(m)} / {_det(g)}')} AS x{k + 1}" for k, m in enumerate(swapped))
+
+
+@query(f"{_WITH} SELECT window_id, country, tenor, {_cramer()} FROM win GROUP BY window_id, country, tenor")
 def reg_ols_three(spark, d):
     return _solved(spark, d, X3).select("window_id", *KEYS, *(rounded(F.col("w")[k]).alias(c) for k, c in enumerate(X3)))
 
@@ -78,6 +90,17 @@ def reg_penalty_zero(spark, d):
     return _two(regression.solve(_grams(spark, d), 2, "penalty", rules=_rules(spark, ("zero", 1, None, 0.0)), keys=KEYS))
 
 
+# penalties hold a rule nearly: the exact solution to three digits
+@query(f"{_WITH} SELECT window_id, country, tenor, 0.5::DOUBLE AS w1, {r('(b2 - g12 * 0.5) / (g22 + 1e-6)', 3)} AS w2 FROM g")
+def reg_penalty_fixed(spark, d):
+    return _two(regression.solve(_grams(spark, d), 2, "penalty", rules=_rules(spark, ("fixed", 0, None, 0.5)), keys=KEYS), 3)
+
+
+@query(f"{_WITH} SELECT window_id, country, tenor, {r('(b1 - b2) / (g11 - 2 * g12 + g22 + 2e-6)', 3)} AS w1, {r('-(b1 - b2) / (g11 - 2 * g12 + g22 + 2e-6)', 3)} AS w2 FROM g")
+def reg_penalty_offset(spark, d):
+    return _two(regression.solve(_grams(spark, d), 2, "penalty", rules=_rules(spark, ("offset", 0, 1, 0.0)), keys=KEYS), 3)
+
+
 @query(f"""{_WITH} SELECT window_id, country, tenor, {r("CASE WHEN w1 >= 0 AND w2 >= 0 THEN w1 WHEN greatest(b1, 0) ** 2 / (g11 + 1e-6) >= greatest(b2, 0) ** 2 / (g22 + 1e-6) THEN greatest(b1, 0) / (g11 + 1e-6) ELSE 0 END", 5)} AS w1,
  {r("CASE WHEN w1 >= 0 AND w2 >= 0 THEN w2 WHEN greatest(b1, 0) ** 2 / (g11 + 1e-6) >= greatest(b2, 0) ** 2 / (g22 + 1e-6) THEN 0 ELSE greatest(b2, 0) / (g22 + 1e-6) END", 5)} AS w2 FROM w2""")
 def reg_nonnegative(spark, d):
@@ -140,7 +163,10 @@ def reg_best_and_worst(spark, d):
     return out.select("country", rounded("mean_r2").alias("mean_r2"), "best", "worst")
 
 
-@query()
+@query(f"""{_WITH}, t AS (SELECT *, 'ols' AS method, w1 AS u1, w2 AS u2 FROM w2 UNION ALL SELECT *, 'fixed', 1.0, (b2 - g12) / (g22 + 1e-6) FROM w2
+ UNION ALL SELECT *, 'nonneg', CASE WHEN w2 >= 0 THEN w1 ELSE b1 / (g11 + 1e-6) END, greatest(w2, 0) FROM w2),
+e AS (SELECT method, greatest(0, yy - 2 * (u1 * b1 + u2 * b2) + u1 * u1 * g11 + 2 * u1 * u2 * g12 + u2 * u2 * g22) AS ss_res, yy - sy * sy / n AS ss_tot FROM t),
+s AS (SELECT *, 1 - ss_res / (ss_tot + 1e-10) AS r2 FROM e) SELECT method, {_ROLL} FROM s GROUP BY method""")
 def reg_method_comparison(spark, d):
     """Overall R2 of each method, best first."""
     parts = None
@@ -214,7 +240,7 @@ def reg_two_stage(spark, d):
     return _two(regression.solve(_grams(spark, d), 2, "kkt", rules=rules, keys=KEYS))
 
 
-@query()
+@query(f"""{_WITH}, {_TWO_MASKS} SELECT window_id, country, tenor, feature, {r("greatest(CASE WHEN za THEN 0 ELSE w END, -5)", 5)} AS w FROM wl JOIN za USING (country, tenor, feature)""")
 def reg_masked_refit(spark, d):
     a, _ = _masks(spark, d)
     plain = _long(spark, d)
@@ -223,14 +249,22 @@ def reg_masked_refit(spark, d):
     return postprocess.freeze_and_floor(tight, plain, mask, ["window_id", *KEYS, "feature"], -5.0).select("window_id", *KEYS, "feature", rounded("w", 5).alias("w"))
 
 
-@query()
+# the first layer holds w1 at 0.5, the second is plain on what the mean prediction of a row leaves
+_LAYERS = """l0 AS (SELECT window_id, country, tenor, 0.5::DOUBLE AS w1, (b2 - g12 * 0.5) / (g22 + 1e-6) AS w2 FROM g),
+left_ AS (SELECT country, tenor, idx, avg(x1 * w1 + x2 * w2) AS p FROM win JOIN l0 USING (window_id, country, tenor) GROUP BY ALL),
+g1 AS (SELECT window_id, country, tenor, sum(x1 * x1) + 1e-6 AS g11, sum(x1 * x2) AS g12, sum(x2 * x2) + 1e-6 AS g22, sum(x1 * (y - p)) AS b1, sum(x2 * (y - p)) AS b2 FROM win JOIN left_ USING (country, tenor, idx) GROUP BY ALL),
+layers AS (SELECT 0 AS layer, window_id, country, tenor, w1, w2 FROM l0 UNION ALL SELECT 1, window_id, country, tenor, (g22 * b1 - g12 * b2) / (g11 * g22 - g12 * g12), (g11 * b2 - g12 * b1) / (g11 * g22 - g12 * g12) FROM g1)"""
+
+
+@query(f"{_WITH}, {_LAYERS} SELECT layer, window_id, country, tenor, {r('w1')} AS w1, {r('w2')} AS w2 FROM layers")
 def reg_layers(spark, d):
     rows, n = regression_rows(spark, d)
     out = regression.layered_fit(rows, "idx", SIZE, STRIDE, n, X2, "y", KEYS, 2, _rules(spark, ("fixed", 0, None, 0.5)))
     return out.select("layer", "window_id", *KEYS, rounded(F.col("w")[0]).alias("w1"), rounded(F.col("w")[1]).alias("w2"))
 
 
-@query()
+@query(f"""{_WITH}, {_LAYERS}, m AS (SELECT layer, country, tenor, avg(w1) AS w1, avg(w2) AS w2 FROM layers GROUP BY ALL), t AS (SELECT country, tenor, sum(w1) AS w1, sum(w2) AS w2 FROM m GROUP BY ALL)
+SELECT country, tenor, 'x1' AS feature, {r("w1")} AS w FROM t UNION ALL SELECT country, tenor, 'x2', {r("w2")} FROM t""")
 def reg_layer_totals(spark, d):
     rows, n = regression_rows(spark, d)
     out = regression.layered_fit(rows, "idx", SIZE, STRIDE, n, X2, "y", KEYS, 2, _rules(spark, ("fixed", 0, None, 0.5)))
@@ -358,6 +392,18 @@ def post_process(spark, d):
     return postprocess.post_process(_long(spark, d), KEYS, 0.01, 0.2, None, True).select("window_id", *KEYS, "feature", rounded("w").alias("w"))
 
 
+@query(f"""{_WITH}, c AS (SELECT window_id, country, tenor, CASE WHEN abs(w1) > 0.01 AND abs(w1) > abs(w2) THEN w1 ELSE 0 END AS u1, CASE WHEN abs(w2) > 0.01 AND abs(w2) >= abs(w1) THEN w2 ELSE 0 END AS u2 FROM w2),
+s AS (SELECT window_id, country, tenor, n, greatest(0, yy - 2 * (u1 * b1 + u2 * b2) + u1 * u1 * g11 + 2 * u1 * u2 * g12 + u2 * u2 * g22) AS ss_res, yy - sy * sy / n AS ss_tot FROM g JOIN c USING (window_id, country, tenor))
+SELECT window_id, country, tenor, n, {r("ss_res", 4)} AS ss_res, {r("1 - ss_res / (ss_tot + 1e-10)")} AS r2 FROM s""")
+def post_scores(spark, d):
+    """Scores of the coefficients that post-processing leaves: a limit and the greatest of each output."""
+    solved = _solved(spark, d)
+    each = ["window_id", *KEYS]
+    w = postprocess.post_process(regression.long_coefficients(solved, each, X2), KEYS, 0.01, top=1)
+    out = regression.rescored(solved.drop("w"), w, 2, each)
+    return out.select(*each, "n", rounded("ss_res", 4).alias("ss_res"), rounded("r2").alias("r2"))
+
+
 @query(f"""{_WITH}, n AS (SELECT count(*) AS n FROM wl), k AS (SELECT *, row_number() OVER (ORDER BY abs(w) DESC) AS k FROM wl) SELECT window_id, country, tenor, feature, {r("CASE WHEN k <= floor(0.3 * n + 1e-9) THEN w ELSE 0 END")} AS w FROM k, n""")
 def post_sparsity(spark, d):
     return postprocess.post_process(_long(spark, d), KEYS, 0.0, sparsity=0.7).select("window_id", *KEYS, "feature", rounded("w").alias("w"))
@@ -396,7 +442,11 @@ _KNOWN = "tenor IN (SELECT t0 FROM c WHERE c.country = q.country)"
 query(f"WITH {_KNOTS} SELECT q.country, tenor, 'value' AS feature, {r('CASE WHEN tenor <= t0 OR down = 1 THEN y0 ELSE y0 + (y1 - y0) / (t1 - t0) * (tenor - t0) END')} AS value, tenor NOT IN (SELECT t0 FROM c WHERE c.country = q.country) AS interpolated FROM q {_SEGMENT}")(_interpolated("linear"))
 query(f"WITH {_KNOTS} SELECT q.country, tenor, 'value' AS feature, {r('CASE WHEN tenor <= t0 OR down = 1 THEN y0 ELSE exp(ln(y0) + (ln(y1) - ln(y0)) / (t1 - t0) * (tenor - t0)) END')} AS value, tenor NOT IN (SELECT t0 FROM c WHERE c.country = q.country) AS interpolated FROM q {_SEGMENT}")(_interpolated("log-linear"))
 query(f"WITH {_KNOTS} SELECT q.country, tenor, 'value' AS feature, {r('arg_min(y0, (abs(t0 - tenor), t0))')} AS value, false AS interpolated FROM q JOIN c ON c.country = q.country GROUP BY q.country, tenor")(_interpolated("nearest"))
-query()(_interpolated("quadratic", "linear"))
+# through the three nearest knots; beyond the ends along the line of the two nearest
+_NEAR = f"""WITH {_KNOTS}, k AS (SELECT q.country, tenor, t0, y0, row_number() OVER (PARTITION BY q.country, tenor ORDER BY abs(t0 - tenor), t0) AS k, min(t0) OVER w AS lo, max(t0) OVER w AS hi FROM q JOIN c ON c.country = q.country WINDOW w AS (PARTITION BY q.country, tenor)),
+n AS (SELECT country, tenor, any_value(lo) AS lo, any_value(hi) AS hi, {", ".join(f"max(t0) FILTER (k = {k}) AS t{k}, max(y0) FILTER (k = {k}) AS y{k}" for k in (1, 2, 3))} FROM k GROUP BY country, tenor)"""
+_PARABOLA = " + ".join(f"y{a} * (tenor - t{b}) * (tenor - t{c}) / ((t{a} - t{b}) * (t{a} - t{c}))" for a, b, c in ((1, 2, 3), (2, 1, 3), (3, 1, 2)))
+query(f"{_NEAR} SELECT country, tenor, 'value' AS feature, {r(f'CASE WHEN tenor < lo OR tenor > hi THEN y1 + (y2 - y1) / (t2 - t1) * (tenor - t1) ELSE {_PARABOLA} END')} AS value, tenor <> t1 AS interpolated FROM n")(_interpolated("quadratic", "linear"))
 query()(_interpolated("cubic", "zero"))
 
 

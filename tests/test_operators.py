@@ -276,3 +276,53 @@ def test_queries_have_unique_names():
     import __spark_entry__
 
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries()) and len(__spark_entry__.queries()) > 100
+
+
+def test_ranges_follow_all_order_columns(spark):
+    rows = [(None if k % 7 == 0 else 1, k % 50, "x" * (k % 3)) for k in range(600)]  # one hot first value, ties, nulls
+    df = spark.createDataFrame(rows, "a int, b int, c string")
+    got = windows.ranged(df, ["a", "b"], 8).select("a", "b", "_range").collect()
+    assert len({r["_range"] for r in got}) > 3
+    ordered = sorted(got, key=lambda r: ((r["a"] is not None, r["a"] or 0), r["b"]))
+    assert [r["_range"] for r in ordered] == sorted(r["_range"] for r in got)
+    totals = windows.running_total(df.withColumn("n", F.lit(2)), ["a", "b", "c"], "n").select("total").collect()
+    assert sorted(r["total"] for r in totals) == list(range(2, 1201, 2))
+    assert windows.ranged(df.limit(0), ["a"]).count() == 0 and windows.with_row_number(df.limit(0), ["a"]).count() == 0
+
+
+def test_walk_forward_against_all_folds(spark):
+    df = spark.range(40).select(F.col("id").alias("t"))
+    got = {tuple(r) for r in windows.walk_forward(df, "t", 10, 5, 3, 33).select("t", "fold", "part").collect()}
+    folds = (33 - 3 + 1 - 10) // 5
+    want = {(t, k, "train" if t - 3 - 5 * k < 10 else "test") for t in range(40) for k in range(folds) if 0 <= t - 3 - 5 * k < 15}
+    assert got == want
+    assert windows.walk_forward(df, "t", 50, 5, 3, 33).count() == 0
+
+
+def test_all_methods_are_the_single_ones(spark):
+    rng = np.random.default_rng(5)
+    base = np.cumsum(rng.normal(size=60))
+    rows = [(s, t, float(np.roll(base, k)[t] + 0.01 * rng.normal())) for s, k in (("a", 0), ("b", 3), ("c", 1)) for t in range(60)]
+    df = spark.createDataFrame(rows, "s string, t long, v double")
+    lags = list(range(-5, 6))
+    got = {(r["a"], r["b"]): r for r in leadlag.all_methods(df, "s", "t", "v", 5).collect()}
+    assert len(got) == 3
+    single = {
+        "correlation_lag": leadlag.best_lag(leadlag.lagged_correlation(df, "s", "t", "v", lags)),
+        "signature_lag": leadlag.best_lag(leadlag.signature_lags(df, "s", "t", "v", lags), "greatest"),
+        "dtw_lag": leadlag.best_lag(leadlag.dtw_lags(df, "s", "t", "v", lags), "least"),
+        "path_lag": leadlag.optimal_paths(df, "s", "t", "v", 1.0, 5),
+    }
+    for name, part in single.items():
+        assert {(r["a"], r["b"]): r["lag"] for r in part.collect()} == {k: r[name] for k, r in got.items()}, name
+
+
+def test_grid_search_is_one_smoother_per_value(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(k, float(t), float(rng.normal())) for k in range(3) for t in range(8)] + [(9, 1.0, 2.0)], "k int, t double, v double")
+    got = {r["parameter"]: r for r in smoothing.grid_search(df, ["k"], "t", "v", "p_spline", "lam", [0.5, 2.0]).collect()}
+    for lam in (0.5, 2.0):
+        done = smoothing.smooth_tenor(df, ["k"], "t", "v", "p_spline", lam=lam)
+        mse = done.agg(F.avg((F.col("smooth") - F.col("v")) ** 2)).first()[0]
+        rough = smoothing.roughness(done, ["k"], ["t"], "smooth").agg(F.avg("roughness")).first()[0]
+        assert np.isclose(got[lam]["mse"], mse) and np.isclose(got[lam]["roughness"], rough)
