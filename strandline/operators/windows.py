@@ -45,7 +45,15 @@ def with_row_number(df: DataFrame, order: list[str], keys: list[str] | None = No
     """
     if keys:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("long") - 1)
-    rows = ranged(df, order, parts)
+    kind = dict(df.dtypes)[order[0]]
+    if kind.startswith(("timestamp", "date", "tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
+        # numbers and times: cuts at approximate quantiles of the first column, a short plan
+        lead, n = F.col(order[0]), parts or 64
+        number = (F.unix_micros(lead.cast("timestamp")) if kind.startswith(("timestamp", "date")) else lead).cast("double")
+        cuts = sorted(set(df.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 1000).alias("q")).first()["q"] or []))
+        rows = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < number)) if cuts else F.lit(0))
+    else:
+        rows = ranged(df, order, parts)
     rows = rows.join(_before(rows, F.lit(1).cast("long")), "_range")
     return rows.withColumn(out, F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1).drop("_range", "_before")
 
