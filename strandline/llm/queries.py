@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from .chat import format_chats, loss_spans, role_of, unescape
 from .cover_dedup import cover_dedup
 from .decontaminate import benchmark_matches
+from .exchange import staged
 from .group_join import ngram_join
 from .mixing import mix
+from .prefix_trie import numbered, prefix_trie, rebuilt, turn_ids
 from .quality_fm import quality_scores
 from .radix_dedup import radix_dedup
 from .rules import quality_rules
@@ -88,6 +90,12 @@ def op9_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = staged(turn_ids(numbered(read(spark, sf_dir, "conversations"))))
+    return prefix_trie(rebuilt(turns)).drop("node", "parent")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -101,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_cover_dedup,
         op10_decontamination,
+        op13_prefix_trie,
     )
 }
 
@@ -128,6 +137,34 @@ FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.key >> (60 - l.dep
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op13_prefix_trie": f"""
+WITH said AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,
+         md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS t, len(regexp_extract_all(coalesce(text, ''), {_WORDS})) AS n
+  FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list({{'t': t, 'n': n}} ORDER BY p) AS own FROM said GROUP BY conv_id),
+crc AS (
+  SELECT conv_id, own, xor(list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda a, c: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(a, c)), 4294967295), 4294967295) % 4 AS h FROM convs),
+built AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own, [])[1:c.h], c.own[c.h + 1:]) AS turns FROM crc c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 20),
+path AS (
+  SELECT conv_id, d, len(turns) AS most, md5(array_to_string(list_transform(turns[1:d], lambda t: t.t), ',')) AS k,
+         CASE WHEN d > 0 THEN md5(array_to_string(list_transform(turns[1:d - 1], lambda t: t.t), ',')) END AS pk, turns[d].n AS words
+  FROM built, unnest(range(0, len(turns) + 1)) r(d)),
+node AS (
+  SELECT d, k, any_value(pk) AS pk, min(conv_id) AS conv_id, count(*) AS n_convs, (max(most) = d)::INT AS leaf,
+         coalesce((count(*) - 1) * any_value(words), 0) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE most = d), '')) AS ends_sha256
+  FROM path GROUP BY d, k),
+below AS (
+  SELECT v.d, v.k, CAST(sum(u.leaf) AS BIGINT) AS n_leaves, CAST(sum(u.saved) AS BIGINT) AS saved_tokens
+  FROM node u JOIN path v ON v.conv_id = u.conv_id AND v.d <= u.d GROUP BY v.d, v.k),
+children AS (SELECT d - 1 AS d, pk AS k, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL)
+SELECT node.conv_id, node.d AS depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(children.n, 0) AS n_children, n_leaves, saved_tokens, node.ends_sha256
+FROM node JOIN below ON below.d = node.d AND below.k = node.k LEFT JOIN children ON children.d = node.d AND children.k = node.k
+LEFT JOIN node p ON p.d = node.d - 1 AND p.k = node.pk
+""",
     "op2_radix_dedup": """
 WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
 w AS (SELECT doc_id, i, md5_number(array_slice(b, i + 1, i + 400)) AS g FROM b, unnest(range(0, octet_length(b) - 399)) t(i)),
