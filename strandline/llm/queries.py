@@ -19,6 +19,7 @@ from .prefix_trie import numbered, prefix_trie, rebuilt, turn_ids
 from .quality_fm import quality_scores
 from .radix_dedup import radix_dedup
 from .rules import quality_rules
+from .semi_crf import KINDS, counted, listed, pii_spans, trained
 from .sharding import shard
 from .token_counts import token_counts
 
@@ -91,6 +92,13 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii_spans(docs, trained(docs))
+    base = F.sha2(listed(F.filter("pii", lambda s: s.base)), 256)
+    return out.select("doc_id", *(counted("pii", k).alias(f"n_{k}") for k in KINDS), base.alias("base_sha256"), listed(F.col("pii")).alias("spans"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = staged(turn_ids(numbered(read(spark, sf_dir, "conversations"))))
     return prefix_trie(rebuilt(turns)).drop("node", "parent")
@@ -109,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_cover_dedup,
         op10_decontamination,
+        op12_semi_crf,
         op13_prefix_trie,
     )
 }

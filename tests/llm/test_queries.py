@@ -105,3 +105,18 @@ def test_marks_are_the_same_in_any_order(spark):
         found.append(sorted((x.doc_id, x.rules.kept, x.rules.score) for x in queries.quality_rules(table(spark, rows), labels, trees=20).collect()))
     assert found[0] == found[1] and not any(kept for k, kept, _ in found[0] if k % 5 == 0)
     assert queries.quality_rules(spark.createDataFrame([], COLUMNS), labels, trees=5).collect() == []
+
+
+def test_op12(spark, folder):
+    import hashlib
+
+    from .test_semi_crf import plain
+
+    out = queries.op12_semi_crf(spark, folder[0]).collect()
+    assert len(out) == len(folder[1])
+    text = {r[0]: r[1] or "" for r in folder[1]}
+    for r in out:
+        base = plain(text[r.doc_id])
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for _, k, _ in base) for kind in ("email", "ip", "card", "phone"))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{k}:{a}:{z}" for a, k, z in base).encode()).hexdigest()
+        assert {f"{k}:{a}:{z}" for a, k, z in base} <= set(r.spans.split(",")) | {""}
