@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chat import format_chats, loss_spans, role_of, unescape
+from .collocations import collocations
 from .cover_dedup import cover_dedup
 from .decontaminate import benchmark_matches
 from .exchange import staged
@@ -92,6 +93,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return benchmark_matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op12_semi_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii_spans(docs, trained(docs))
@@ -117,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_ngram_join,
         op9_cover_dedup,
         op10_decontamination,
+        op11_collocations,
         op12_semi_crf,
         op13_prefix_trie,
     )
@@ -146,6 +152,26 @@ FROM leaf l JOIN sums s ON s.depth = l.depth AND s.prefix = l.key >> (60 - l.dep
 
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_collocations": r"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(p, '[^\x20\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents)),
+counts AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+  FROM piece, unnest(range(1, 5)) s(k), unnest(range(1, len(w) + 1)) t(i) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 30),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, c.k, j, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * c.a // (l.f + r.f) AS BIGINT) AS score
+  FROM cand c, unnest(range(1, c.k)) t(j)
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1:j], ' ') JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[j + 1:], ' ')),
+worst AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+part AS (
+  SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS phrase, max(a) AS longer FROM cand, unnest(range(2, cand.k)) x(s), unnest(range(1, cand.k - s + 2)) y(i) GROUP BY ALL),
+kept AS (SELECT worst.* FROM worst LEFT JOIN part USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+""",
     "op13_prefix_trie": f"""
 WITH said AS (
   SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p,

@@ -75,9 +75,9 @@ class Texts:
     def text(self, k: int) -> bytes:
         return self.data[self.offsets[k] : self.offsets[k + 1]].tobytes()
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where words start and stop, and the first word of each text (one more than texts)."""
-        inside = ~_SPACE[self.data]
+    def words(self, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where words start and stop, and the first word of each text (one more than texts); between: which bytes part words."""
+        inside = ~between[self.data]
         before, after = np.empty_like(inside), np.empty_like(inside)
         if len(inside):
             before[0], before[1:] = False, inside[:-1]

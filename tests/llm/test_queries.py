@@ -20,7 +20,7 @@ from .test_search_mix_shard import filled, planted
 def folder(spark, tmp_path_factory):
     d = str(tmp_path_factory.mktemp("tables"))
     docs, items, _ = planted(4, 1, 40)
-    rows = [(k, t, "en", f"s{k % 4}", 0) for k, (_, t, *_) in enumerate([*corpus(12, 70), *docs])]
+    rows = [(k, t, "en", f"s{k % 4}", 0) for k, (_, t, *_) in enumerate([*corpus(12, 70), *docs, *((k, f"A common phrase: number{k} of many common phrases here, word{k % 3} again") for k in range(64))])]
     table(spark, rows).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
     spark.createDataFrame([(r[0], int(r[0] % 7 > 0), 0) for r in rows], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
