@@ -399,8 +399,11 @@ def examples(windows: list[str], seed: int = 11, each: int = 110) -> list[Exampl
 
 
 def windows_of(docs: DataFrame, text: str, doc_id: str, max_fit_docs: int, around: int = 40, most: int = 400) -> list[str]:
-    """At most `most` short pieces around digits and at-marks, of the max_fit_docs documents whose ids have the least hashes."""
-    some = docs.select(F.col(doc_id).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL").orderBy(F.xxhash64("k"), F.md5("t")).limit(max_fit_docs)
+    """At most `most` short pieces around digits and at-marks, of the max_fit_docs documents whose ids and texts have the least hashes."""
+    some = docs.select(F.xxhash64(F.col(doc_id), F.col(text).cast("string")).alias("k"), F.col(text).cast("string").alias("t")).where("t IS NOT NULL")
+    # the hashes alone are ordered first, so that no task gets the texts
+    last = some.select("k").orderBy("k").limit(max_fit_docs).agg(F.max("k").alias("k")).first()["k"]
+    some = some.where(F.col("k") <= F.lit(last).cast("long"))
     piece = F.regexp_extract_all(F.col("t"), F.lit(rf"(?s)[^0-9@]{{0,{around}}}[0-9@][^\n]{{0,{around}}}"), F.lit(0))
     rows = some.select(F.explode(F.slice(piece, 1, 4)).alias("w")).orderBy(F.md5("w")).limit(most).collect()
     return [row["w"] for row in rows]
