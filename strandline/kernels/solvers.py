@@ -31,12 +31,7 @@ def kkt(g: np.ndarray, b: np.ndarray, a: np.ndarray, c: np.ndarray, reg: float =
     g = g + reg * np.eye(p)
     if not len(a):
         return np.linalg.solve(g, b)
-    u, s, vt = np.linalg.svd(a)
-    rank = int((s > 1e-12).sum())
-    w = vt[:rank].T @ ((u.T @ c)[:rank] / s[:rank])
-    if np.abs(a @ w - c).max() > 1e-9 * (1 + np.abs(c).max()):
-        raise ValueError("the rules contradict each other")
-    null = vt[rank:].T
+    w, null = feasible_space(a, c, p)
     return w + null @ np.linalg.solve(null.T @ g @ null, null.T @ (b - g @ w)) if null.shape[1] else w
 
 
@@ -55,38 +50,128 @@ def penalty(g: np.ndarray, b: np.ndarray, fixed: dict[int, float], zeros: set[in
     return d * np.linalg.solve(g * d[:, None] * d, b * d)
 
 
-def box(g: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, l1: np.ndarray | float = 0.0, total: float | None = None, reg: float = 1e-6, rounds: int = 400, tol: float = 1e-10) -> np.ndarray:
-    """min w'gw/2 - b'w + sum l1 |w| with low <= w <= high and, if given, sum(w) = total.
+def feasible_space(a: np.ndarray, c: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """A point of a w = c and an orthonormal basis of a's null space; raises if no point is."""
+    if not len(a):
+        return np.zeros(p), np.eye(p)
+    u, s, vt = np.linalg.svd(a)
+    rank = int((s > 1e-12 * max(1.0, s[0])).sum())
+    w = vt[:rank].T @ ((u.T @ c)[:rank] / s[:rank])
+    if np.abs(a @ w - c).max() > 1e-9 * (1 + np.abs(c).max()):
+        raise ValueError("the rules contradict each other")
+    return w, vt[rank:].T
+
+
+class Infeasible(ValueError):
+    """No point holds all inequalities."""
+
 
-    Coordinate descent, exact in each coordinate; the sum by the method of multipliers.
+def quadratic(g: np.ndarray, b: np.ndarray, rows: np.ndarray, least: np.ndarray, more=None, rounds: int = 1000, tol: float = 1e-11) -> tuple[np.ndarray, dict[int, float]]:
+    """min w'gw/2 - b'w with rows w >= least, exactly, and the multipliers of the rows that bind; g is positive definite.
+
+    A dual active-set method: from the free minimum, the most violated row is added, and rows whose multiplier would turn
+    negative on the way are dropped, until none is violated.  more(w) may give a further violated row (row, least) of a
+    family that is too large to list; its number follows those of the given rows.  Raises if rows exclude each other.
     """
-    p = len(b)
-    g = g + reg * np.eye(p)
-    weight = float(np.trace(g)) / p if total is not None else 0.0
-    h, l1, dual = g + weight, np.broadcast_to(l1, p), 0.0
-    w = np.clip(np.zeros(p), low, high)
-    for _ in range(rounds if total is not None else 1):
-        c = b + (weight * total - dual if total is not None else 0.0)
-        grad = h @ w - c
-        for _ in range(5000):
-            moved = 0.0
-            for k in range(p):
-                z = w[k] * h[k, k] - grad[k]
-                new = min(max(np.sign(z) * max(abs(z) - l1[k], 0.0) / h[k, k], low[k]), high[k])
-                step = new - w[k]
-                if step:
-                    grad += step * h[:, k]
-                    w[k] = new
-                    moved = max(moved, abs(step))
-            if moved < tol:
+    inverse = np.linalg.inv(g)
+    w, active, u = inverse @ b, [], np.zeros(0)
+    rows, least = rows.copy(), least.copy()
+    size = np.sqrt((rows**2).sum(1)) if len(rows) else np.zeros(0)
+    for _ in range(rounds):
+        extra = more(w) if more else None
+        if extra is not None:
+            rows, least = np.vstack([rows, extra[0]]), np.append(least, extra[1])
+            size = np.append(size, np.sqrt((extra[0] ** 2).sum()))
+        gap = np.where(size > 0, (rows @ w - least) / np.where(size > 0, size, 1.0), np.where(least > tol, -np.inf, 0.0)) if len(rows) else np.zeros(0)
+        gap[active] = 0.0
+        k = int(np.argmin(gap)) if len(gap) else -1
+        if k < 0 or gap[k] >= -tol * (1 + np.abs(w).max(initial=0.0)):
+            return w, dict(zip(active, u.tolist(), strict=True))
+        normal, mine = rows[k], 0.0
+        while True:
+            across = inverse @ normal
+            if active:
+                held = rows[active].T
+                r = np.linalg.solve(held.T @ inverse @ held, held.T @ across)
+                step = across - inverse @ (held @ r)
+            else:
+                r, step = np.zeros(0), across
+            rise = float(step @ normal)
+            falls = np.flatnonzero(r > 1e-14)
+            first = falls[np.argmin(u[falls] / r[falls])] if len(falls) else -1
+            until = u[first] / r[first] if first >= 0 else np.inf
+            free = rise > 1e-13 * float(normal @ across) and len(active) < len(w)
+            full = (least[k] - rows[k] @ w) / rise if free else np.inf
+            t = min(until, full)
+            if t == np.inf:
+                raise Infeasible("the rules contradict each other")
+            if free:
+                w = w + t * step
+            u, mine = u - t * r, mine + t
+            if t == full:
+                active, u = [*active, k], np.append(u, mine)
                 break
-        if total is None:
-            break
-        gap = w.sum() - total
-        dual += weight * gap
-        if abs(gap) < tol:
-            break
-    return w
+            active, u = [x for j, x in enumerate(active) if j != first], np.delete(u, first)
+    raise ArithmeticError(f"no solution after {rounds} rounds")
+
+
+def ruled(g: np.ndarray, b: np.ndarray, a: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, l1: np.ndarray | float = 0.0, norm: float | None = None, reg: float = 1e-6) -> np.ndarray:
+    """min w'(g + reg I)w/2 - b'w + sum l1 |w| with a w = c, low <= w <= high and, if norm is given, sum |w| <= norm.
+
+    Equalities are eliminated, bounds are a working set; exact up to rounding.  With l1, the minimum of one orthant after the
+    other: a zero whose multiplier says so changes sides, which lowers the objective each time.  The norm's faces are added as violated.
+    """
+    p = len(b)
+    l1 = np.broadcast_to(np.asarray(l1, float), p)
+    size = 1 / np.sqrt(np.diag(g) + reg)  # unit diagonal: w = size * v
+    h = (g + reg * np.eye(p)) * size[:, None] * size
+    start, basis = feasible_space(a * size, c, p)
+    reduced = basis.T @ h @ basis
+
+    def faces(y: np.ndarray):
+        v = start + basis @ y
+        over = np.abs(v) @ size - norm
+        side = np.where(v >= 0, size, -size)
+        return (-(side @ basis), -norm + side @ start) if over > 1e-11 * (1 + norm) else None
+
+    bounds = [(k, 1.0, low[k] / size[k]) for k in range(p) if low[k] > -np.inf] + [(k, -1.0, -high[k] / size[k]) for k in range(p) if high[k] < np.inf]
+
+    def solved(sides: np.ndarray | None) -> tuple[np.ndarray, dict[int, float]]:
+        signs = [] if sides is None else [(k, sides[k], 0.0) for k in range(p) if l1[k] > 0]
+        every = [*signs, *bounds]
+        rows = np.array([s * basis[k] for k, s, _ in every]).reshape(len(every), basis.shape[1])
+        least = np.array([v - s * start[k] for k, s, v in every])
+        pull = size * (b - (l1 * sides if sides is not None else 0.0))
+        if not basis.shape[1]:
+            if len(least) and least.max() > 1e-9 or faces(np.zeros(0)) is not None:
+                raise Infeasible("the rules contradict each other")
+            return start, {}
+        y, held = quadratic(reduced, basis.T @ (pull - h @ start), rows, least, faces if norm is not None else None)
+        v = start + basis @ y
+        for k in held:
+            if k < len(every):
+                v[every[k][0]] = every[k][1] * every[k][2]  # a bound that binds is met exactly
+        return v, {signs[k][0]: m for k, m in held.items() if k < len(signs)}
+
+    v, _ = solved(None)
+    if not (l1 > 0).any():
+        return v * size
+    sides = np.where(v < 0, -1.0, 1.0)
+    for _ in range(1000):
+        v, held = solved(sides)
+        # at a zero the penalty's slope may change by 2 * l1 before the other side is better
+        turned = {k: m - 2 * l1[k] * size[k] for k, m in held.items() if m > 2 * l1[k] * size[k] * (1 + 1e-9) + 1e-12}
+        turned = {k: m for k, m in turned.items() if (low[k] if sides[k] > 0 else -high[k]) < 0}
+        if not turned:
+            return v * size
+        sides[max(turned, key=turned.get)] *= -1
+    raise ArithmeticError("no orthant holds the minimum after 1,000 changes of sides")
+
+
+def box(g: np.ndarray, b: np.ndarray, low: np.ndarray, high: np.ndarray, l1: np.ndarray | float = 0.0, total: float | None = None, reg: float = 1e-6) -> np.ndarray:
+    """ruled() with bounds, l1 and, if given, sum(w) = total."""
+    some = total is not None
+    return ruled(g, b, np.ones((int(some), len(b))), np.full(int(some), total if some else 0.0), low, high, l1, None, reg)
 
 
 def huber(x: np.ndarray, y: np.ndarray, delta: float = 1.0, rounds: int = 20, tol: float = 1e-4, reg: float = 1e-6) -> np.ndarray:

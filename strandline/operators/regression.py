@@ -15,27 +15,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import solvers
+from ..sources import kept
 from .windows import window_ids
 
 RULE = "array<struct<kind:string,feature:int,feature2:int,value:double>>"
 
 
-def _sums(x: list[str], y: str) -> list[Column]:
+def _sums(x: list[str], y: str, weight: str | None = None) -> list[Column]:
     p = len(x)
     c = [F.col(k) for k in x]
+    v = [F.col(weight) * k for k in c] if weight else c
+    t = F.col(weight) * F.col(y) if weight else F.col(y)
     return [
-        F.array(*(F.sum(c[i] * c[j]) for i in range(p) for j in range(i, p))).alias("xx"),
-        F.array(*(F.sum(c[i] * F.col(y)) for i in range(p))).alias("xy"),
-        F.array(*(F.sum(c[i]) for i in range(p))).alias("sx"),
-        F.sum(F.col(y) * F.col(y)).alias("yy"),
-        F.sum(y).alias("sy"),
+        F.array(*(F.sum(v[i] * c[j]) for i in range(p) for j in range(i, p))).alias("xx"),
+        F.array(*(F.sum(c[i] * t) for i in range(p))).alias("xy"),
+        F.array(*(F.sum(v[i]) for i in range(p))).alias("sx"),
+        F.sum(t * F.col(y)).alias("yy"),
+        F.sum(t).alias("sy"),
         F.count(y).alias("n"),
     ]
 
 
-def grams(df: DataFrame, keys: list[str], x: list[str], y: str) -> DataFrame:
-    """keys, xx (upper triangle by rows), xy, sx, yy, sy, n of the rows in which nothing is NULL."""
-    return df.dropna(subset=[*x, y]).groupBy(*keys).agg(*_sums(x, y)) if keys else df.dropna(subset=[*x, y]).agg(*_sums(x, y)).where("n > 0")
+def grams(df: DataFrame, keys: list[str], x: list[str], y: str, weight: str | None = None) -> DataFrame:
+    """keys, xx (upper triangle by rows), xy, sx, yy, sy, n of the rows in which nothing is NULL, each with its weight."""
+    rows = df.dropna(subset=[*x, y])
+    return rows.groupBy(*keys).agg(*_sums(x, y, weight)) if keys else rows.agg(*_sums(x, y, weight)).where("n > 0")
 
 
 def _added(df: DataFrame, keys: list[str], p: int) -> DataFrame:
@@ -70,7 +74,8 @@ def solve(grams_: DataFrame, p: int, method: str = "ols", reg: float = 1e-6, rul
     """grams_ with w, an array of p coefficients.
 
     method: 'ols' ignores rules; 'kkt' holds fixed, zero and offset rules exactly; 'penalty' nearly; 'qp' also takes
-    'nonneg', 'nonpos' and 'total' rules, and l1 in options.  rules: keys (all of a window's outputs of these keys), kind,
+    'nonneg', 'nonpos' and 'total' rules and, in options, l1 (weight of sum |w|), norm (bound of sum |w|), zero_below, and
+    on_conflict='ols' (a plain fit where rules contradict each other, instead of an error).  rules: keys (all of a window's outputs of these keys), kind,
     feature, feature2, value; 'kkt' and 'penalty' reject the kinds that they can't hold.
     """
     if method not in ("ols", "kkt", "penalty", "qp"):
@@ -118,14 +123,15 @@ def ruled(g: np.ndarray, b: np.ndarray, rules, method: str, reg: float, options:
         return solvers.kkt(g, b, *solvers.equalities(p, fixed, zeros, offsets), reg)
     if method == "penalty":
         return solvers.penalty(g, b, fixed, zeros, offsets, reg)
-    for i, v in [*fixed.items(), *((i, 0.0) for i in zeros)]:
-        low[i] = high[i] = v
-    scale = np.trace(g) / p
-    for i, j in offsets:
-        g = g.copy()
-        for x, y in ((i, i), (j, j), (i, j), (j, i)):
-            g[x, y] += 1e6 * scale
-    w = solvers.box(g, b, low, high, options.get("l1", 0.0), total, reg)
+    a, c = solvers.equalities(p, fixed, zeros, offsets)
+    if total is not None:
+        a, c = np.vstack([a, np.ones(p)]), np.append(c, total)
+    try:
+        w = solvers.ruled(g, b, a, c, low, high, options.get("l1", 0.0), options.get("norm"), reg)
+    except ValueError:
+        if options.get("on_conflict") != "ols":
+            raise
+        w = solvers.ridge(g, b, reg)
     least = options.get("zero_below")
     return np.where(np.abs(w) < least, 0.0, w) if least else w
 
@@ -235,6 +241,41 @@ def layered_fit(df: DataFrame, idx: str, size: int, stride: int, n_rows: int, x:
     return out
 
 
+def tied_layers(df: DataFrame, idx: str, size: int, stride: int, n_rows: int, x: list[str], y: str, keys: list[str], layers: int = 2, opposite: tuple[tuple[int, int], ...] = (), threshold: float | None = None, penalty: float = 0.0, freeze: bool = False, reg: float = 1e-6) -> DataFrame:
+    """layer, window_id, keys, w: plain fits on what is left of y, tied and masked before the next layer's residuals are taken.
+
+    opposite: pairs (i, j) with w_j = -w_i after the fit.  A cell is masked where the plain |w| is under threshold.  With a penalty, a
+    window is fitted again with it on the diagonal of the features that are masked in all of its outputs; masked cells get
+    that fit, the others too or, with freeze, keep the tied plain one.  Residuals take off the mean prediction of a row's windows.
+    """
+    p = len(x)
+    source = {j: i for i, j in opposite}
+    if len(source) < len(opposite) or set(source) & {i for i, _ in opposite}:
+        raise ValueError("a feature is the second of one pair, and first of none, at most")
+
+    @F.pandas_udf("array<double>")
+    def penalised(xx: pd.Series, xy: pd.Series, mask: pd.Series) -> pd.Series:
+        g, b = full_gram(_stacked(xx), p), _stacked(xy)
+        g = g + penalty * np.eye(p) * np.array(mask.tolist(), float).reshape(-1, 1, p) if len(g) else g
+        return pd.Series(list(np.linalg.solve(g, b[..., None])[..., 0])) if len(g) else pd.Series([], dtype=object)
+
+    rest, out = df.withColumn("_y", F.col(y)), None
+    for layer in range(layers):
+        solved = solve(window_grams(rest, idx, size, stride, n_rows, x, "_y", keys), p, reg=reg)
+        masked = F.transform("w", lambda v: F.abs(v) < F.lit(threshold)) if threshold is not None else F.transform("w", lambda v: F.lit(False))
+        solved = solved.withColumn("_m", masked).withColumn("w", F.array(*(-F.col("w")[source[k]] if k in source else F.col("w")[k] for k in range(p))))
+        if penalty > 0:
+            whole = F.array(*(F.min(F.col("_m")[k]).over(Window.partitionBy("window_id")) for k in range(p)))
+            solved = solved.withColumn("_p", penalised("xx", "xy", whole.cast("array<int>")))
+            solved = solved.withColumn("w", F.zip_with(F.arrays_zip("_m", "_p"), "w", lambda a, v: F.when(a["_m"], a["_p"]).otherwise(v))) if freeze else solved.withColumn("w", F.col("_p"))
+        part = kept(solved.select(F.lit(layer).alias("layer"), "window_id", *keys, "w"))
+        out = part if out is None else out.unionAll(part)
+        if layer + 1 < layers:
+            mean = predictions(rest, part, idx, size, stride, n_rows, x, keys).groupBy(*keys, idx).agg(F.avg("pred").alias("_q"))
+            rest = kept(rest.join(mean, [*keys, idx], "left").withColumn("_y", F.col("_y") - F.coalesce("_q", F.lit(0.0))).drop("_q"))
+    return out
+
+
 def total_coefficients(layers: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """keys, feature, w: the layers' coefficients averaged over windows and summed."""
     each = long_coefficients(layers, ["layer", "window_id", *keys], features).groupBy("layer", *keys, "feature").agg(F.avg("w").alias("w"))
@@ -289,15 +330,27 @@ def condition_numbers(grams_: DataFrame, keys: list[str], p: int) -> DataFrame:
     return grams_.select(*keys, condition("xx").alias("condition"))
 
 
-def solve_huber(df: DataFrame, keys: list[str], idx: str, x: list[str], y: str, delta: float = 1.0) -> DataFrame:
-    """keys and w under the Huber loss; needs a window's rows, as weights change from step to step."""
-    rows = df.dropna(subset=[*x, y]).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col(idx).alias("i"), F.array(*(F.col(c).cast("double") for c in x)).alias("x"), F.col(y).cast("double").alias("y")))).alias("r"))
+def solve_huber(df: DataFrame, keys: list[str], idx: str, x: list[str], y: str, delta: float = 1.0, rounds: int = 20, tol: float = 1e-4, method: str = "ols", rules: DataFrame | None = None, rule_keys: list[str] | None = None, reg: float = 1e-6, **options) -> DataFrame:
+    """keys and w under the Huber loss and, with method and rules, those of solve().
 
-    @F.pandas_udf("array<double>")
-    def fit(xs: pd.Series, ys: pd.Series) -> pd.Series:
-        return pd.Series([solvers.huber(np.array([list(r) for r in a], float), np.array(b, float), delta) for a, b in zip(xs, ys, strict=True)])
-
-    return rows.select(*keys, fit(F.transform("r", lambda r: r["x"]), F.transform("r", lambda r: r["y"])).alias("w"))
+    Iteratively reweighted least squares: each round sums weighted Grams from the rows, under the coefficients of the round
+    before, and solves them under the rules; a fit whose coefficients move by less than tol stays.  Rows are written once and read
+    in each round, never gathered; a round's coefficients are written too, so its plan does not hold the rounds before.
+    """
+    rows = kept(df.dropna(subset=[*x, y]).select(*keys, *(F.col(c).cast("double").alias(c) for c in x), F.col(y).cast("double").alias(y)))
+    fit = lambda g: solve(g, len(x), method, reg, rules, rule_keys, **options)
+    out = left = kept(fit(grams(rows, keys, x, y)).select(*keys, "w"))
+    for k in range(rounds):
+        both = rows.join(left.select(*keys, F.col("w").alias("_w")), keys)
+        miss = F.abs(F.col(y) - sum((F.col(c) * F.col("_w")[j] for j, c in enumerate(x)), F.lit(0.0)))
+        weight = F.when(miss <= delta, 1.0).otherwise(delta / F.greatest(miss, F.lit(1e-12)))
+        moved = F.aggregate(F.zip_with("w", "_w", lambda u, v: F.abs(u - v)), F.lit(0.0), lambda m, d: F.greatest(m, d))
+        new = kept(fit(grams(both.withColumn("_v", weight), [*keys, "_w"], x, y, "_v")).select(*keys, "w", (moved < tol).alias("done")))
+        still = new.where("done").select(*keys, "w")
+        out, left = still if k == 0 else out.unionByName(still), new.where("NOT done").select(*keys, "w")
+        if left.isEmpty():
+            return out
+    return out.unionByName(left) if rounds else out
 
 
 def asymmetric_ridge(df: DataFrame, key: str, x: list[str], y: str, positive: float = 1.0, negative: float = 10.0, folds: int = 5, alphas: list[float] | None = None) -> DataFrame:

@@ -120,11 +120,67 @@ def reg_lasso(spark, d):
     return out.select("window_id", *KEYS, *(rounded(F.col("w")[k], 5).alias(c) for k, c in enumerate(X3)))
 
 
-@query()
+def _irls(rounds: int, fit: dict[str, str], pred: str, tol: float = 1e-4) -> str:
+    """SQL of solve_huber(): fit has the coefficients from sums weighted by v; one that has moved by less than tol stays."""
+    select, by = ", ".join(f"{e} AS {c}" for c, e in fit.items()), "window_id, country, tenor"
+    out = [f"h0 AS MATERIALIZED (SELECT {by}, {select}, false AS done FROM (SELECT *, 1.0 AS v FROM win) GROUP BY {by})"]
+    for k in range(1, rounds + 1):
+        rows = f"SELECT win.*, CASE WHEN abs(y - ({pred})) <= 1 THEN 1.0 ELSE 1 / abs(y - ({pred})) END AS v FROM win JOIN h{k - 1} USING ({by}) WHERE NOT done"
+        out.append(f"n{k} AS MATERIALIZED (SELECT {by}, {select} FROM ({rows}) GROUP BY {by})")
+        far = f"greatest({', '.join(f'abs(n{k}.{c} - h{k - 1}.{c})' for c in fit)})"
+        out.append(f"h{k} AS MATERIALIZED (SELECT {by}, {', '.join(f'coalesce(n{k}.{c}, h{k - 1}.{c}) AS {c}' for c in fit)}, h{k - 1}.done OR coalesce({far} < {tol}, false) AS done FROM h{k - 1} LEFT JOIN n{k} USING ({by}))")
+    return ", ".join(out)
+
+
+_V = {f"{a}{b}": f"sum(v * {c} * {d})" for a, b, c, d in (("g", 11, "x1", "x1"), ("g", 12, "x1", "x2"), ("g", 22, "x2", "x2"), ("b", 1, "x1", "y"), ("b", 2, "x2", "y"))}
+_VDET = f"(({_V['g11']} + 1e-6) * ({_V['g22']} + 1e-6) - {_V['g12']} * {_V['g12']})"
+_HUBER = {"u1": f"(({_V['g22']} + 1e-6) * {_V['b1']} - {_V['g12']} * {_V['b2']}) / {_VDET}", "u2": f"(({_V['g11']} + 1e-6) * {_V['b2']} - {_V['g12']} * {_V['b1']}) / {_VDET}"}
+_HUBER_OFFSET = {"u1": "greatest(0, sum(v * (x1 - x2) * y) / (sum(v * (x1 - x2) * (x1 - x2)) + 2e-6))"}
+
+
+@query(f"{_WITH}, {_irls(20, _HUBER, 'x1 * u1 + x2 * u2')} SELECT window_id, country, tenor, {r('u1', 5)} AS w1, {r('u2', 5)} AS w2 FROM h20")
 def reg_huber(spark, d):
     rows, n = regression_rows(spark, d)
     out = regression.solve_huber(windows.assign_windows(rows, "idx", SIZE, STRIDE, n), ["window_id", *KEYS], "idx", X2, "y")
-    return _two(out)
+    return _two(out, 5)
+
+
+@query(f"{_WITH}, {_irls(20, _HUBER_OFFSET, '(x1 - x2) * u1')} SELECT window_id, country, tenor, {r('u1', 5)} AS w1, {r('-u1', 5)} AS w2 FROM h20")
+def reg_huber_ruled(spark, d):
+    """The Huber loss with w1 + w2 = 0 and w1 >= 0."""
+    rows, n = regression_rows(spark, d)
+    rules = _rules(spark, ("offset", 0, 1, 0.0), ("nonneg", 0, None, 0.0))
+    out = regression.solve_huber(windows.assign_windows(rows, "idx", SIZE, STRIDE, n), ["window_id", *KEYS], "idx", X2, "y", method="qp", rules=rules, rule_keys=KEYS)
+    return _two(out, 5)
+
+
+# with w1 + w2 = 0 and a sum of one, w3 is one and w1 the slope of x1 - x2, not below zero
+@query(f"{_WITH} SELECT window_id, country, tenor, {r('t', 5)} AS w1, {r('-t', 5)} AS w2, 1.0::DOUBLE AS w3 FROM (SELECT window_id, country, tenor, greatest(0, sum((x1 - x2) * (y - x3)) / (sum((x1 - x2) * (x1 - x2)) + 2e-6)) AS t FROM win GROUP BY ALL)")
+def reg_ruled(spark, d):
+    """Offset, sum and sign rules together."""
+    rules = _rules(spark, ("offset", 0, 1, 0.0), ("total", 0, None, 1.0), ("nonneg", 0, None, 0.0))
+    out = regression.solve(_grams(spark, d, X3), 3, "qp", rules=rules, keys=KEYS)
+    return out.select("window_id", *KEYS, *(rounded(F.col("w")[k], 5).alias(f"w{k + 1}") for k in range(3)))
+
+
+NORM = 1.5
+_FACE = f"least({NORM}, greatest(0, (({{g}}22 + 1e-6) * {NORM} - s1 * s2 * {{g}}12 * {NORM} + b1 * s1 - b2 * s2) / ({{g}}11 - 2 * s1 * s2 * {{g}}12 + {{g}}22 + 2e-6)))".replace("{g}", "g")
+
+
+@query(f"""{_WITH}, side AS (SELECT * FROM (VALUES (1, 1), (1, -1), (-1, 1), (-1, -1)) t(s1, s2)),
+face AS (SELECT window_id, country, tenor, s1 * a AS u1, s2 * ({NORM} - a) AS u2, g11, g12, g22, b1, b2 FROM (SELECT *, {_FACE} AS a FROM g, side)),
+best AS (SELECT * FROM face QUALIFY row_number() OVER (PARTITION BY window_id, country, tenor ORDER BY ((g11 + 1e-6) * u1 * u1 + 2 * g12 * u1 * u2 + (g22 + 1e-6) * u2 * u2) / 2 - b1 * u1 - b2 * u2) = 1)
+SELECT window_id, country, tenor, {r(f'CASE WHEN abs(w1) + abs(w2) <= {NORM} THEN w1 ELSE u1 END', 5)} AS w1, {r(f'CASE WHEN abs(w1) + abs(w2) <= {NORM} THEN w2 ELSE u2 END', 5)} AS w2
+FROM w2 JOIN (SELECT window_id, country, tenor, u1, u2 FROM best) USING (window_id, country, tenor)""")
+def reg_l1_bounded(spark, d):
+    """|w1| + |w2| <= NORM."""
+    return _two(regression.solve(_grams(spark, d), 2, "qp", keys=KEYS, norm=NORM), 5)
+
+
+@query(f"""{_WITH} SELECT window_id, country, tenor, {r('t', 5)} AS w1, {r('-t', 5)} AS w2 FROM (SELECT *, sign(b1 - b2) * greatest(abs(b1 - b2) - 2 * 100.0, 0) / (g11 - 2 * g12 + g22 + 2e-6) AS t FROM g)""")
+def reg_lasso_offset(spark, d):
+    """LASSO with w1 + w2 = 0."""
+    return _two(regression.solve(_grams(spark, d), 2, "qp", rules=_rules(spark, ("offset", 0, 1, 0.0)), keys=KEYS, l1=100.0), 5)
 
 
 @query(f"{_WITH} SELECT window_id, country, tenor, idx, {r('x1 * w1 + x2 * w2')} AS pred FROM win JOIN w2 USING (window_id, country, tenor)")
@@ -271,6 +327,24 @@ def reg_layer_totals(spark, d):
     return regression.total_coefficients(out, KEYS, X2).withColumn("w", rounded("w"))
 
 
+# two layers: plain fits with w2 = -w1 set after, cells under 1.2 masked, features that all outputs mask penalised and fitted again
+_TIED = """{n}a AS (SELECT window_id, country, tenor, ((g22 + 1e-6) * b1 - g12 * b2) / ((g11 + 1e-6) * (g22 + 1e-6) - g12 * g12) AS p1, ((g11 + 1e-6) * b2 - g12 * b1) / ((g11 + 1e-6) * (g22 + 1e-6) - g12 * g12) AS p2, g11, g12, g22, b1, b2 FROM {g}),
+{n}b AS (SELECT *, 1e6 * bool_and(abs(p1) < 1.2) OVER (PARTITION BY window_id)::INT AS f1, 1e6 * bool_and(abs(p2) < 1.2) OVER (PARTITION BY window_id)::INT AS f2 FROM {n}a),
+{n} AS (SELECT window_id, country, tenor, CASE WHEN abs(p1) < 1.2 THEN ((g22 + f2) * b1 - g12 * b2) / ((g11 + f1) * (g22 + f2) - g12 * g12) ELSE p1 END AS w1,
+  CASE WHEN abs(p2) < 1.2 THEN ((g11 + f1) * b2 - g12 * b1) / ((g11 + f1) * (g22 + f2) - g12 * g12) ELSE -p1 END AS w2 FROM {n}b)"""
+
+
+@query(f"""{_WITH}, {_TIED.format(n='t0', g='g')},
+rest AS (SELECT country, tenor, idx, avg(x1 * w1 + x2 * w2) AS p FROM win JOIN t0 USING (window_id, country, tenor) GROUP BY ALL),
+gr AS (SELECT window_id, country, tenor, sum(x1 * x1) AS g11, sum(x1 * x2) AS g12, sum(x2 * x2) AS g22, sum(x1 * (y - p)) AS b1, sum(x2 * (y - p)) AS b2 FROM win JOIN rest USING (country, tenor, idx) GROUP BY ALL),
+{_TIED.format(n='t1', g='gr')}
+SELECT layer, window_id, country, tenor, {r('w1', 5)} AS w1, {r('w2', 5)} AS w2 FROM (SELECT 0 AS layer, * FROM t0 UNION ALL SELECT 1, * FROM t1)""")
+def reg_tied_layers(spark, d):
+    rows, n = regression_rows(spark, d)
+    out = regression.tied_layers(rows, "idx", SIZE, STRIDE, n, X2, "y", KEYS, 2, ((0, 1),), 1.2, 1e6, True)
+    return out.select("layer", "window_id", *KEYS, rounded(F.col("w")[0], 5).alias("w1"), rounded(F.col("w")[1], 5).alias("w2"))
+
+
 @query(f"""WITH RECURSIVE {_WIN}, e AS (SELECT window_id, country, tenor, feature, w, 0.1 * w AS warm FROM wl WHERE window_id = 0
  UNION ALL SELECT wl.window_id, country, tenor, feature, wl.w, 0.9 * e.warm + 0.1 * wl.w FROM e JOIN wl USING (country, tenor, feature) WHERE wl.window_id = e.window_id + 1)
 SELECT window_id, country, tenor, feature, {r("w")} AS w, {r("warm")} AS warm FROM e""")

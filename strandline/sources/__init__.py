@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
@@ -28,3 +33,29 @@ def write_report(tables: dict[str, DataFrame], path: str) -> None:
     """One CSV folder for each table of a report."""
     for name, df in tables.items():
         write_csv(df, f"{path}/{name}")
+
+
+_own: list[str] = []
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df written to the folder that the session names in spark.checkpoint.dir and read again: its lineage ends there.
+
+    Where none is named an own folder serves, under a local master only.  What was written goes when the driver ends.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or (_own and _own[0])
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        _own.append(folder := tempfile.mkdtemp(prefix="strandline-"))
+    path = f"{folder}/strandline/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_remove, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

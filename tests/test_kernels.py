@@ -186,3 +186,80 @@ def test_stationarity_tests():
     level, smooth, error = stationarity.local_level(noise)
     assert len(level) == 400 and np.std(smooth) <= np.std(level) + 1e-9 and (error >= 0).all()
     assert np.isnan(stationarity.adf(np.ones(30))[0])
+
+
+def best_by_enumeration(g, b, a, c, low, high, l1, norm):
+    """Minimum over all choices of signs, zeros and bounds that bind: each an equality-constrained system."""
+    import itertools
+
+    p, best = len(b), (np.inf, None)
+    for state in itertools.product(("-", "0", "+", "low", "high"), repeat=p):
+        for tight in (False, True) if norm is not None else (False,):
+            rows, values, sign = [*a], [*c], np.zeros(p)
+            for k, s in enumerate(state):
+                if s in "-+":
+                    sign[k] = 1.0 if s == "+" else -1.0
+                    continue
+                v = {"0": 0.0, "low": low[k], "high": high[k]}[s]
+                if not np.isfinite(v):
+                    break
+                sign[k] = np.sign(v)
+                rows.append(np.eye(p)[k])
+                values.append(v)
+            else:
+                if tight:
+                    rows.append(sign)
+                    values.append(norm)
+                m = np.array(rows).reshape(len(rows), p)
+                kkt = np.block([[g, m.T], [m, np.zeros((len(rows), len(rows)))]])
+                w = np.linalg.lstsq(kkt, np.concatenate([b - l1 * sign, values]), rcond=None)[0][:p]
+                if np.abs(m @ w - values).max(initial=0) < 1e-8 and (w >= low - 1e-8).all() and (w <= high + 1e-8).all() and (norm is None or np.abs(w).sum() <= norm + 1e-8):
+                    cost = w @ g @ w / 2 - b @ w + (l1 * np.abs(w)).sum()
+                    best = min(best, (cost, tuple(w)))
+    return best
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_ruled_is_the_best_of_all_working_sets(seed):
+    r = np.random.default_rng(seed)
+    p = 3 + seed % 2
+    x = r.normal(size=(40, p)) * r.uniform(0.1, 30, p)
+    y = x @ r.normal(size=p) + r.normal(size=40)
+    g, b = x.T @ x, x.T @ y
+    offset = np.zeros(p)
+    offset[:2] = 1
+    a, c = {0: (np.zeros((0, p)), np.zeros(0)), 1: (offset[None], np.zeros(1)), 2: (np.vstack([offset, np.ones(p)]), np.array([0.0, 1.0]))}[seed % 3]
+    low = np.where(r.random(p) < 0.5, 0.0, -np.inf)
+    high = np.where(low < 0, r.choice([0.0, 0.7, np.inf], p), np.inf)
+    high[-1] = np.inf
+    l1 = r.choice([0.0, 20.0, 200.0], p)
+    norm = 1.6 if seed % 4 > 1 else None
+    w = solvers.ruled(g, b, a, c, low, high, l1, norm, reg=0.0)
+    cost, want = best_by_enumeration(g, b, a, c, low, high, l1, norm)
+    assert np.isclose(w @ g @ w / 2 - b @ w + (l1 * np.abs(w)).sum(), cost, rtol=1e-9, atol=1e-8) and np.allclose(w, want, atol=1e-6)
+    assert np.abs(a @ w - c).max(initial=0) < 1e-10 and (w >= low - 1e-10).all() and (w <= high + 1e-10).all()
+
+
+def test_ruled_equals_kkt_where_no_bound_binds_and_is_quick():
+    import time
+
+    r = np.random.default_rng(1)
+    x = r.normal(size=(200, 3))
+    y = x @ np.array([0.3, -0.2, 0.8]) + r.normal(size=200)
+    g, b = x.T @ x, x.T @ y
+    a, c = solvers.equalities(3, {}, set(), {(0, 1)})
+    free = np.full(3, np.inf)
+    assert np.allclose(solvers.ruled(g, b, a, c, -free, free), solvers.kkt(g, b, a, c), atol=1e-12)
+    with pytest.raises(ValueError):
+        solvers.ruled(g, b, np.vstack([a, [[1, 0, 0], [0, 1, 0]]]), np.array([0, 1, 1.0]), -free, free)
+    with pytest.raises(ValueError):
+        solvers.ruled(g, b, np.ones((1, 3)), np.array([1.0]), -free, np.zeros(3))
+    x = r.normal(size=(300, 7))
+    g, many = x.T @ x, x.T @ r.normal(size=(300, 200))
+    start = time.thread_time()
+    for k in range(200):
+        w = solvers.ruled(g, many[:, k], np.ones((1, 7)), np.ones(1), np.zeros(7), np.full(7, np.inf))
+        grad = g @ w + 1e-6 * w - many[:, k]
+        on = w > 1e-10
+        assert abs(w.sum() - 1) < 1e-10 and np.ptp(grad[on]) < 1e-8 * np.abs(grad).max() and (grad >= grad[on].min() - 1e-8 * np.abs(grad).max()).all()
+    assert time.thread_time() - start < 2

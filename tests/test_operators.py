@@ -326,3 +326,56 @@ def test_grid_search_is_one_smoother_per_value(spark):
         mse = done.agg(F.avg((F.col("smooth") - F.col("v")) ** 2)).first()[0]
         rough = smoothing.roughness(done, ["k"], ["t"], "smooth").agg(F.avg("roughness")).first()[0]
         assert np.isclose(got[lam]["mse"], mse) and np.isclose(got[lam]["roughness"], rough)
+
+
+def test_qp_rules_together(spark):
+    """Offset, sum and sign rules: the exact solution where no sign binds, the bound where one does; conflicts raise or fall back."""
+    r = np.random.default_rng(4)
+    rows = [(k % 2, *map(float, r.normal(size=3))) for k in range(400)]
+    data = spark.createDataFrame([(g, a, b, c, float((2 * g - 1) * (a - b) + c + 0.1 * r.normal())) for g, a, b, c in rows], "g int, x1 double, x2 double, x3 double, y double")
+    grams = regression.grams(data, ["g"], ["x1", "x2", "x3"], "y")
+    rule = "g int, kind string, feature int, feature2 int, value double"
+    rules = spark.createDataFrame([x for g in (0, 1) for x in ((g, "offset", 0, 1, 0.0), (g, "total", 0, None, 1.0), (g, "nonneg", 0, None, 0.0))], rule)
+    got = {x.g: x.w for x in regression.solve(grams, 3, "qp", rules=rules, keys=["g"]).collect()}
+    assert np.allclose(got[1], [1, -1, 1], atol=0.05) and abs(got[1][0] + got[1][1]) < 1e-12 and abs(got[1][2] - 1) < 1e-12
+    assert np.allclose(got[0], [0, 0, 1], atol=1e-12)
+    only = rules.where("kind = 'offset'")
+    a, b = ({x.g: x.w for x in regression.solve(grams, 3, m, rules=only, keys=["g"]).collect()} for m in ("qp", "kkt"))
+    assert all(np.allclose(a[g], b[g], atol=1e-10) for g in (0, 1))
+    clash = rules.unionByName(spark.createDataFrame([(g, "nonpos", 2, None, 0.0) for g in (0, 1)], rule))
+    plain = {x.g: x.w for x in regression.solve(grams, 3, keys=["g"]).collect()}
+    back = {x.g: x.w for x in regression.solve(grams, 3, "qp", rules=clash, keys=["g"], on_conflict="ols").collect()}
+    assert all(np.allclose(back[g], plain[g]) for g in (0, 1))
+    with pytest.raises(Exception, match="contradict"):
+        regression.solve(grams, 3, "qp", rules=clash, keys=["g"]).collect()
+
+
+def test_huber_from_grams_is_huber_from_rows(spark):
+    r = np.random.default_rng(8)
+    x = r.normal(size=(300, 2))
+    y = x @ [1.5, -0.7] + r.normal(size=300) + np.where(r.random(300) < 0.1, 40, 0)
+    rows = [(k % 3, k, float(a), float(b), float(c)) for k, ((a, b), c) in enumerate(zip(x, y, strict=True))] + [(0, 999, None, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "g int, i int, a double, b double, y double")
+    got = {q.g: q.w for q in regression.solve_huber(df, ["g"], "i", ["a", "b"], "y").collect()}
+    for g in range(3):
+        assert np.allclose(got[g], solvers.huber(x[g::3], y[g::3]), atol=1e-9)
+
+
+def test_tied_layers_by_hand(spark):
+    """One window, two layers: w2 = -w1 after the fit, what is under the threshold refitted, residuals from what is left."""
+    r = np.random.default_rng(2)
+    x = r.normal(size=(60, 2))
+    y = x @ [2.0, 0.1]
+    df = spark.createDataFrame([(k, "a", *map(float, x[k]), float(y[k])) for k in range(60)], "idx int, c string, x1 double, x2 double, y double")
+    out = {q.layer: q.w for q in regression.tied_layers(df, "idx", 60, 60, 60, ["x1", "x2"], "y", ["c"], 2, ((0, 1),), 0.5, 1e6, True).collect()}
+    g = x.T @ x
+    refit = np.linalg.solve(g + np.diag([0, 1e6]), x.T @ y)
+    first = np.array([solvers.ridge(g, x.T @ y)[0], refit[1]])
+    assert np.allclose(out[0], first, atol=1e-9)
+    left = y - x @ first
+    plain = solvers.ridge(g, x.T @ left)
+    masked = np.abs(plain) < 0.5
+    want = np.where(masked, np.linalg.solve(g + np.diag(1e6 * masked), x.T @ left), [plain[0], -plain[0]])
+    assert np.allclose(out[1], want, atol=1e-9)
+    with pytest.raises(ValueError):
+        regression.tied_layers(df, "idx", 60, 60, 60, ["x1", "x2"], "y", ["c"], 2, ((0, 1), (0, 1)))
