@@ -82,7 +82,10 @@ def quadratic(g: np.ndarray, b: np.ndarray, rows: np.ndarray, least: np.ndarray,
         if extra is not None:
             rows, least = np.vstack([rows, extra[0]]), np.append(least, extra[1])
             size = np.append(size, np.sqrt((extra[0] ** 2).sum()))
-        gap = np.where(size > 0, (rows @ w - least) / np.where(size > 0, size, 1.0), np.where(least > tol, -np.inf, 0.0)) if len(rows) else np.zeros(0)
+        fixed = size < 1e-10  # rows that no step can change
+        if (least[fixed] > 1e-9).any():
+            raise Infeasible("the rules contradict each other")
+        gap = np.where(fixed, 0.0, (rows @ w - least) / np.where(fixed, 1.0, size)) if len(rows) else np.zeros(0)
         gap[active] = 0.0
         k = int(np.argmin(gap)) if len(gap) else -1
         if k < 0 or gap[k] >= -tol * (1 + np.abs(w).max(initial=0.0)):
