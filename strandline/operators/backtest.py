@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slabs
+
 
 def confidence(df: DataFrame, actual: str, predicted: str, by: list[str] | None = None, most: float = 2.0) -> DataFrame:
     """df with confidence = 1 - |error| / (greatest |error| + 1e-6), leverage (clipped confidence * most) and adjusted."""
@@ -44,15 +46,18 @@ def backtest_summary(df: DataFrame, ret: str, by: list[str] | None = None, perio
     return df.groupBy(*by).agg(*aggs) if by else df.agg(*aggs)
 
 
-def rolling_sharpe(df: DataFrame, keys: list[str], order: list[str], ret: str, window: int = 20, target: float = 1.0) -> DataFrame:
+def rolling_sharpe(df: DataFrame, keys: list[str], order: list[str], ret: str, window: int = 20, target: float = 1.0, parts: int | None = None) -> DataFrame:
     """df with rolling_sharpe over the `window` rows before this one (sample deviation) and time_to_target = max(0, (target - sharpe) * window).
 
-    Rows with fewer rows before them have 0 for both.
+    Rows with fewer rows before them have 0 for both.  Series too long for a task are cut (slabs.parts_for).
     """
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-window, -1)
-    full = F.count(ret).over(w) >= window
-    out = df.withColumn("rolling_sharpe", F.when(full, F.avg(ret).over(w) / (F.stddev_samp(ret).over(w) + 1e-6)).otherwise(0.0))
-    return out.withColumn("time_to_target", F.when(full, F.greatest(F.lit(0.0), (F.lit(target) - F.col("rolling_sharpe")) * window)).otherwise(0.0))
+
+    def rolled(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(-window, -1)
+        return d.withColumn("_full", F.count(ret).over(w) >= window).withColumn("rolling_sharpe", F.when(F.col("_full"), F.avg(ret).over(w) / (F.stddev_samp(ret).over(w) + 1e-6)).otherwise(0.0))
+
+    out = slabs.in_slabs(df, keys, order, rolled, window, parts=parts)
+    return out.withColumn("time_to_target", F.when(F.col("_full"), F.greatest(F.lit(0.0), (F.lit(target) - F.col("rolling_sharpe")) * window)).otherwise(0.0)).drop("_full")
 
 
 def scale_positions(df: DataFrame, weight: str, time_to_target: str = "time_to_target", factor: float = 0.1) -> DataFrame:

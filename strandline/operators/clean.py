@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions import known
+from . import slabs
 from .windows import with_row_number
 
 
@@ -64,21 +65,24 @@ def to_wide(df: DataFrame, ids: list[str], name: str, value: str, values: list[s
     return df.groupBy(*ids).pivot(name, values).agg(F.avg(value))
 
 
-def to_returns(df: DataFrame, keys: list[str], order: list[str], price: str, kind: str = "log_returns", first: str = "zero", out: str = "ret") -> DataFrame:
+def to_returns(df: DataFrame, keys: list[str], order: list[str], price: str, kind: str = "log_returns", first: str = "zero", out: str = "ret", parts: int | None = None) -> DataFrame:
     """out: returns, log_returns, diff or none of price along order; the first row of a series is 0 or dropped.
 
-    A return from or to a price that its formula has no value for is NULL.
+    A return from or to a price that its formula has no value for is NULL.  Series too long for a task are cut (slabs.parts_for).
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    p, q = F.col(price), F.lag(price).over(w)
+    p, q = F.col(price), F.col("_q")
     kinds: dict[str, Column] = {"returns": F.try_divide(p - q, q), "log_returns": F.when((p > 0) & (q > 0), F.log(F.when(p > 0, p)) - F.log(F.when(q > 0, q))), "diff": p - q, "none": p}
     if kind not in kinds:
         raise ValueError(f"kind is one of {', '.join(kinds)}")
     if kind == "none":
         return df.withColumn(out, p)
-    start = F.row_number().over(w) == 1
-    done = df.withColumn(out, F.when(start, F.lit(0.0)).otherwise(kinds[kind]))
-    return done if first == "zero" else done.withColumn("_start", start).where("NOT _start").drop("_start")
+
+    def before(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return d.withColumn("_q", F.lag(price).over(w)).withColumn("_start", F.row_number().over(w) == 1)
+
+    done = slabs.in_slabs(df, keys, order, before, 1, parts=parts).withColumn(out, F.when(F.col("_start"), F.lit(0.0)).otherwise(kinds[kind]))
+    return (done if first == "zero" else done.where("NOT _start")).drop("_q", "_start")
 
 
 def label_encode(df: DataFrame, columns: list[str]) -> DataFrame:

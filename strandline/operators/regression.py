@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from ..kernels import solvers
 from ..sources import kept
+from . import slabs
+from .smoothing import affine_scan
 from .windows import window_ids
 
 RULE = "array<struct<kind:string,feature:int,feature2:int,value:double>>"
@@ -282,16 +284,20 @@ def total_coefficients(layers: DataFrame, keys: list[str], features: list[str])
     return each.groupBy(*keys, "feature").agg(F.sum("w").alias("w"))
 
 
-def warm_started(w: DataFrame, output: list[str], momentum: float = 0.9) -> DataFrame:
-    """window_id, output, feature, w, warm: m * warm before + (1 - m) * w along windows, from 0."""
-    series = w.groupBy(*output, "feature").agg(F.sort_array(F.collect_list(F.struct("window_id", "w"))).alias("s"))
+def warm_started(w: DataFrame, output: list[str], momentum: float = 0.9, parts: int | None = None) -> DataFrame:
+    """window_id, output, feature, w, warm: m * warm before + (1 - m) * w along windows, from 0.  Series too long for a task are cut (slabs.parts_for)."""
+    keys = [*output, "feature"]
+    parts = slabs.parts_for(w, keys, parts)
+    if parts:
+        return affine_scan(w, keys, "window_id", "w", "warm", momentum, 0.0, parts).select("window_id", *keys, "w", "warm")
+    series = w.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("window_id", "w"))).alias("s"))
 
     @F.pandas_udf("array<double>")
     def run(values: pd.Series) -> pd.Series:
         step = lambda warm, v: momentum * warm + (1 - momentum) * v
         return pd.Series([list(accumulate(v, step, initial=0.0))[1:] for v in values])
 
-    return series.withColumn("warm", run(F.transform("s", lambda r: r["w"].cast("double")))).select(*output, "feature", F.explode(F.arrays_zip("s", "warm")).alias("z")).select("z.s.window_id", *output, "feature", "z.s.w", F.col("z.warm").alias("warm"))
+    return series.withColumn("warm", run(F.transform("s", lambda r: r["w"].cast("double")))).select(*keys, F.explode(F.arrays_zip("s", "warm")).alias("z")).select("z.s.window_id", *keys, "z.s.w", F.col("z.warm").alias("warm"))
 
 
 def violations(w: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,19 +9,29 @@ from pyspark.sql import functions as F
 
 from ..functions import known
 from ..kernels import stationarity as tests
+from . import slabs
 
 
-def rolling_trend(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 50, alpha: float = 0.05) -> DataFrame:
+def rolling_trend(df: DataFrame, keys: list[str], order: list[str], value: str, window: int = 50, alpha: float = 0.05, parts: int | None = None) -> DataFrame:
     """keys, order, start, centre, slope, stderr, t, p, significant for each full window that ends at a row.
 
     Ordinary least squares on the row number with window - 2 degrees of freedom, from the moments of each window; a
-    perfect fit has stderr 0, no t and p 0 (p 1 if it is flat).  Windows with missing values are left out.
+    perfect fit has stderr 0, no t and p 0 (p 1 if it is flat).  Windows with missing values are left out.  Series too long
+    for a task are cut (slabs.parts_for).
     """
-    w = Window.partitionBy(*keys).orderBy(*order)
-    back = w.rowsBetween(-(window - 1), 0)
     spread = window * (window**2 - 1) / 12
-    rows = df.withColumn("_v", known(value)).withColumn("_n", F.row_number().over(w))
-    rows = rows.withColumn("_c", F.count("_v").over(back)).withColumn("_xy", F.regr_sxy("_v", "_n").over(back)).withColumn("_yy", F.regr_syy("_v", "_n").over(back)).where(F.col("_c") == window)
+
+    def moments(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        back = w.rowsBetween(-(window - 1), 0)
+        d = d if "_n" in d.columns else d.withColumn("_n", F.row_number().over(w))
+        return d.withColumn("_c", F.count("_v").over(back)).withColumn("_xy", F.regr_sxy("_v", "_n").over(back)).withColumn("_yy", F.regr_syy("_v", "_n").over(back))
+
+    rows = df.withColumn("_v", known(value))
+    parts = slabs.parts_for(rows, keys, parts)
+    if parts:
+        rows = slabs.numbered(rows, keys, order, "_n", parts).withColumn("_n", F.col("_n") + 1)
+    rows = slabs.in_slabs(rows, keys, order, moments, window - 1, parts=parts).where(F.col("_c") == window)
     left = F.col("_yy") - F.col("_xy") * F.col("_xy") / spread
     rows = rows.withColumn("slope", F.col("_xy") / spread).withColumn("_rss", F.when(left > 1e-13 * F.col("_yy"), left).otherwise(0.0))
     rows = rows.withColumn("stderr", F.sqrt(F.col("_rss") / (window - 2) / spread)).withColumn("t", F.try_divide("slope", "stderr"))

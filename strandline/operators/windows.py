@@ -50,8 +50,11 @@ def with_row_number(df: DataFrame, order: list[str], keys: list[str] | None = No
         # numbers and times: cuts at approximate quantiles of the first column, a short plan
         lead, n = F.col(order[0]), parts or 64
         number = (F.unix_micros(lead.cast("timestamp")) if kind.startswith(("timestamp", "date")) else lead).cast("double")
-        cuts = sorted(set(df.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 1000).alias("q")).first()["q"] or []))
-        rows = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < number)) if cuts else F.lit(0))
+        found = df.agg(F.percentile_approx(number, [k / n for k in range(1, n)], 1000).alias("q")).first()["q"] or []
+        cuts = sorted(set(found))
+        # a value that holds more than one quantile would fill a range: then cuts along all columns
+        short = len(order) == 1 or len(cuts) == len(found)
+        rows = df.withColumn("_range", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda q: q < number)) if cuts else F.lit(0)) if short else ranged(df, order, parts)
     else:
         rows = ranged(df, order, parts)
     rows = rows.join(_before(rows, F.lit(1).cast("long")), "_range")
@@ -80,11 +83,14 @@ def assign_windows(df: DataFrame, idx: str, size: int, stride: int, n_rows: int)
     return df.withColumn("window_id", F.explode(window_ids(idx, size, stride, n_rows)))
 
 
-def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, n: int = 10, out: str = "smooth") -> DataFrame:
-    """Mean of the known values among the last n rows; with none, the last result before."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    mean = F.avg(known(value)).over(w.rowsBetween(-(n - 1), 0))
-    return df.withColumn(out, mean).withColumn(out, F.last(out, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+def moving_average(df: DataFrame, keys: list[str], order: list[str], value: str, n: int = 10, out: str = "smooth", parts: int | None = None) -> DataFrame:
+    """Mean of the known values among the last n rows; with none, the last result before.  Series too long for a task are cut (slabs.parts_for)."""
+    from . import slabs
+
+    parts = slabs.parts_for(df, keys, parts)
+    back = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
+    mean = slabs.in_slabs(df, keys, order, lambda d, by: d.withColumn(out, F.avg(known(value)).over(back(by))), n - 1, parts=parts)
+    return slabs.carried(mean, keys, order, out, parts)
 
 
 def densify(df: DataFrame, keys: list[str], idx: str, value: str, fill: float = 0.0) -> DataFrame:
@@ -135,9 +141,12 @@ def forward_context(df: DataFrame, keys: list[str], order: list[str], value: str
     return out.withColumn("context", F.concat("context", F.array_repeat(F.lit(pad), F.lit(length) - F.col("context_length"))))
 
 
-def lead_lag_embedding(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+def lead_lag_embedding(df: DataFrame, keys: list[str], order: list[str], value: str, parts: int | None = None) -> DataFrame:
     """lag1: the value of the row before, the own value at the start."""
-    return df.withColumn("lag1", F.coalesce(F.lag(value, 1).over(Window.partitionBy(*keys).orderBy(*order)), F.col(value)))
+    from . import slabs
+
+    before = lambda by: F.lag(value, 1).over(Window.partitionBy(*by).orderBy(*order))
+    return slabs.in_slabs(df, keys, order, lambda d, by: d.withColumn("lag1", F.coalesce(before(by), F.col(value))), 1, parts=parts)
 
 
 def shifted(df: DataFrame, keys: list[str], order: list[str], value: str, k: int, out: str = "shifted") -> DataFrame:
