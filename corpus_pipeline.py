@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.decontaminate import decontaminated
@@ -15,38 +16,80 @@ from strandline.llm.sharding import shard
 SHARD_BYTES = 16 << 20
 
 
+def alone(docs: DataFrame) -> DataFrame:
+    """doc_id, text, source and row, a struct of all of docs' columns: whatever their names, none meets one that an operator adds."""
+    return docs.select(*(F.col(f"`{c}`") for c in ("doc_id", "text", "source")), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+
+
+def unused(docs: DataFrame, *names: str) -> str:
+    """A prefix with which none of the names is a column of docs."""
+    prefix = ""
+    while {f"{prefix}{n}" for n in names} & set(docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules and the forest keep; limits come from the labelled rows."""
-    return quality_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("rules.kept").select(*docs.columns)
+    """Documents that the rules and the forest keep; limits come from the labelled rows.
+
+    Null and empty texts go for want of words; repeated rows, rows of one id and rows without an id are judged each by
+    its own text; own columns of any name and type stay as they are.
+    """
+    return quality_rules(alone(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("rules.kept").select("row.*")
+
+
+def row_key(text: Column) -> Column:
+    return F.xxhash64("doc_id", text, F.col("text").isNull())
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates one document stays: that of the least id, of equal ids that of the least hash of id and text; null ids come last.
 
     A document is an id with a text.  Texts that share an id are documents of their own and go only if they are near
-    copies themselves; so do texts without an id.  Of rows with equal id and text the least in its columns' order stays.
+    copies themselves; so do texts without an id.  Of rows with equal id and text the least in its columns' order stays (maps
+    as JSON).  Documents are told apart by 64 bits of one hash and 128 of another: those few that only the second one tells apart
+    stay, and group with none.  Null and empty texts group with none either.
     """
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()))
-    ids = rows.groupBy("_row").agg(F.min("doc_id").alias("id"))
-    parts = ngram_join(rows, "_row").select(F.col("doc_id").alias("_row"), "component_id").distinct().join(ids, "_row")
-    stays = parts.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "_row")).alias("least")).select("least._row")
-    kept = rows.join(stays, "_row", "left_semi").groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("row"))
-    return kept.select("row.*")
+    known = F.coalesce(F.col("text"), F.lit(""))
+    rows = alone(docs).withColumns({"key": row_key(known), "check": F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("text").isNull().cast("string"), known))})
+    ids = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("check").alias("least"), F.max("check").alias("most"))
+    clash = ids.where("least <> most").select("key")
+    sure = rows.join(clash, "key", "left_anti")
+    parts = ngram_join(sure, "key").select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids.select("key", "id"), "key")
+    stays = parts.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least")).select("least.key")
+    kept = rows.join(stays.unionAll(clash), "key", "left_semi")
+    order = F.struct(*(F.to_json(F.col(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes))
+    return kept.groupBy("key", "check").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*docs.columns)
+    """Documents that hold no benchmark item.  Null and empty texts hold none; repeated rows are judged alike; own columns stay."""
+    return decontaminated(alone(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is dealt out, the rows of an output shard together and shuffled."""
-    return laid_out(mix(docs)).select(*docs.columns)
+    """The mix: each document as often as it is dealt out, the rows of an output shard together in a file, in shuffled order.
+
+    A document without words is never taken, as it adds nothing to a source's words; equal rows are taken alike; a null source is
+    one of its own.  Own columns stay.
+    """
+    return laid_out(mix(alone(docs))).select("row.*")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the shard that each goes to."""
-    return shard(docs, SHARD_BYTES)
+    """Documents with the shard that each goes to, and its place in the mix.
+
+    mix_file and mix_row are the file that the mix wrote a row to and its number there: in their order, a shard's rows are
+    in the order that the mix dealt and shuffled them in.  They are null where docs is not read from files.  Null and empty texts
+    have no bytes; rows of equal id and text share a shard, unless they don't fit.  Own columns stay; where one has an added
+    column's name, the added ones get underscores in front.
+    """
+    prefix = unused(docs, "mix_file", "mix_row", "shard_id", "shard_depth", "shard_bytes", "shard_part")
+    try:
+        docs = docs.withColumns({f"{prefix}mix_file": F.col("_metadata.file_name"), f"{prefix}mix_row": F.col("_metadata.row_index")})
+    except AnalysisException:
+        docs = docs.withColumns({f"{prefix}mix_file": F.lit(None).cast("string"), f"{prefix}mix_row": F.lit(None).cast("long")})
+    return shard(docs, SHARD_BYTES, prefix=f"{prefix}shard_")
 
 
 STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("mixing", mixing), ("sharding", sharding)]

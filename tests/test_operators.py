@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline import sources
 from strandline.functions import seconds_of_day, time_text
+from strandline.kernels import solvers
 from strandline.operators import asof, backtest, bonds, clean, compare, constraints, leadlag, orders, postprocess, regression, signature, smoothing, trend, windows
 
 
