@@ -1,6 +1,8 @@
 import random
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 
 from .fixtures import COLUMNS, words
@@ -116,3 +118,29 @@ def test_run_on_empty_and_odd_tables(spark, tmp_path):
         spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
         assert sorted(r.doc_id for r in corpus_pipeline.run(spark, d).collect()) == ([] if k == 0 else [2])
+
+
+def test_own_columns_of_any_name_and_type_stay(spark, tmp_path):
+    rows, items, marks = corpus(9)
+    own = ["_row", "rules", "mix", "_place", "key", "check", "row", "mix_file", "shard_id", "chunk", "component_id", "a.b"]
+    table = spark.createDataFrame(rows, COLUMNS).withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in own}).withColumn("m", F.create_map(F.lit("id"), "doc_id"))
+    table.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        docs = stage(spark, docs, str(tmp_path))
+        docs.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert docs.columns[: len(table.columns)] == table.columns and (k == 4 or len(docs.columns) == len(table.columns))
+    out = docs.collect()
+    assert out and all(r[c] == f"{c} of {r.doc_id}" for r in out for c in own) and all(r.m == {"id": r.doc_id} for r in out)
+    assert all(r._mix_file and r._mix_row is not None and r._shard_part == 0 for r in out)
+    assert len({(r._mix_file, r._mix_row) for r in out}) == len(out)
+
+
+def test_rows_that_one_hash_takes_for_another_stay(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(corpus_pipeline, "row_key", lambda text: F.pmod(F.length(text), F.lit(1000)).cast("long"))
+    texts = [" ".join(f"w{k}{j:03d}" for j in range(40)) for k in range(3)]  # of equal length: one key for all three
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate([*texts, texts[0] + " more"])], COLUMNS)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()) == [0, 1, 2, 3]
