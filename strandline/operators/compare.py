@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slabs
+
 
 def tv_distance(a: DataFrame, b: DataFrame, column: str, by: list[str] | None = None) -> DataFrame:
     """by, tv: half the sum of |share in a - share in b| over the categories of a column, of groups that both have."""
@@ -22,11 +24,12 @@ def tv_distance(a: DataFrame, b: DataFrame, column: str, by: list[str] | None =
     return out.join(a.select(*by).distinct(), by, "left_semi").join(b.select(*by).distinct(), by, "left_semi") if by else out
 
 
-def wasserstein(a: DataFrame, b: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
+def wasserstein(a: DataFrame, b: DataFrame, columns: list[str], by: list[str] | None = None, parts: int | None = None) -> DataFrame:
     """by, column_name, distance: area between the two distribution functions of each column.
 
     Counts per value first, then cumulative shares over sorted values; NULLs are left out.  With by, groups with at most
-    one row on a side have no distance.  The window runs within (by, column) over distinct values.
+    one row on a side have no distance.  A column of more distinct values than a task may hold is cut into ranges of values
+    (slabs.parts_for), which begin with the counts before them.
     """
     by = by or []
 
@@ -36,20 +39,25 @@ def wasserstein(a: DataFrame, b: DataFrame, columns: list[str], by: list[str] |
 
     keys = [*by, "column_name"]
     full = counts(a, "na").join(counts(b, "nb"), [*keys, "x"], "full_outer").na.fill(0, ["na", "nb"])
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    full = full.withColumn("ta", F.sum("na").over(w)).withColumn("tb", F.sum("nb").over(w))
-    full = full.withColumn("gap", F.lead("x").over(w.orderBy("x")) - F.col("x")).withColumn("fa", F.sum("na").over(upto) / F.nullif("ta", F.lit(0))).withColumn("fb", F.sum("nb").over(upto) / F.nullif("tb", F.lit(0)))
-    out = full.groupBy(*keys).agg(F.coalesce(F.sum(F.abs(F.col("fa") - F.col("fb")) * F.col("gap")), F.lit(0.0)).alias("distance"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
+    parts = slabs.parts_for(full, keys, parts)
+    totals = full.groupBy(*keys).agg(F.sum("na").alias("ta"), F.sum("nb").alias("tb"))
+    ahead = lambda d, own: d.withColumn("gap", F.lead("x").over(Window.partitionBy(*own).orderBy("x")) - F.col("x"))
+    full = slabs.in_slabs(slabs.running(full, keys, ["x"], {"ca": "na", "cb": "nb"}, parts), keys, ["x"], ahead, after=1, parts=parts)
+    both = slabs._same(full, totals, keys)
+    share = F.abs(F.col("ca") / F.nullif("ta", F.lit(0)) - F.col("cb") / F.nullif("tb", F.lit(0)))
+    out = both.groupBy(*keys).agg(F.coalesce(F.sum(share * F.col("gap")), F.lit(0.0)).alias("distance"), F.min("ta").alias("ta"), F.min("tb").alias("tb"))
     least = 1 if by else 0
     return out.withColumn("distance", F.when((F.col("ta") > least) & (F.col("tb") > least), F.col("distance"))).drop("ta", "tb")
 
 
-def persistence(df: DataFrame, keys: list[str], order: list[str], column: str, lag: int = 5) -> DataFrame:
+def persistence(df: DataFrame, keys: list[str], order: list[str], column: str, lag: int = 5, parts: int | None = None) -> DataFrame:
     """persistence: share of rows equal to the one `lag` rows before, averaged over keys with more than lag rows; 0 without any."""
-    before = F.lag(column, lag).over(Window.partitionBy(*keys).orderBy(*order))
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    rows = df.withColumn("_b", before).withColumn("_k", n).where(F.col("_k") > lag)
+
+    def before(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return d.withColumn("_b", F.lag(column, lag).over(w)).withColumn("_k", F.row_number().over(w))
+
+    rows = slabs.in_slabs(df, keys, order, before, lag, parts=parts).where(F.col("_k") > lag)
     each = rows.groupBy(*keys).agg(F.avg(F.col(column).eqNullSafe(F.col("_b")).cast("double")).alias("_s"))
     return each.agg(F.coalesce(F.avg("_s"), F.lit(0.0)).alias("persistence"))
 

@@ -8,14 +8,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import paths
+from . import slabs
 
 
-def signature(df: DataFrame, keys: list[str], order: list[str], channels: list[str], level: int = 2) -> DataFrame:
+def signature(df: DataFrame, keys: list[str], order: list[str], channels: list[str], level: int = 2, parts: int | None = None) -> DataFrame:
     """keys, term ('' is the leading 1, '1', '1,2', ... by channel number) and value, of the piecewise-linear path along order.
 
-    Level two: S(i, j) = sum (X_i before - X_i first) dX_j + dX_i dX_j / 2, sums that combine on the map side.
+    Level two: S(i, j) = sum (X_i before - X_i first) dX_j + dX_i dX_j / 2, sums that combine on the map side.  A path of more
+    rows than a task may hold (slabs.parts_for), and always the one path of a table without keys, is cut into ranges: each begins
+    with the last point before it, and their signatures are multiplied in order (Chen).
     """
-    return (_low(df, keys, order, channels, level) if level <= 2 else _chunked(df, keys, order, channels, level)).select(*keys, "term", "value")
+    if not keys:
+        return signature(df.withColumn("_all", F.lit(0)), ["_all"], order, channels, level, PARTS if parts is None else parts).drop("_all")
+    parts = slabs.parts_for(df, keys, parts)
+    of = _low if level <= 2 else _chunked
+    if not parts:
+        return of(df, keys, order, channels, level).select(*keys, "term", "value")
+    rows = slabs.with_halo(df.select(*keys, *order, *(c for c in channels if c not in order)), keys, order, parts, 1)
+    each = of(rows, ["_range", *keys], order, channels, level)
+    names = [",".join(map(str, x)) for x in paths.words(len(channels), level)]
+    slab = each.groupBy("_range", *keys).agg(F.map_from_entries(F.collect_list(F.struct("term", "value"))).alias("_m"))
+    slab = slab.select("_range", *keys, F.array(*(F.col("_m")[t] for t in names)).alias("_v"))
+    # a tree of two levels: ranges of a block of them, then blocks
+    for block in (F.floor(F.col("_range") / 64), F.lit(0)):
+        lists = slab.groupBy(block.alias("_b"), *keys).agg(F.sort_array(F.collect_list(F.struct("_range", "_v"))).alias("_s"))
+        slab = lists.select(F.col("_b").alias("_range"), *keys, _product(len(channels), level)(F.transform("_s", lambda s: s["_v"])).alias("_v"))
+    return slab.select(*keys, F.posexplode("_v")).select(*keys, F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1).alias("term"), F.col("col").alias("value"))
+
+
+#: Ranges of the one path of a table without keys.
+PARTS = 64
+
+
+def _product(n: int, level: int):
+    """Column function: signatures (flat arrays) multiplied in order."""
+
+    def levels(flat) -> list[np.ndarray]:
+        cut = np.cumsum([0, *(n**k for k in range(level + 1))])
+        return [np.asarray(flat[a:b], float).reshape((n,) * k) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
+
+    @F.pandas_udf("array<double>")
+    def product(parts: pd.Series) -> pd.Series:
+        def one(all_):
+            out = levels(all_[0])
+            for x in all_[1:]:
+                out = paths.chen(out, levels(x))
+            return np.concatenate([np.ravel(x) for x in out])
+
+        return pd.Series([one(x) for x in parts])
+
+    return product
 
 
 def _low(df: DataFrame, keys: list[str], order: list[str], channels: list[str], level: int) -> DataFrame:
@@ -52,21 +94,7 @@ def _chunked(df: DataFrame, keys: list[str], order: list[str], channels: list[st
     chunks = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_c", "_v"))).alias("_s"))
     names = [",".join(map(str, x)) for x in paths.words(n, level)]
 
-    @F.pandas_udf("array<double>")
-    def product(parts: pd.Series) -> pd.Series:
-        def levels(flat):
-            cut = np.cumsum([0, *(n**k for k in range(level + 1))])
-            return [np.asarray(flat[a:b], float).reshape((n,) * k) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True))]
-
-        def one(all_):
-            out = levels(all_[0])
-            for x in all_[1:]:
-                out = paths.chen(out, levels(x))
-            return np.concatenate([np.ravel(x) for x in out])
-
-        return pd.Series([one(x) for x in parts])
-
-    out = chunks.select(*keys, product(F.transform("_s", lambda s: s["_v"])).alias("_v"))
+    out = chunks.select(*keys, _product(n, level)(F.transform("_s", lambda s: s["_v"])).alias("_v"))
     return out.select(*keys, F.posexplode("_v")).select(*keys, F.element_at(F.array(*map(F.lit, names)), F.col("pos") + 1).alias("term"), F.col("col").alias("value"))
 
 

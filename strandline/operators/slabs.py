@@ -100,6 +100,20 @@ def carried(df: DataFrame, keys: list[str], order: list[str], column: str, parts
     return _same(rows.withColumn(column, fill(["_range", *keys])), handed, ["_range", *keys], "left").withColumn(column, F.coalesce(column, "_h")).drop("_h", "_range")
 
 
+def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, str], parts: int | None = None) -> DataFrame:
+    """df with out: the sum of column from the start of a series to a row, for each out: column; a slab begins with the sums before it."""
+    parts = parts_for(df, keys, parts)
+    upto = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    if not parts:
+        return df.withColumns({out: F.sum(c).over(upto(keys)) for out, c in sums.items()})
+    rows = ranged(df, [*keys, *order], parts)
+    past = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_range", *keys).agg(*(F.sum(c).alias(f"_t_{out}") for out, c in sums.items()))
+    totals = totals.select("_range", *keys, *(F.sum(f"_t_{out}").over(past).alias(f"_h_{out}") for out in sums), F.row_number().over(Window.partitionBy(*keys).orderBy("_range")).alias("_k")).where("_k > 1").drop("_k")
+    rows = _same(rows.withColumns({out: F.sum(c).over(upto(["_range", *keys])) for out, c in sums.items()}), totals, ["_range", *keys], "left")
+    return rows.withColumns({out: F.when(F.col(f"_h_{out}").isNull(), F.col(out)).otherwise(F.col(out) + F.col(f"_h_{out}")) for out in sums}).drop("_range", *(f"_h_{out}" for out in sums))
+
+
 Arrays = list[np.ndarray]
 
 

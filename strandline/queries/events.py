@@ -326,11 +326,28 @@ def order_side_correction(spark, d):
     return orders.correct_sides(rows, rows, "event_id").select("event_id", "side")
 
 
-@query()
+def _overall() -> str:
+    """The parts of the score of events with even ids against those with odd ones, each in SQL."""
+    ch = (1, 2, 3)
+    steps = ", ".join(f"x{i} - lag(x{i}) OVER w AS d{i}, lag(x{i}) OVER w - first_value(x{i}) OVER w AS p{i}" for i in ch)
+    sums = ", ".join([*(f"sum(d{i}) AS s{i}" for i in ch), *(f"sum(p{i} * d{j} + d{i} * d{j} / 2) AS s{i}{j}" for i in ch for j in ch)])
+    terms = [*(f"s{i}" for i in ch), *(f"s{i}{j}" for i in ch for j in ch)]
+    area = lambda c: f"(SELECT sum(abs(fa - fb) * gap) FROM (SELECT lead(x) OVER w - x AS gap, sum(na) OVER w / (SELECT count(*) FROM o WHERE half = 0) AS fa, sum(nb) OVER w / (SELECT count(*) FROM o WHERE half = 1) AS fb FROM (SELECT {c} AS x, count(*) FILTER (half = 0) AS na, count(*) FILTER (half = 1) AS nb FROM o GROUP BY ALL) WINDOW w AS (ORDER BY x)))"
+    tv = lambda c: f"(SELECT sum(abs(p - q)) / 2 FROM (SELECT {c}, count(*) FILTER (half = 0) / (SELECT count(*) FROM o WHERE half = 0) AS p, count(*) FILTER (half = 1) / (SELECT count(*) FROM o WHERE half = 1) AS q FROM o GROUP BY ALL))"
+    stay = lambda h: f"(SELECT coalesce(avg(v), 0) FROM (SELECT avg(same::INT) AS v FROM (SELECT symbol, side = lag(side, 5) OVER w AS same, row_number() OVER w AS k FROM o WHERE half = {h} WINDOW w AS (PARTITION BY symbol ORDER BY event_id)) WHERE k > 5 GROUP BY symbol))"
+    return f"""WITH {TICKS}, o AS (SELECT event_id, event_id % 2 AS half, symbol, side, quantity / 100 AS quantity, price / 100 AS price, (ms // 1000 % 86400) / 86400 AS time_s FROM ticks),
+step AS (SELECT half, {steps} FROM (SELECT half, event_id, time_s AS x1, quantity AS x2, price AS x3 FROM o) WINDOW w AS (PARTITION BY half ORDER BY event_id)),
+sig AS (SELECT half, {sums} FROM step GROUP BY half),
+part AS (SELECT {area("quantity")} AS w_quantity, {area("price")} AS w_price, {tv("symbol")} AS tv_symbol, {tv("side")} AS tv_side,
+  (SELECT sqrt({" + ".join(f"(a.{t} - b.{t}) ** 2" for t in terms)}) FROM sig a, sig b WHERE a.half = 0 AND b.half = 1) AS signature_l2, abs({stay(0)} - {stay(1)}) AS side_lag)
+SELECT {", ".join(f"{r(c, 4)} AS {c}" for c in ("w_quantity", "w_price", "tv_symbol", "tv_side", "signature_l2", "side_lag"))}, {r("w_quantity + w_price + tv_symbol + tv_side + signature_l2 + side_lag", 4)} AS overall FROM part"""
+
+
+@query(_overall())
 def order_overall_score(spark, d):
     a, b = (x.withColumn("price", F.col("price") / 100).withColumn("time_s", F.col("time_s") / 86400).withColumn("quantity", F.col("quantity") / 100) for x in (_order_rows(spark, d).where(f"event_id % 2 = {k}") for k in (0, 1)))
     out = orders.overall_score(a, b, ["event_id"])
-    return out.select(*(rounded(c).alias(c) for c in out.columns))
+    return out.select(*(rounded(c, 4).alias(c) for c in out.columns))
 
 
 @query("""WITH s AS (SELECT event_type AS experiment, user_id % 7 AS p, avg(value) AS overall FROM events GROUP BY ALL)

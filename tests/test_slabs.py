@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strandline.operators import backtest, clean, regression, slabs, smoothing, trend, windows
+from strandline.operators import backtest, clean, compare, regression, signature, slabs, smoothing, trend, windows
 
 
 @pytest.fixture(scope="module")
@@ -91,3 +91,28 @@ def test_row_numbers_with_a_hot_first_value(spark):
     assert [r.idx for r in sorted(got, key=lambda r: (r.a, r.b))] == list(range(20_000))
     ranges = windows.ranged(df, ["a", "b"]).groupBy("_range").count().collect()
     assert max(r["count"] for r in ranges) < 2_000
+
+
+def test_signatures_of_cut_paths(spark):
+    r = random.Random(3)
+    rows = [(k, t, r.random(), r.random() + t / 50) for k in ("a", "b", None) for t in range(3 if k == "b" else 150)]
+    df = spark.createDataFrame(rows, "k string, t int, x double, y double").repartition(4)
+    for level in (1, 2, 3):
+        columns = ["k", "term", "value"]
+        order = lambda d: sorted(table(d, columns), key=str)
+        close(order(signature.signature(df, ["k"], ["t"], ["x", "y"], level, parts=11)), order(signature.signature(df, ["k"], ["t"], ["x", "y"], level, parts=0)))
+    whole = {s.term: s.value for s in signature.signature(df.where("k = 'a'"), [], ["t"], ["x", "y"], 2).collect()}
+    keyed = {s.term: s.value for s in signature.signature(df.where("k = 'a'"), ["k"], ["t"], ["x", "y"], 2, parts=0).collect()}
+    assert whole.keys() == keyed.keys() and all(math.isclose(whole[t], keyed[t], abs_tol=1e-9) for t in keyed)
+
+
+def test_distances_and_persistence_in_ranges(spark):
+    r = random.Random(5)
+    a, b = (spark.createDataFrame([(r.choice("pq"), t, float(r.choice([r.gauss(m, 1), 7.0])), r.choice("bs")) for t in range(300)], "g string, t int, v double, s string") for m in (0, 0.5))
+    for by in (None, ["g"]):
+        one, cut = ({(x[0] if by else ""): x.distance for x in compare.wasserstein(a, b, ["v"], by, parts=p).collect()} for p in (0, 23))
+        assert one.keys() == cut.keys() and all(math.isclose(one[k], cut[k], rel_tol=1e-12) for k in one)
+    x, y = (compare.persistence(a, ["g"], ["t"], "s", 9, parts=p).first()[0] for p in (0, 23))
+    assert math.isclose(x, y, rel_tol=1e-12)
+    z = slabs.running(a, ["g"], ["t"], {"c": "v"}, 23)
+    close(table(z, ["g", "t", "c"]), table(slabs.running(a, ["g"], ["t"], {"c": "v"}, 0), ["g", "t", "c"]))
