@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..kernels import paths
+from . import tiles
 
 
 def series_pairs(df: DataFrame, series: str, order: str, value: str, pairs: DataFrame | None = None) -> DataFrame:
@@ -81,8 +82,10 @@ def _level(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[:n], y[:n]
 
 
-def dtw_lags(df: DataFrame, series: str, order: str, value: str, lags: list[int], squared: bool = False, band: int | None = None) -> DataFrame:
-    """a, b, lag, score: exact dynamic time warping distance of the series shifted by lag.  One task holds a pair."""
+def dtw_lags(df: DataFrame, series: str, order: str, value: str, lags: list[int], squared: bool = False, band: int | None = None, tile: int = tiles.TILE) -> DataFrame:
+    """a, b, lag, score: exact dynamic time warping distance of the series shifted by lag.  Series of more than `tile` rows are aligned in tiles."""
+    if tiles.longest(df, series) > tile:
+        return tiles.dtw(df, series, order, value, lags, squared, band, tile)
 
     @F.pandas_udf("array<double>")
     def distances(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -96,8 +99,12 @@ def dtw_distance(df: DataFrame, series: str, order: str, value: str, squared: bo
     return dtw_lags(df, series, order, value, [0], squared, band).select("a", "b", F.col("score").alias("distance"))
 
 
-def optimal_paths(df: DataFrame, series: str, order: str, value: str, beta: float = 1.0, most: int | None = None) -> DataFrame:
-    """a, b, lag, cost: rounded mean of j - i along the optimal path, clamped to most."""
+def optimal_paths(df: DataFrame, series: str, order: str, value: str, beta: float = 1.0, most: int | None = None, tile: int = tiles.TILE) -> DataFrame:
+    """a, b, lag, cost: rounded mean of j - i along the optimal path, clamped to most.  Series of more than `tile` rows go in bands."""
+    if tiles.longest(df, series) > tile:
+        lag = F.rint("mean_step").cast("long")
+        lag = lag if most is None else F.greatest(F.least(lag, F.lit(most)), F.lit(-most)).cast("long")
+        return tiles.optimal(df, series, order, value, beta, tile).select("a", "b", lag.alias("lag"), "cost")
 
     @F.pandas_udf("struct<lag:long,cost:double>")
     def path(x: pd.Series, y: pd.Series) -> pd.DataFrame:
@@ -112,7 +119,10 @@ def optimal_paths(df: DataFrame, series: str, order: str, value: str, beta: floa
 
 
 def thermal_paths(df: DataFrame, series: str, order: str, value: str, temperature: float = 1.0) -> DataFrame:
-    """a, b, average_path (mean of b - a per anti-diagonal) and log_final, over the first rows that both series have."""
+    """a, b, average_path (mean of b - a per anti-diagonal) and log_final, over the first rows that both series have.
+
+    A pair is a task's row here; tiles.thermal() has a row for each diagonal, for series of any length.
+    """
 
     @F.pandas_udf("struct<average_path:array<double>,log_final:double>")
     def path(x: pd.Series, y: pd.Series) -> pd.DataFrame:

@@ -188,31 +188,51 @@ def signature_lags(spark, d):
     return leadlag.signature_lags(g, "symbol", "slot", "price", list(range(-3, 4))).withColumn("score", rounded("score"))
 
 
-def _short(spark, d):
-    """Series short enough to align: daily last prices."""
-    return windows.resample(ticks(spark, d), ["symbol"], "ms", "price", 24 * HOUR, tie=("event_id",)).select("symbol", "slot", (F.col("price") / 100).alias("price"))
+def _priced(spark, d):
+    return _grid(spark, d).withColumn("price", F.col("price") / 100)
 
 
-@query()
+_ALIGN = f"""WITH RECURSIVE {_GRID}, v AS (SELECT symbol, slot, price / 100 AS v FROM grid), n AS (SELECT count(DISTINCT slot) AS n FROM v),
+pair AS (SELECT x.symbol AS a, y.symbol AS b FROM (SELECT DISTINCT symbol FROM v) x JOIN (SELECT DISTINCT symbol FROM v) y ON x.symbol < y.symbol)"""
+
+
+def _dtw_sql(name: str, cost: str) -> str:
+    """Row by row: the least of the cells above and above left, then along the row as a running minimum over sums of costs."""
+    row = f"SELECT p.a, p.b, p.i + 1 AS i, p.j, {cost} AS c, least(p.d, lag(p.d) OVER w) AS up FROM {name} p JOIN v x ON x.symbol = p.a AND x.slot = p.i + 1 JOIN v y ON y.symbol = p.b AND y.slot = p.j WINDOW w AS (PARTITION BY p.a, p.b ORDER BY p.j)"
+    return f"""{name} AS (
+  SELECT a, b, 0::BIGINT AS i, y.slot AS j, sum({cost}) OVER (PARTITION BY a, b ORDER BY y.slot) AS d FROM pair JOIN v x ON x.symbol = a AND x.slot = 0 JOIN v y ON y.symbol = b
+  UNION ALL SELECT a, b, i, j, t + min(up - (t - c)) OVER (PARTITION BY a, b ORDER BY j) FROM (SELECT *, sum(c) OVER (PARTITION BY a, b ORDER BY j) AS t FROM ({row})))"""
+
+
+@query(f"""{_ALIGN}, {_dtw_sql("one", "abs(x.v - y.v)")}, {_dtw_sql("two", "(x.v - y.v) ** 2")}
+SELECT a, b, {r("one.d", 4)} AS distance, {r("sqrt(two.d)", 4)} AS root_distance FROM one JOIN two USING (a, b, i, j), n WHERE i = n - 1 AND j = n - 1""")
 def align_dtw(spark, d):
-    out = leadlag.dtw_distance(_short(spark, d), "symbol", "slot", "price")
-    squared = leadlag.dtw_distance(_short(spark, d), "symbol", "slot", "price", squared=True).withColumnRenamed("distance", "root_distance")
-    return out.join(squared, ["a", "b"]).select("a", "b", rounded("distance").alias("distance"), rounded("root_distance").alias("root_distance"))
+    out = leadlag.dtw_distance(_priced(spark, d), "symbol", "slot", "price")
+    squared = leadlag.dtw_distance(_priced(spark, d), "symbol", "slot", "price", squared=True).withColumnRenamed("distance", "root_distance")
+    return out.join(squared, ["a", "b"]).select("a", "b", rounded("distance", 4).alias("distance"), rounded("root_distance", 4).alias("root_distance"))
 
 
 @query()
 def align_dtw_lags(spark, d):
-    return leadlag.best_lag(leadlag.dtw_lags(_short(spark, d), "symbol", "slot", "price", list(range(-5, 6))), "least").withColumn("score", rounded("score"))
+    return leadlag.best_lag(leadlag.dtw_lags(_priced(spark, d), "symbol", "slot", "price", list(range(-5, 6))), "least").withColumn("score", rounded("score"))
 
 
-@query()
+# of equal ways the first of: from the column before, the same one, the one after; t sums the columns that a path was in
+_STEP = "SELECT p.*, coalesce(lag(p.d) OVER w + 1, 'inf'::DOUBLE) AS l, coalesce(lead(p.d) OVER w + 1, 'inf'::DOUBLE) AS r, lag(p.t) OVER w AS lt, lead(p.t) OVER w AS rt FROM path p WINDOW w AS (PARTITION BY p.a, p.b ORDER BY p.j)"
+
+
+@query(f"""{_ALIGN}, path AS (
+  SELECT a, b, 0::BIGINT AS i, y.slot AS j, (x.v - y.v) ** 2 AS d, y.slot::DOUBLE AS t FROM pair JOIN v x ON x.symbol = a AND x.slot = 0 JOIN v y ON y.symbol = b
+  UNION ALL SELECT q.a, q.b, q.i + 1, q.j, (x.v - y.v) ** 2 + least(q.l, q.d, q.r), CASE WHEN q.l <= q.d AND q.l <= q.r THEN lt WHEN q.d <= q.r THEN t ELSE rt END + q.j
+  FROM ({_STEP}) q JOIN v x ON x.symbol = q.a AND x.slot = q.i + 1 JOIN v y ON y.symbol = q.b AND y.slot = q.j)
+SELECT a, b, CAST(least(20, greatest(-20, round_even(arg_min(t, (d, j)) / any_value(n) - (any_value(n) - 1) / 2, 0))) AS BIGINT) AS lag, {r("min(d)")} AS cost FROM path, n WHERE i = n - 1 GROUP BY a, b""")
 def align_optimal_path(spark, d):
-    return leadlag.optimal_paths(_short(spark, d), "symbol", "slot", "price", 1.0, 20).withColumn("cost", rounded("cost"))
+    return leadlag.optimal_paths(_priced(spark, d), "symbol", "slot", "price", 1.0, 20).withColumn("cost", rounded("cost"))
 
 
 @query()
 def align_thermal_path(spark, d):
-    out = leadlag.thermal_paths(_short(spark, d), "symbol", "slot", "price", 2.0)
+    out = leadlag.thermal_paths(_priced(spark, d), "symbol", "slot", "price", 2.0)
     return out.select("a", "b", rounded("log_final").alias("log_final"), F.transform("average_path", lambda x: rounded(x)).alias("average_path"))
 
 
@@ -223,17 +243,17 @@ def align_wavelet_energy(spark, d):
 
 @query()
 def align_wavelet_lags(spark, d):
-    return leadlag.feature_lags(_short(spark, d), "symbol", "slot", "price", list(range(-3, 4))).withColumn("score", rounded("score"))
+    return leadlag.feature_lags(_priced(spark, d), "symbol", "slot", "price", list(range(-3, 4))).withColumn("score", rounded("score"))
 
 
 @query()
 def align_signature_correlation(spark, d):
-    return leadlag.feature_lags(_short(spark, d), "symbol", "slot", "price", list(range(-3, 4)), "signature").withColumn("score", rounded("score"))
+    return leadlag.feature_lags(_priced(spark, d), "symbol", "slot", "price", list(range(-3, 4)), "signature").withColumn("score", rounded("score"))
 
 
 @query()
 def align_all_methods(spark, d):
-    return leadlag.all_methods(_short(spark, d), "symbol", "slot", "price", 5)
+    return leadlag.all_methods(_priced(spark, d), "symbol", "slot", "price", 5)
 
 
 # two event tables: the events with even and odd ids ------------------------------------------------------------------
