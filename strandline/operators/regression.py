@@ -59,6 +59,31 @@ def window_grams(df: DataFrame, idx: str, size: int, stride: int, n_rows: int, x
     return _added(spread, ["window_id", *keys], len(x))
 
 
+def shared_grams(x_rows: DataFrame, y_rows: DataFrame, idx: str, size: int, stride: int, n_rows: int, x: list[str], y: str, keys: list[str]) -> DataFrame:
+    """window_grams() of y_rows (idx, keys, y) on x_rows (one row of features for each idx), for many outputs of the same features.
+
+    The features' own sums are made once for each block, not once for each output, which adds its sums with them only.  Every
+    output must have all rows of its windows that have features: one that lacks some fails the job (window_grams takes those).
+    """
+    g, p = gcd(size, stride), len(x)
+    block = lambda d: d.withColumn("_b", F.floor(F.col(idx) / g).cast("long"))
+    spread = lambda d: d.withColumn("window_id", F.explode(window_ids(F.col("_b") * g, size, stride, n_rows)))
+    features = block(x_rows.dropna(subset=x).select(idx, *(F.col(c).cast("double").alias(c) for c in x)))
+    rows = y_rows.dropna(subset=[y]).select(idx, *keys, F.col(y).cast("double").alias(y)).join(features, idx)
+    own = [F.sum(F.col(c) * F.col(y)).alias(f"_xy{k}") for k, c in enumerate(x)]
+    sums = [*(f"_xy{k}" for k in range(p)), "yy", "sy", "n"]
+    outputs = rows.groupBy("_b", *keys).agg(*own, F.sum(F.col(y) * F.col(y)).alias("yy"), F.sum(y).alias("sy"), F.count(y).alias("n"))
+    outputs = spread(outputs).groupBy("window_id", *keys).agg(*(F.sum(c).alias(c) for c in sums))
+    pairs = [(i, j) for i in range(p) for j in range(i, p)]
+    alike = features.groupBy("_b").agg(*(F.sum(F.col(x[i]) * F.col(x[j])).alias(f"_g{k}") for k, (i, j) in enumerate(pairs)), *(F.sum(c).alias(f"_s{k}") for k, c in enumerate(x)), F.count("*").alias("_nx"))
+    names = [*(f"_g{k}" for k in range(len(pairs))), *(f"_s{k}" for k in range(p))]
+    alike = spread(alike).groupBy("window_id").agg(*(F.sum(c).alias(c) for c in (*names, "_nx")))
+    both = outputs.join(alike, "window_id")
+    pack = lambda d: d.select("window_id", *keys, F.array(*names[: len(pairs)]).alias("xx"), F.array(*(f"_xy{k}" for k in range(p))).alias("xy"), F.array(*names[len(pairs) :]).alias("sx"), "yy", "sy", "n")
+    whole = F.when(F.col("n") == F.col("_nx"), F.col("n")).otherwise(F.raise_error(F.lit("an output lacks rows that have features: use window_grams")))
+    return pack(both.withColumn("n", whole))
+
+
 def full_gram(xx: np.ndarray, p: int) -> np.ndarray:
     """Stacked upper triangles as full matrices."""
     out = np.zeros((*xx.shape[:-1], p, p))

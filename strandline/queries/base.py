@@ -94,3 +94,25 @@ xi AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS idx FROM x),
 yy AS (SELECT CAST(l_shipdate AS DATE) AS date, l_returnflag AS country, l_linestatus AS tenor, avg(l_extendedprice) / 10000 AS y FROM lineitem GROUP BY ALL),
 reg AS (SELECT idx, country, tenor, x1, x2, x3, y FROM xi JOIN yy USING (date)),
 size AS (SELECT count(*) AS n_rows FROM x)"""
+
+
+# the wide shape: seven daily features and 12 x 14 outputs, each with a value for every day
+WIDE_X = {"x1": "avg(l_quantity) / 10", "x2": "avg(l_discount) * 10", "x3": "avg(l_tax) * 10", "x4": "avg(l_extendedprice) / 10000", "x5": "avg(l_quantity * l_discount)", "x6": "avg(l_linenumber)", "x7": "avg(l_partkey % 7)"}
+
+
+def wide_rows(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    from ..operators.windows import with_row_number
+
+    li = table(spark, d, "lineitem").withColumn("date", F.to_date("l_shipdate"))
+    x = with_row_number(li.groupBy("date").agg(*(F.expr(e).alias(c) for c, e in WIDE_X.items())), ["date"], out="idx")
+    sums = li.groupBy("date", (F.col("l_suppkey") % 12).alias("country"), (F.col("l_partkey") % 14).alias("tenor")).agg((F.sum("l_quantity") / 10).alias("y"))
+    cells = x.select("date", "idx").withColumn("country", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(11).cast("long")))).withColumn("tenor", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(13).cast("long"))))
+    y = cells.join(sums, ["date", "country", "tenor"], "left").select("idx", "country", "tenor", F.coalesce("y", F.lit(0.0)).alias("y"))
+    return x.drop("date"), y, li.select("date").distinct().count()
+
+
+WIDE = f"""wx AS (SELECT CAST(l_shipdate AS DATE) AS date, {", ".join(f"{e} AS {c}" for c, e in WIDE_X.items())} FROM lineitem GROUP BY ALL),
+wi AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS idx FROM wx), wn AS (SELECT count(*) AS n_rows FROM wx),
+ws AS (SELECT CAST(l_shipdate AS DATE) AS date, l_suppkey % 12 AS country, l_partkey % 14 AS tenor, sum(l_quantity) / 10 AS y FROM lineitem GROUP BY ALL),
+wc AS (SELECT date, idx, c.country, t.tenor, x1, x2, x3, x4, x5, x6, x7 FROM wi, (SELECT unnest(range(12)) AS country) c, (SELECT unnest(range(14)) AS tenor) t),
+wide AS (SELECT wc.* EXCLUDE (date), coalesce(y, 0) AS y FROM wc LEFT JOIN ws USING (date, country, tenor))"""

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import compare, constraints, postprocess, regression, windows
-from .base import REGRESSION, Registry, panel, r, regression_rows, table
+from .base import REGRESSION, WIDE, WIDE_X, Registry, panel, r, regression_rows, table, wide_rows
 
 query = Registry()
 SIZE, STRIDE = 200, 150
@@ -596,3 +596,52 @@ def rules_control(spark, d):
 
 
 QUERIES, ORACLE_SQL = query.queries, query.sql
+
+
+# the wide shape: 7 features, 168 outputs, whose sums of features are made once -------------------------------------------
+
+X7 = list(WIDE_X)
+
+
+def _wide_grams(spark, d):
+    x, y, n = wide_rows(spark, d)
+    return regression.shared_grams(x, y, "idx", SIZE, STRIDE, n, X7, "y", KEYS)
+
+
+def _eliminated(columns: list[str]) -> str:
+    """SQL of the windows' normal equations of these columns (expressions of x1 .. x7), by elimination, a table for each step: e0, e1, ... and w1, w2, ..."""
+    p = len(columns)
+    sums = [f"sum(({columns[i]}) * ({columns[j]})){' + 1e-6 * (' + str(1 + (columns[i].count('-'))) + ')' if i == j else ''} AS g{i}{j}" for i in range(p) for j in range(i, p)]
+    out = [f"WITH {WIDE}, ww AS (SELECT w AS window_id, wide.* FROM wide, wn, unnest(range(0, (n_rows - {SIZE}) // {STRIDE} + 1)) t(w) WHERE idx >= w * {STRIDE} AND idx < w * {STRIDE} + {SIZE})"]
+    out.append(f"e0 AS (SELECT window_id, country, tenor, {', '.join(sums)}, {', '.join(f'sum(({c}) * y) AS b{i}' for i, c in enumerate(columns))} FROM ww GROUP BY ALL)")
+    g = lambda i, j: f"g{min(i, j)}{max(i, j)}"
+    for k in range(p):
+        rest = range(k + 1, p)
+        new = [*(f"{g(i, j)} - {g(k, i)} * {g(k, j)} / g{k}{k} AS {g(i, j)}" for i in rest for j in rest if i <= j), *(f"b{i} - {g(k, i)} * b{k} / g{k}{k} AS b{i}" for i in rest)]
+        done = [*(f"g{i}{j}" for i in range(k + 1) for j in range(i, p)), *(f"b{i}" for i in range(k + 1))]
+        out.append(f"e{k + 1} AS (SELECT window_id, country, tenor, {', '.join([*done, *new])} FROM e{k})")
+    for k in range(p - 1, -1, -1):
+        left = "".join(f" - {g(k, j)} * w{j}" for j in range(k + 1, p))
+        out.append(f"s{k} AS (SELECT *, (b{k}{left}) / g{k}{k} AS w{k} FROM {'e' + str(p) if k == p - 1 else 's' + str(k + 1)})")
+    return ", ".join(out)
+
+
+@query(f"{_eliminated(X7)} SELECT window_id, country, tenor, {', '.join(f'{r(f"w{k}", 4)} AS w{k + 1}' for k in range(7))} FROM s0")
+def reg_wide(spark, d):
+    out = regression.solve(_wide_grams(spark, d), 7)
+    return out.select("window_id", *KEYS, *(rounded(F.col("w")[k], 4).alias(f"w{k + 1}") for k in range(7)))
+
+
+# with w1 + w2 = 0 the two features are one: their difference
+@query(f"{_eliminated(['x1 - x2', *X7[2:]])} SELECT window_id, country, tenor, {r('w0', 4)} AS w1, {r('-w0', 4)} AS w2, {', '.join(f'{r(f"w{k}", 4)} AS w{k + 2}' for k in range(1, 6))} FROM s0")
+def reg_wide_kkt(spark, d):
+    rules = spark.createDataFrame([(c, t, "offset", 0, 1, 0.0) for c in range(12) for t in range(14)], "country long, tenor long, kind string, feature int, feature2 int, value double")
+    out = regression.solve(_wide_grams(spark, d), 7, "kkt", rules=rules, keys=KEYS)
+    return out.select("window_id", *KEYS, *(rounded(F.col("w")[k], 4).alias(f"w{k + 1}") for k in range(7)))
+
+
+@query(f"""{_eliminated(X7)} SELECT window_id, country, tenor, {r("g00 - 1e-6", 3)} AS g11, {r("g03", 3)} AS g14, {r("g66 - 1e-6", 3)} AS g77, {r("b0", 3)} AS b1, {r("b6", 3)} AS b7 FROM e0""")
+def reg_wide_grams(spark, d):
+    g = _wide_grams(spark, d)
+    parts = {"g11": g.xx[0], "g14": g.xx[3], "g77": g.xx[27], "b1": g.xy[0], "b7": g.xy[6]}
+    return g.select("window_id", *KEYS, *(rounded(c, 3).alias(k) for k, c in parts.items()))

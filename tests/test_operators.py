@@ -380,3 +380,18 @@ def test_tied_layers_by_hand(spark):
     assert np.allclose(out[1], want, atol=1e-9)
     with pytest.raises(ValueError):
         regression.tied_layers(df, "idx", 60, 60, 60, ["x1", "x2"], "y", ["c"], 2, ((0, 1), (0, 1)))
+
+
+def test_shared_grams(spark):
+    r = random.Random(3)
+    x = spark.createDataFrame([(k, r.random(), r.random() - 0.5) for k in range(40)], "idx int, x1 double, x2 double")
+    y = spark.createDataFrame([(k, o, r.random()) for k in range(40) for o in "abc"], "idx int, o string, y double")
+    columns = ["window_id", "o", "xx", "xy", "sx", "yy", "sy", "n"]
+    key = lambda q: (q[0], q[1])
+    got = sorted((tuple(q[c] for c in columns) for q in regression.shared_grams(x, y, "idx", 12, 8, 40, ["x1", "x2"], "y", ["o"]).collect()), key=key)
+    want = sorted((tuple(q[c] for c in columns) for q in regression.window_grams(y.join(x, "idx"), "idx", 12, 8, 40, ["x1", "x2"], "y", ["o"]).collect()), key=key)
+    assert len(got) == len(want) == 12
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and all(np.allclose(u, v, rtol=1e-12) for u, v in zip(a[2:], b[2:], strict=True))
+    with pytest.raises(Exception, match="window_grams"):
+        regression.shared_grams(x, y.where("NOT (o = 'b' AND idx = 13)"), "idx", 12, 8, 40, ["x1", "x2"], "y", ["o"]).collect()
