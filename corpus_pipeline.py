@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm.decontaminate import decontaminated
-from strandline.llm.exchange import staged_alone
+from strandline.llm.exchange import staged, staged_alone
 from strandline.llm.group_join import ngram_join
 from strandline.llm.mixing import laid_out, mix
 from strandline.llm.rules import quality_rules
@@ -16,9 +18,11 @@ from strandline.llm.sharding import shard
 SHARD_BYTES = 16 << 20
 
 
-def alone(docs: DataFrame) -> DataFrame:
-    """doc_id, text, source and row, a struct of all of docs' columns: whatever their names, none meets one that an operator adds."""
-    return docs.select(*(F.col(f"`{c}`") for c in ("doc_id", "text", "source")), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+def apart(docs: DataFrame, stage: Callable[[DataFrame], DataFrame], *taken: str) -> DataFrame:
+    """stage(docs) with the columns of docs; those that have a taken name, which stage's operator uses, are called otherwise meanwhile."""
+    names = {c: f"{unused(docs, *(f'own_{k}' for k in range(len(taken))))}own_{taken.index(c)}" if c in taken else c for c in docs.columns}
+    out = stage(docs.withColumnsRenamed({c: n for c, n in names.items() if c != n}))
+    return out.select(*(F.col(f"`{n}`").alias(c) for c, n in names.items()))
 
 
 def unused(docs: DataFrame, *names: str) -> str:
@@ -35,7 +39,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts go for want of words; repeated rows, rows of one id and rows without an id are judged each by
     its own text; own columns of any name and type stay as they are.
     """
-    return quality_rules(alone(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).where("rules.kept").select("row.*")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return apart(docs, lambda d: quality_rules(d, labels).where("rules.kept"), "rules")
 
 
 def row_key(text: Column) -> Column:
@@ -51,20 +56,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     stay, and group with none.  Null and empty texts group with none either.
     """
     known = F.coalesce(F.col("text"), F.lit(""))
-    rows = alone(docs).withColumns({"key": row_key(known), "check": F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("text").isNull().cast("string"), known))})
-    ids = rows.groupBy("key").agg(F.min("doc_id").alias("id"), F.min("check").alias("least"), F.max("check").alias("most"))
+    key, check = row_key(known).alias("key"), F.md5(F.concat_ws("\x1f", F.col("doc_id").cast("string"), F.col("text").isNull().cast("string"), known)).alias("check")
+    ids = staged(docs.select("doc_id", key, check).groupBy("key").agg(F.min("doc_id").alias("id"), F.min("check").alias("least"), F.max("check").alias("most")))
     clash = ids.where("least <> most").select("key")
-    sure = rows.join(clash, "key", "left_anti")
-    parts = ngram_join(sure, "key").select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids.select("key", "id"), "key")
+    some = not clash.isEmpty()
+    light = docs.select(key, "text")
+    parts = ngram_join(light.join(clash, "key", "left_anti") if some else light, "key").select(F.col("doc_id").alias("key"), "component_id").distinct().join(ids.select("key", "id"), "key")
     stays = parts.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("least")).select("least.key")
-    kept = rows.join(stays.unionAll(clash), "key", "left_semi")
+    rows = docs.select(key, check, F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(stays.unionAll(clash) if some else stays, "key", "left_semi")
     order = F.struct(*(F.to_json(F.col(f"row.`{c}`")) if "map<" in kind else F.col(f"row.`{c}`") for c, kind in docs.dtypes))
     return kept.groupBy("key", "check").agg(F.min_by("row", order).alias("row")).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item.  Null and empty texts hold none; repeated rows are judged alike; own columns stay."""
-    return decontaminated(alone(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("row.*")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return apart(docs, lambda d: decontaminated(d, items), "hits")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -73,7 +81,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document without words is never taken, as it adds nothing to a source's words; equal rows are taken alike; a null source is
     one of its own.  Own columns stay.
     """
-    return laid_out(mix(alone(docs))).select("row.*")
+    return apart(docs, lambda d: laid_out(mix(d)), "mix", "_place")
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
