@@ -106,8 +106,8 @@ def kpss(y: np.ndarray) -> tuple[float, float, int]:
     return stat, float(np.interp(stat, KPSS_STATISTICS, KPSS_P_VALUES)), lag
 
 
-def local_level(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Filtered and smoothed level and the smoothed standard error; the variance ratio maximises the concentrated likelihood."""
+def local_level(y: np.ndarray, ratio: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Filtered and smoothed level and the smoothed standard error; without a variance ratio, that of the greatest concentrated likelihood."""
     n = len(y)
 
     def run(ratio: float):
@@ -123,10 +123,10 @@ def local_level(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         return (n - 1) * log(max(sigma, 1e-300)) + logs, level, p, sigma
 
     low, high, golden = -12.0, 6.0, (sqrt(5) - 1) / 2
-    for _ in range(60):
+    for _ in range(60 if ratio is None else 0):
         a, b = high - golden * (high - low), low + golden * (high - low)
         low, high = (low, b) if run(exp(a))[0] < run(exp(b))[0] else (a, high)
-    ratio = exp((low + high) / 2)
+    ratio = exp((low + high) / 2) if ratio is None else ratio
     _, level, p, sigma = run(ratio)
     smooth, variance = level.copy(), p.copy()
     for k in range(n - 2, -1, -1):
@@ -134,3 +134,68 @@ def local_level(y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         smooth[k] += gain * (smooth[k + 1] - level[k])
         variance[k] += gain**2 * (variance[k + 1] - p[k] - ratio)
     return level, smooth, np.sqrt(np.maximum(variance * sigma, 0))
+
+
+def level_variance(ratio: np.ndarray, k: int) -> np.ndarray:
+    """The local-level filter's variance (of noise one) after row k >= 0: it depends on no value and soon stands still."""
+    p = np.ones_like(ratio)
+    for _ in range(k):
+        q = (p + ratio) / (p + ratio + 1)
+        if (q == p).all():
+            break
+        p = q
+    return p
+
+
+def level_map(y: np.ndarray, first: int, ratio: np.ndarray) -> np.ndarray:
+    """What rows first ... of a series do to the filter's level L, for each ratio: a, c, q0, q1, q2, logs.
+
+    L becomes a L + c; the squared errors over their variances are q0 - 2 q1 L + q2 L^2, and logs is the sum of log variances.
+    """
+    a, c = np.ones_like(ratio), np.zeros_like(ratio)
+    q0, q1, q2, logs = (np.zeros_like(ratio) for _ in range(4))
+    p = level_variance(ratio, first - 1) if first else np.ones_like(ratio)
+    for k, v in enumerate(y):
+        if first + k == 0:
+            a, c = np.zeros_like(ratio), np.full_like(ratio, v)
+            continue
+        f = p + ratio + 1
+        miss = v - c
+        q0, q1, q2, logs = q0 + miss**2 / f, q1 + miss * a / f, q2 + a**2 / f, logs + np.log(f)
+        p = (f - 1) / f
+        a, c = a * (1 - p), c + p * miss
+    return np.stack([a, c, q0, q1, q2, logs])
+
+
+def level_rows(y: np.ndarray, first: int, ratio: float, level: float) -> tuple[np.ndarray, np.ndarray]:
+    """Filtered levels and variances (of noise one) of rows first ..., from the level before them."""
+    out, variance = np.empty(len(y)), np.empty(len(y))
+    p = float(level_variance(np.array([ratio]), first - 1)[0]) if first else 1.0
+    for k, v in enumerate(y):
+        if first + k == 0:
+            level = v
+        else:
+            p = (p + ratio) / (p + ratio + 1)
+            level = level + p * (v - level)
+        out[k], variance[k] = level, p
+    return out, variance
+
+
+def level_smoothed(level: np.ndarray, variance: np.ndarray, ratio: float, after: float, after_variance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Smoothed levels and variances of rows, from those of the row after them (NaN: none is)."""
+    smooth, var = level.copy(), variance.copy()
+    for k in range(len(level) - 1, -1, -1):
+        if after == after:
+            gain = variance[k] / (variance[k] + ratio)
+            smooth[k] += gain * (after - level[k])
+            var[k] += gain**2 * (after_variance - variance[k] - ratio)
+        after, after_variance = smooth[k], var[k]
+    return smooth, var
+
+
+def level_back(level: np.ndarray, variance: np.ndarray, ratio: float) -> np.ndarray:
+    """a, c, b, d, s, v: the first row's smoothed level is a x + c and its variance b x + d of those of the row after the last; s and v if none is."""
+    gain = variance / (variance + ratio)
+    s0, v0 = level_smoothed(level, variance, ratio, 0.0, 0.0)
+    s, v = level_smoothed(level, variance, ratio, np.nan, np.nan)
+    return np.array([gain.prod(), s0[0], (gain**2).prod(), v0[0], s[0], v[0]])

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import known
 from ..kernels import stationarity as tests
+from ..sources import kept
 from . import slabs
 
 
@@ -81,3 +82,93 @@ def trend_report(df: DataFrame, keys: list[str], order: str, value: str, window:
     counts = trends.groupBy(*keys).agg(F.count("*").alias("n_windows"), F.count_if("significant").alias("n_significant"))
     last = last_significant(trends, keys).select(*keys, F.col("centre").alias("last_centre"), F.col("slope").alias("last_slope"))
     return stationarity(df, keys, order, value, alpha).join(counts, keys, "left").join(last, keys, "left")
+
+
+#: Ratios tried at once, and rounds of narrowing, of a long series' variance ratio: 18 / 16**9 is left of its logarithm's range.
+GRID, ROUNDS = 33, 9
+
+
+def level_series(df: DataFrame, keys: list[str], order: str, value: str, ratio: float | None = None, parts: int | None = None) -> DataFrame:
+    """keys, order, value, filtered, smoothed, stderr: the local-level model's series, a row for each known value.
+
+    ratio is the level's variance over the noise's; without one each series gets that of the greatest likelihood.  A series of more
+    rows than a task may hold (slabs.parts_for) is cut into slabs: the filter is an affine map of the level in each, the
+    errors' sum a quadratic one, so a likelihood is a sum over slabs; smoothing hands states back from slab to slab.
+    """
+    rows = df.select(*keys, order, known(value).alias(value)).where(F.col(value).isNotNull())
+    parts = slabs.parts_for(rows, keys, parts)
+    if parts:
+        return _level_slabs(rows, keys, order, value, ratio, parts)
+    one = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, value))).alias("_s"))
+
+    @F.pandas_udf("struct<f:array<double>,s:array<double>,e:array<double>>")
+    def run(values: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([tests.local_level(np.array(v, float), ratio) for v in values], columns=["f", "s", "e"])
+
+    one = one.withColumn("_r", run(F.transform("_s", lambda r: r[value])))
+    return _level_rows(one.select(*keys, "_s", "_r.*"), keys, order, value)
+
+
+def _level_rows(series: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
+    rows = series.select(*keys, F.explode(F.arrays_zip("_s", "f", "s", "e")).alias("z"))
+    return rows.select(*keys, f"z._s.{order}", f"z._s.{value}", F.col("z.f").alias("filtered"), F.col("z.s").alias("smoothed"), F.col("z.e").alias("stderr"))
+
+
+def _level_slabs(rows: DataFrame, keys: list[str], order: str, value: str, ratio: float | None, parts: int) -> DataFrame:
+    starts = lambda sizes: list(np.cumsum([0.0, *(s[0] for s in sizes)])[:-1, None])
+    cut = kept(slabs.handed_on(slabs.gathered(rows, keys, order, value, parts), keys, "_at", lambda v: [len(v)], starts, "_v"))
+    span = cut.select(*keys).distinct().withColumns({"_lo": F.array(F.lit(-12.0)), "_hi": F.array(F.lit(6.0))})
+    if ratio is not None:
+        span = span.withColumns({c: F.array(F.lit(float(np.log(ratio)))) for c in ("_lo", "_hi")})
+    for _ in range(ROUNDS if ratio is None else 0):
+        tried = lambda v, at, lo, hi: tests.level_map(v, int(at[0]), np.exp(np.linspace(lo[0], hi[0], GRID))).ravel()
+        each = slabs._same(cut, span, keys).select("_range", *keys, "_lo", "_hi", slabs._applied(tried, "_v", "_at", "_lo", "_hi").alias("_a"), F.size("_v").alias("_n"))
+        series = each.groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list(F.struct("_range", "_a"))).alias("_l"), F.sum("_n").alias("_n"))
+
+        @F.pandas_udf("array<double>")
+        def narrowed(lists: pd.Series, n: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+            out = []
+            for maps, k, a, b in zip(lists, n, lo, hi, strict=True):
+                level, total, logs = np.zeros(GRID), np.zeros(GRID), np.zeros(GRID)
+                for m in maps:
+                    p, c, q0, q1, q2, g = np.array(m, float).reshape(6, GRID)
+                    total, logs, level = total + q0 - 2 * q1 * level + q2 * level**2, logs + g, p * level + c
+                cost = (k - 1) * np.log(np.maximum(total / max(k - 1, 1), 1e-300)) + logs
+                best, grid = int(np.argmin(cost)), np.linspace(a[0], b[0], GRID)
+                out.append([grid[max(best - 1, 0)], grid[min(best + 1, GRID - 1)]])
+            return pd.Series(out)
+
+        found = series.select(*keys, narrowed(F.transform("_l", lambda r: r["_a"]), "_n", "_lo", "_hi").alias("_z"))
+        span = kept(found.select(*keys, F.array(F.col("_z")[0]).alias("_lo"), F.array(F.col("_z")[1]).alias("_hi")))
+    cut = slabs._same(cut, span.select(*keys, F.array(F.exp((F.col("_lo")[0] + F.col("_hi")[0]) / 2)).alias("_q")), keys)
+
+    def levels(maps: list[np.ndarray]) -> list[np.ndarray]:
+        before, level, total, n = [], 0.0, 0.0, 0.0
+        for a, c, q0, q1, q2, _, size in maps:
+            before.append(level)
+            total, level, n = total + q0 - 2 * q1 * level + q2 * level**2, a * level + c, n + size
+        return [np.array([x, total / max(n - 1, 1)]) for x in before]
+
+    cut = slabs.handed_on(cut, keys, "_l", lambda v, at, q: [*tests.level_map(v, int(at[0]), q)[:, 0], len(v)], levels, "_v", "_at", "_q")
+
+    def handed_back(maps: list[np.ndarray]) -> list[np.ndarray]:
+        out, state = [], np.array([np.nan, np.nan])
+        for a, c, b, d, s, v in reversed(maps):
+            out.append(state)
+            state = np.array([s, v]) if np.isnan(state[0]) else np.array([a * state[0] + c, b * state[1] + d])
+        return out[::-1]
+
+    back = lambda v, at, q, state: tests.level_back(*tests.level_rows(v, int(at[0]), q[0], state[0]), q[0])
+    cut = slabs.handed_on(cut, keys, "_b", back, handed_back, "_v", "_at", "_q", "_l")
+
+    @F.pandas_udf("struct<f:array<double>,s:array<double>,e:array<double>>")
+    def run(v: pd.Series, at: pd.Series, q: pd.Series, level: pd.Series, after: pd.Series) -> pd.DataFrame:
+        out = []
+        for y, first, ratio_, (before, sigma), (s, w) in zip(v, at, q, level, after, strict=True):
+            filtered, variance = tests.level_rows(np.array(y, float), int(first[0]), ratio_[0], before)
+            smooth, var = tests.level_smoothed(filtered, variance, ratio_[0], s, w)
+            out.append((filtered, smooth, np.sqrt(np.maximum(var * sigma, 0))))
+        return pd.DataFrame(out, columns=["f", "s", "e"])
+
+    cut = cut.withColumn("_r", run("_v", "_at", "_q", "_l", "_b"))
+    return _level_rows(cut.select(*keys, "_s", "_r.*"), keys, order, value)

@@ -116,3 +116,20 @@ def test_distances_and_persistence_in_ranges(spark):
     assert math.isclose(x, y, rel_tol=1e-12)
     z = slabs.running(a, ["g"], ["t"], {"c": "v"}, 23)
     close(table(z, ["g", "t", "c"]), table(slabs.running(a, ["g"], ["t"], {"c": "v"}, 0), ["g", "t", "c"]))
+
+
+def test_level_series_in_slabs(spark):
+    r = random.Random(9)
+    rows = []
+    for key, n in (("hot", 300), ("b", 40), ("c", 2)):
+        level = 0.0
+        for t in range(n):
+            level += r.gauss(0, 0.4)
+            rows.append((key, t, None if t % 17 == 5 else level + r.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(4)
+    columns = ["k", "t", "v", "filtered", "smoothed", "stderr"]
+    close(table(trend.level_series(df, ["k"], "t", "v", 0.3, parts=9), columns), table(trend.level_series(df, ["k"], "t", "v", 0.3, parts=0), columns))
+    hot = df.where("k <> 'c'")  # of two values the likelihood has no single top
+    got, want = (table(trend.level_series(hot, ["k"], "t", "v", parts=p), columns) for p in (7, 0))
+    assert len(got) == len(want) == len([x for x in rows if x[0] != "c" and x[2] is not None])
+    assert all(math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-6) for x, y in zip(got, want, strict=True) for a, b in zip(x[3:], y[3:], strict=True))
