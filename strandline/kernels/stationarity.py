@@ -59,7 +59,7 @@ def _ols(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
 def adf(y: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int]:
     """Augmented Dickey-Fuller with a constant: statistic, MacKinnon p-value and the lag with the least AIC."""
     n = len(y)
-    most = min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2) if max_lag is None else max_lag
+    most = most_lags(n) if max_lag is None else max_lag
     if most < 0 or np.ptp(y) == 0:
         return float("nan"), float("nan"), 0
     d = np.diff(y)
@@ -78,12 +78,78 @@ def adf(y: np.ndarray, max_lag: int | None = None) -> tuple[float, float, int]:
     x, target = design(best[1], best[1])
     w, error, _ = _ols(x, target)
     stat = w[0] / error[0] if error[0] > 0 else float("-inf")
+    return float(stat), adf_p(stat), best[1]
+
+
+def adf_p(stat: float) -> float:
+    """MacKinnon's p-value of the statistic with a constant."""
     if stat > ADF_MOST:
-        return stat, 1.0, best[1]
+        return 1.0
     if stat < ADF_LEAST:
-        return stat, 0.0, best[1]
+        return 0.0
     z = sum(c * stat**k for k, c in enumerate(ADF_SMALL if stat <= ADF_SPLIT else ADF_LARGE))
-    return float(stat), 0.5 * (1 + erf(z / sqrt(2))), best[1]
+    return 0.5 * (1 + erf(z / sqrt(2)))
+
+
+def most_lags(n: int) -> int:
+    return min(int(np.ceil(12 * (n / 100) ** 0.25)), n // 2 - 2)
+
+
+def adf_gram(y: np.ndarray, halo: int, first: int, most: int) -> np.ndarray:
+    """Sums over rows of products of (y, 1, the `most` differences before, the difference), of the differences that end in y[halo:].
+
+    y begins with up to most + 1 values ahead of its own, which are rows first ... of the series.  Rows with fewer differences before are left out.
+    """
+    d = np.diff(y)
+    ends = np.arange(max(halo, 1), len(y))
+    ends = ends[first - halo + ends >= most + 1]
+    r = ends - 1
+    z = np.stack([y[r], np.ones(len(r)), *(d[r - k] for k in range(1, most + 1)), d[r]], axis=1) if len(r) else np.zeros((0, most + 3))
+    return z.T @ z
+
+
+def adf_from_gram(gram: np.ndarray, head: np.ndarray, most: int) -> tuple[float, float, int]:
+    """adf() from all rows' adf_gram() and the series' first most + 1 values."""
+    rows = gram[1, 1]
+
+    def fit(m: np.ndarray, lag: int) -> tuple[np.ndarray, np.ndarray, float]:
+        x, b, yy = m[: lag + 2, : lag + 2], m[: lag + 2, -1], m[-1, -1]
+        inverse = np.linalg.pinv(x)
+        w = inverse @ b
+        return w, inverse, max(float(yy - w @ b), 0.0)
+
+    costs = []
+    for lag in range(most + 1):
+        rss = fit(gram, lag)[2]
+        costs.append(rows * (log(max(rss, 1e-300) / rows) + 1 + log(2 * np.pi)) + 2 * (lag + 2))
+    best = int(np.argmin(costs))
+    keep = [*range(best + 2), -1]
+    m = gram[np.ix_(keep, keep)] + adf_gram(head, 0, 0, best)
+    w, inverse, rss = fit(m, best)
+    error = sqrt(max(float(inverse[0, 0]), 0.0) * rss / max(m[1, 1] - best - 2, 1))
+    stat = float(w[0] / error) if error > 0 else float("-inf")
+    return stat, adf_p(stat), best
+
+
+def lag_sums(e: np.ndarray, halo: int, most: int) -> np.ndarray:
+    """Sums of e[t] * e[t - k], k = 0 .. most, over t after the first `halo` values."""
+    return np.array([e[halo:] @ e[halo - k : len(e) - k] if k <= halo else e[k:] @ e[: len(e) - k] for k in range(most + 1)])
+
+
+def kpss_lag(sums: np.ndarray, n: int) -> int:
+    """The lag of Hobijn et al. (1998) from sums of products at lags 0 .. n^(2/9)."""
+    s0, s1 = sums[0] / n, 0.0
+    for k in range(1, int(n ** (2 / 9)) + 1):
+        s0, s1 = s0 + 2 * sums[k] / n, s1 + 2 * k * sums[k] / n
+    return min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 else 0
+
+
+def kpss_from_sums(squares: float, sums: np.ndarray, n: int) -> tuple[float, float, int]:
+    """kpss() from the sum of squared running sums, and sums of products at lags 0 .. kpss_lag()."""
+    lag = len(sums) - 1
+    variance = sums[0] / n + sum(2 * (1 - k / (lag + 1)) * sums[k] / n for k in range(1, lag + 1))
+    stat = float(squares / n**2 / variance)
+    return stat, float(np.interp(stat, KPSS_STATISTICS, KPSS_P_VALUES)), lag
 
 
 def kpss(y: np.ndarray) -> tuple[float, float, int]:

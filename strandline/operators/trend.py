@@ -52,11 +52,16 @@ def last_significant(trends: DataFrame, keys: list[str]) -> DataFrame:
     return last.select(*keys, "m.*")
 
 
-def stationarity(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.05, level: bool = True) -> DataFrame:
+def stationarity(df: DataFrame, keys: list[str], order: str, value: str, alpha: float = 0.05, level: bool = True, parts: int | None = None) -> DataFrame:
     """keys, n, adf, adf_p, adf_lag, kpss, kpss_p, kpss_lag, stationary and, where stationary, the local-level model's last state.
 
-    stationary: ADF rejects a unit root and KPSS does not reject a level.  Missing values are left out; a series is one task's row.
+    stationary: ADF rejects a unit root and KPSS does not reject a level.  Missing values are left out.  A series of more rows than
+    a task may hold (slabs.parts_for) is cut into slabs, whose sums of products at all lags add up; it has no level states
+    here (see level_series).
     """
+    parts = slabs.parts_for(df, keys, parts)
+    if parts:
+        return _stationary_slabs(df, keys, order, value, alpha, parts)
     one = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(order, value))), lambda r: r[value].cast("double")).alias("v"))
 
     @F.pandas_udf("struct<adf:double,adf_p:double,adf_lag:long,kpss:double,kpss_p:double,kpss_lag:long,level:double,smoothed:double,level_stderr:double>")
@@ -76,6 +81,81 @@ def stationarity(df: DataFrame, keys: list[str], order: str, value: str, alpha:
     return out.withColumn("stationary", (F.col("adf_p") < alpha) & (F.col("kpss_p") >= alpha))
 
 
+def _stationary_slabs(df: DataFrame, keys: list[str], order: str, value: str, alpha: float, parts: int) -> DataFrame:
+    rows = df.select(*keys, order, known(value).alias(value)).where(F.col(value).isNotNull())
+    starts = lambda sizes: list(np.cumsum([0.0, *(s[0] for s in sizes)])[:-1, None])
+    cut = slabs.handed_on(slabs.gathered(rows, keys, order, value, parts), keys, "_at", lambda v: [len(v)], starts, "_v")
+    whole = rows.groupBy(*keys).agg(F.array(F.count(value).cast("double"), F.avg(value)).alias("_w"))
+    cut = slabs._same(cut, whole, keys)
+    cut = kept(cut.withColumn("_v", F.transform("_v", lambda x: x - F.col("_w")[1])))
+
+    def tails(v: np.ndarray, most: int) -> np.ndarray:
+        return np.concatenate([[most], v[len(v) - min(len(v), most) :]])
+
+    def halos(ends: list[np.ndarray]) -> list[np.ndarray]:
+        out, last = [], np.zeros(0)
+        for t in ends:
+            out.append(last)
+            last = np.concatenate([last, t[1:]])
+            last = last[len(last) - min(len(last), int(t[0])) :]
+        return out
+
+    def added(name: str, of, *columns: str) -> DataFrame:
+        """keys, name: arrays of(columns) of the slabs, added up, by blocks of ranges first."""
+        part = with_halo.select("_range", *keys, slabs._applied(of, *columns).alias("_a"))
+        total = _applied_sum()
+        for block in (F.floor(F.col("_range") / 64), F.lit(0)):
+            lists = part.groupBy(block.alias("_b"), *keys).agg(F.collect_list(F.struct("_range", "_a")).alias("_l"))
+            part = lists.select(F.col("_b").alias("_range"), *keys, total(F.transform(F.sort_array("_l"), lambda r: r["_a"])).alias("_a"))
+        return part.select(*keys, F.col("_a").alias(name))
+
+    lags = lambda w: max(tests.most_lags(int(w[0])), 0)
+    with_halo = slabs.handed_on(cut, keys, "_h", lambda v, w: tails(v, lags(w) + 1), halos, "_v", "_w")
+    gram = added("_g", lambda v, h, at, w: tests.adf_gram(np.concatenate([h, v]), len(h), int(at[0]), lags(w)).ravel(), "_v", "_h", "_at", "_w")
+    # the first values, as far as they are in a slab: later fits start before all lags are known
+    first = added("_first", lambda v, at, w: np.where((at[0] <= (k := np.arange(lags(w) + 1))) & (k < at[0] + len(v)), v[np.clip(k - int(at[0]), 0, len(v) - 1)], 0.0), "_v", "_at", "_w")
+    # running sums from a slab's start, and what has been summed before it
+    cover = lambda w: int(w[0] ** (2 / 9))
+    with_halo = slabs.handed_on(cut, keys, "_h", lambda v, w: tails(v, cover(w)), halos, "_v", "_w")
+    near = added("_near", lambda v, h, w: tests.lag_sums(np.concatenate([h, v]), len(h), cover(w)), "_v", "_h", "_w")
+
+    @F.pandas_udf("array<double>")
+    def lag_of(near: pd.Series, w: pd.Series) -> pd.Series:
+        return pd.Series([[float(tests.kpss_lag(np.array(s, float), int(x[0])))] for s, x in zip(near, w, strict=True)])
+
+    lag = kept(slabs._same(near, whole, keys).select(*keys, lag_of("_near", "_w").alias("_lag")))
+    cut = slabs._same(cut, lag, keys)
+    with_halo = slabs.handed_on(cut, keys, "_h", lambda v, k: tails(v, int(k[0])), halos, "_v", "_lag")
+    far = added("_far", lambda v, h, k: tests.lag_sums(np.concatenate([h, v]), len(h), int(k[0])), "_v", "_h", "_lag")
+    with_halo = slabs.handed_on(cut, keys, "_in", lambda v: [v.sum()], lambda sums: list(np.cumsum([0.0, *(s[0] for s in sums)])[:-1, None]), "_v")
+    squares = added("_q", lambda v, s: [((np.cumsum(v) + s[0]) ** 2).sum()], "_v", "_in")
+    one = whole
+    for part in (gram, first, far, squares):
+        one = slabs._same(one, part, keys)
+
+    @F.pandas_udf("struct<adf:double,adf_p:double,adf_lag:long,kpss:double,kpss_p:double,kpss_lag:long,level:double,smoothed:double,level_stderr:double>")
+    def report(w: pd.Series, gram: pd.Series, first: pd.Series, far: pd.Series, squares: pd.Series) -> pd.DataFrame:
+        out = []
+        for x, g, head, s, q in zip(w, gram, first, far, squares, strict=True):
+            n, most, s = int(x[0]), tests.most_lags(int(x[0])), np.array(s, float)
+            flat = s[0] <= 1e-24 * n * max(x[1] ** 2, 1e-300)
+            a = (np.nan, np.nan, 0) if most < 0 or flat else tests.adf_from_gram(np.array(g, float).reshape(most + 3, most + 3), np.array(head, float), most)
+            k = (np.nan, np.nan, 0) if n < 3 or flat else tests.kpss_from_sums(q[0], s, n)
+            out.append((*a, *k, None, None, None))
+        return pd.DataFrame(out, columns=["adf", "adf_p", "adf_lag", "kpss", "kpss_p", "kpss_lag", "level", "smoothed", "level_stderr"])
+
+    out = one.select(*keys, F.col("_w")[0].cast("long").alias("n"), report("_w", "_g", "_first", "_far", "_q").alias("r")).select(*keys, "n", "r.*")
+    return out.withColumn("stationary", (F.col("adf_p") < alpha) & (F.col("kpss_p") >= alpha))
+
+
+def _applied_sum():
+    @F.pandas_udf("array<double>")
+    def total(lists: pd.Series) -> pd.Series:
+        return pd.Series([np.sum([np.array(a, float) for a in one], axis=0) for one in lists])
+
+    return total
+
+
 def trend_report(df: DataFrame, keys: list[str], order: str, value: str, window: int = 50, alpha: float = 0.05) -> DataFrame:
     """stationarity() with the number of significant windows and the last one."""
     trends = rolling_trend(df, keys, [order], value, window, alpha)

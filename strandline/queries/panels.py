@@ -433,6 +433,28 @@ def trend_significance(spark, d):
     return trend.last_significant(out, ["country"]).select("country", "centre", rounded("slope").alias("slope"), rounded("p").alias("p"))
 
 
+# the filter forward and the smoother backward, row by row
+_LEVEL = f"""WITH RECURSIVE {SERIES}, s AS (SELECT country, date, value, row_number() OVER (PARTITION BY country ORDER BY date) AS k, count(*) OVER (PARTITION BY country) AS n FROM series),
+f AS (SELECT country, date, value, k, n, value AS l, 1.0::DOUBLE AS p, 0.0::DOUBLE AS total FROM s WHERE k = 1
+  UNION ALL SELECT s.country, s.date, s.value, s.k, s.n, f.l + (f.p + 0.5) / (f.p + 1.5) * (s.value - f.l), (f.p + 0.5) / (f.p + 1.5), f.total + (s.value - f.l) ** 2 / (f.p + 1.5) FROM f JOIN s ON s.country = f.country AND s.k = f.k + 1),
+b AS (SELECT country, date, value, k, n, l, l AS m, p AS v FROM f WHERE k = n
+  UNION ALL SELECT f.country, f.date, f.value, f.k, f.n, f.l, f.l + f.p / (f.p + 0.5) * (b.m - f.l), f.p + (f.p / (f.p + 0.5)) ** 2 * (b.v - f.p - 0.5) FROM b JOIN f ON f.country = b.country AND f.k = b.k - 1)"""
+
+
+@query(f"""{_LEVEL} SELECT b.country, b.date, {r("b.l")} AS filtered, {r("b.m")} AS smoothed, {r("sqrt(b.v * e.total / (e.n - 1))")} AS stderr FROM b JOIN f e ON e.country = b.country AND e.k = e.n""")
+def trend_level_fixed(spark, d):
+    """The local-level model with a given variance ratio."""
+    out = trend.level_series(series(spark, d), ["country"], "date", "value", 0.5)
+    return out.select("country", "date", *(rounded(c).alias(c) for c in ("filtered", "smoothed", "stderr")))
+
+
+@query()
+def trend_level_series(spark, d):
+    """The local-level model of the greatest likelihood."""
+    out = trend.level_series(series(spark, d), ["country"], "date", "value")
+    return out.select("country", "date", *(rounded(c).alias(c) for c in ("filtered", "smoothed", "stderr")))
+
+
 @query()
 def trend_stationarity(spark, d):
     out = trend.trend_report(series(spark, d), ["country"], "date", "value")

@@ -133,3 +133,18 @@ def test_level_series_in_slabs(spark):
     got, want = (table(trend.level_series(hot, ["k"], "t", "v", parts=p), columns) for p in (7, 0))
     assert len(got) == len(want) == len([x for x in rows if x[0] != "c" and x[2] is not None])
     assert all(math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-6) for x, y in zip(got, want, strict=True) for a, b in zip(x[3:], y[3:], strict=True))
+
+
+def test_stationarity_from_sums_of_slabs(spark):
+    r = random.Random(11)
+    rows, walk, noise = [], 0.0, 0.0
+    for t in range(500):
+        walk, noise = walk + r.gauss(0, 1), 0.5 * noise + r.gauss(0, 1)
+        rows += [("walk", t, walk), ("noise", t, 7 + noise)] + ([("short", t, noise), ("flat", t, 3.0)] if t < 30 else [])
+    df = spark.createDataFrame(rows, "k string, t int, v double").repartition(4)
+    one, cut = ({x.k: x for x in trend.stationarity(df, ["k"], "t", "v", level=False, parts=p).collect()} for p in (0, 12))
+    assert one.keys() == cut.keys() and not one["walk"].stationary and one["noise"].stationary
+    for k in one:
+        for c in ("n", "adf", "adf_p", "adf_lag", "kpss", "kpss_p", "kpss_lag", "stationary"):
+            u, v = one[k][c], cut[k][c]
+            assert u == v or (u != u and v != v) or math.isclose(u, v, rel_tol=1e-6, abs_tol=1e-9), (k, c, u, v)
