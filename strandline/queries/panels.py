@@ -331,7 +331,20 @@ query(_CURVE_COPY)(_tenor("cubic_spline"))
 query(_CURVE_COPY)(_tenor("monotone_spline"))
 
 
-@query()
+# the monotone spline: slopes at knots are weighted harmonic means of the secants beside them, three-point ones at the ends
+_END = "CASE WHEN ((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}) * {s0} <= 0 THEN 0 WHEN {s0} * {s1} <= 0 AND abs(((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1})) > 3 * abs({s0}) THEN 3 * {s0} ELSE ((2 * {h0} + {h1}) * {s0} - {h0} * {s1}) / ({h0} + {h1}) END"
+_PCHIP = f"""WITH {PANEL}, k1 AS (SELECT date, country, tenor AS x, value AS y, row_number() OVER w AS i, count(*) OVER (PARTITION BY date, country) AS n, lead(tenor) OVER w - tenor AS h, (lead(value) OVER w - value) / (lead(tenor) OVER w - tenor) AS s FROM panel WINDOW w AS (PARTITION BY date, country ORDER BY tenor)),
+k2 AS (SELECT *, lag(h) OVER w AS hb, lag(s) OVER w AS sb, lead(h) OVER w AS hn, lead(s) OVER w AS sn, lag(h, 2) OVER w AS hbb, lag(s, 2) OVER w AS sbb FROM k1 WINDOW w AS (PARTITION BY date, country ORDER BY x)),
+k3 AS (SELECT *, CASE WHEN n = 1 THEN NULL WHEN n = 2 THEN coalesce(s, sb) WHEN i = 1 THEN {_END.format(h0="h", h1="hn", s0="s", s1="sn")} WHEN i = n THEN {_END.format(h0="hb", h1="hbb", s0="sb", s1="sbb")}
+  WHEN sb * s > 0 THEN (3 * h + 3 * hb) / ((2 * h + hb) / sb + (h + 2 * hb) / s) ELSE 0 END AS d FROM k2),
+piece AS (SELECT date, country, i, n, x, y, h, d, lead(y) OVER w AS y1, lead(d) OVER w AS d1 FROM k3 WINDOW w AS (PARTITION BY date, country ORDER BY x)),
+grid AS (SELECT DISTINCT date, country, t::DOUBLE AS tenor FROM panel, unnest(range(1, 11)) g(t)),
+cell AS (SELECT grid.*, value, (SELECT count(*) FROM panel p WHERE p.date = grid.date AND p.country = grid.country AND p.tenor <= grid.tenor) AS c FROM grid LEFT JOIN panel USING (date, country, tenor)),
+u AS (SELECT cell.*, y, y1, h, d, d1, (cell.tenor - x) / h AS u, n FROM cell LEFT JOIN piece ON piece.date = cell.date AND piece.country = cell.country AND piece.i = least(greatest(c, 1), n - 1))
+SELECT date, country, tenor, {r("coalesce(value, y * (1 + 2 * u) * (1 - u) ** 2 + h * d * u * (1 - u) ** 2 + y1 * u ** 2 * (3 - 2 * u) + h * d1 * u ** 2 * (u - 1))")} AS smooth FROM u"""
+
+
+@query(_PCHIP)
 def curve_gap_fill(spark, d):
     """A whole grid of tenors for each curve: missing ones by the interpolating spline."""
     p = panel(spark, d)
@@ -427,7 +440,19 @@ def trend_rolling(spark, d):
     return out.select("country", "date", "start", "centre", rounded("slope").alias("slope"), rounded("stderr").alias("stderr"))
 
 
-@query()
+def _series_p(dof: int) -> str:
+    """SQL of the two-sided p-value of t for an even number of degrees of freedom: a finite series in cos^2 = dof / (dof + t^2)."""
+    out = "1"
+    for k in range(dof // 2 - 1, 0, -1):
+        out = f"(1 + {2 * k - 1}.0 / {2 * k} * (dof / (dof + t * t)) * {out})"
+    return f"1 - abs(t) / sqrt(dof + t * t) * {out}".replace("dof", str(float(dof)))
+
+
+@query(f"""WITH {SERIES}, n AS (SELECT *, row_number() OVER (PARTITION BY country ORDER BY date) AS k FROM series),
+w AS (SELECT country, k, regr_slope(value, k) OVER f AS slope, regr_r2(value, k) OVER f AS r2, var_pop(value) OVER f AS v FROM n WINDOW f AS (PARTITION BY country ORDER BY date ROWS BETWEEN 49 PRECEDING AND CURRENT ROW)),
+t AS (SELECT country, k - 25 AS centre, slope, slope / sqrt(v * 50 * (1 - r2) / 48 / (50 * 2499 / 12.0)) AS t FROM w WHERE k >= 50),
+p AS (SELECT *, {_series_p(48)} AS p FROM t)
+SELECT country, max(centre) AS centre, {r("arg_max(slope, centre)")} AS slope, {r("arg_max(p, centre)")} AS p FROM p WHERE p < 0.05 GROUP BY country""")
 def trend_significance(spark, d):
     out = trend.rolling_trend(series(spark, d), ["country"], ["date"], "value")
     return trend.last_significant(out, ["country"]).select("country", "centre", rounded("slope").alias("slope"), rounded("p").alias("p"))

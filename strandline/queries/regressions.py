@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rounded
 from ..operators import compare, constraints, postprocess, regression, windows
+from ..sources import read_table, scratch, write_report
 from .base import REGRESSION, WIDE, WIDE_X, Registry, panel, r, regression_rows, table, wide_rows
 
 query = Registry()
@@ -645,3 +646,25 @@ def reg_wide_grams(spark, d):
     g = _wide_grams(spark, d)
     parts = {"g11": g.xx[0], "g14": g.xx[3], "g77": g.xx[27], "b1": g.xy[0], "b7": g.xy[6]}
     return g.select("window_id", *KEYS, *(rounded(c, 3).alias(k) for k, c in parts.items()))
+
+
+# tables out and in --------------------------------------------------------------------------------------------------------
+
+
+@query(f"{_WITH}, s AS (SELECT *, 1 - ss_res / (ss_tot + 1e-10) AS r2 FROM sc) SELECT country, {_ROLL} FROM s GROUP BY country")
+def report_by_country(spark, d):
+    """The fit report written as CSV folders, and its table by country read again."""
+    scores = regression.fit_scores(_solved(spark, d), 2, ["window_id", *KEYS])
+    path = scratch(spark)
+    write_report(regression.fit_report(scores, "country", "tenor", ["F", "O"]), path)
+    back = read_table(spark, f"{path}/by_country", "csv", "country string, n long, mean_r2 double, std_r2 double, min_r2 double, max_r2 double, overall_r2 double")
+    return _rolled(back, ["country"])
+
+
+@query(f"SELECT count(*) AS n, count(value) AS n_known, {r('sum(value)', 2)} AS total FROM (SELECT CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events)")
+def source_nan_to_null(spark, d):
+    """A table written with NaN for every seventh value, read as one with NULL."""
+    path = scratch(spark)
+    table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value")).write.parquet(path)
+    back = read_table(spark, path)
+    return back.agg(F.count("*").alias("n"), F.count("value").alias("n_known"), rounded(F.sum("value"), 2).alias("total"))

@@ -43,16 +43,21 @@ def kept(df: DataFrame) -> DataFrame:
 
     Where none is named an own folder serves, under a local master only.  What was written goes when the driver ends.
     """
-    spark = df.sparkSession
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder (see kept); what is written there goes when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or (_own and _own[0])
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own.append(folder := tempfile.mkdtemp(prefix="strandline-"))
     path = f"{folder}/strandline/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def _remove(spark: SparkSession, path: str) -> None:
