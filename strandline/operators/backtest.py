@@ -17,14 +17,15 @@ def confidence(df: DataFrame, actual: str, predicted: str, by: list[str] | None
     return out.withColumn("adjusted", F.col(predicted) * F.col("leverage")).drop("_top")
 
 
-def portfolio_returns(weights: DataFrame, returns: DataFrame, date: str, asset: str, weight: str = "weight", ret: str = "ret", cost: float = 0.0002, from_zero: bool = True) -> DataFrame:
+def portfolio_returns(weights: DataFrame, returns: DataFrame, date: str, asset: str, weight: str = "weight", ret: str = "ret", cost: float = 0.0002, from_zero: bool = True, parts: int | None = None) -> DataFrame:
     """date, gross, turnover_cost and net: sum of weight * return less cost * sum |weight - weight before|.
 
     The weight before an asset's first date is 0, or with from_zero False its own first weight.
     """
     both = weights.select(date, asset, weight).join(returns.select(date, asset, ret), [date, asset])
-    before = F.lag(weight).over(Window.partitionBy(asset).orderBy(date))
-    both = both.withColumn("_b", F.coalesce(before, F.lit(0.0) if from_zero else F.col(weight)))
+    before = lambda by: F.lag(weight).over(Window.partitionBy(*by).orderBy(date))
+    first = F.lit(0.0) if from_zero else F.col(weight)
+    both = slabs.in_slabs(both, [asset], [date], lambda d, by: d.withColumn("_b", F.coalesce(before(by), first)), 1, parts=parts)
     out = both.groupBy(date).agg(F.sum(F.col(weight) * F.col(ret)).alias("gross"), (F.sum(F.abs(F.col(weight) - F.col("_b"))) * cost).alias("turnover_cost"))
     return out.withColumn("net", F.col("gross") - F.col("turnover_cost"))
 

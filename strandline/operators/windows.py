@@ -126,18 +126,26 @@ def counter(df: DataFrame, keys: list[str], order: list[str], out: str = "time_i
     return with_row_number(df, order, keys, out)
 
 
-def make_windows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], size: int, horizon: int, target: str) -> DataFrame:
+def make_windows(df: DataFrame, keys: list[str], order: list[str], columns: list[str], size: int, horizon: int, target: str, parts: int | None = None) -> DataFrame:
     """keys, order, x (array of `size` structs, oldest first) and y (the target horizon rows on); full windows with a target only."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    x = F.collect_list(F.struct(*columns)).over(w.rowsBetween(-(size - 1), 0))
-    out = df.withColumn("x", x).withColumn("y", F.lead(target, horizon).over(w)).withColumn("_ahead", F.lead(F.lit(1), horizon).over(w))
-    return out.where((F.size("x") == size) & F.col("_ahead").isNotNull()).select(*keys, *order, "x", "y")
+    from . import slabs
+
+    def sampled(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        x = F.collect_list(F.struct(*columns)).over(w.rowsBetween(-(size - 1), 0))
+        return d.withColumn("_x", x).withColumn("_y", F.lead(target, horizon).over(w)).withColumn("_ahead", F.lead(F.lit(1), horizon).over(w))
+
+    out = slabs.in_slabs(df, keys, order, sampled, size - 1, horizon, parts)
+    return out.where((F.size("_x") == size) & F.col("_ahead").isNotNull()).select(*keys, *order, F.col("_x").alias("x"), F.col("_y").alias("y"))
 
 
-def forward_context(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, pad: float = 0.0) -> DataFrame:
+def forward_context(df: DataFrame, keys: list[str], order: list[str], value: str, length: int, pad: float = 0.0, parts: int | None = None) -> DataFrame:
     """context: the values of this and the following rows, up to `length`, padded; context_length: how many are real."""
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, length - 1)
-    out = df.withColumn("context", F.collect_list(F.coalesce(known(value), F.lit(pad))).over(w)).withColumn("context_length", F.size("context"))
+    from . import slabs
+
+    ahead = lambda by: Window.partitionBy(*by).orderBy(*order).rowsBetween(0, length - 1)
+    out = slabs.in_slabs(df, keys, order, lambda d, by: d.withColumn("context", F.collect_list(F.coalesce(known(value), F.lit(pad))).over(ahead(by))), after=length - 1, parts=parts)
+    out = out.withColumn("context_length", F.size("context"))
     return out.withColumn("context", F.concat("context", F.array_repeat(F.lit(pad), F.lit(length) - F.col("context_length"))))
 
 
@@ -149,16 +157,26 @@ def lead_lag_embedding(df: DataFrame, keys: list[str], order: list[str], value:
     return slabs.in_slabs(df, keys, order, lambda d, by: d.withColumn("lag1", F.coalesce(before(by), F.col(value))), 1, parts=parts)
 
 
-def shifted(df: DataFrame, keys: list[str], order: list[str], value: str, k: int, out: str = "shifted") -> DataFrame:
+def shifted(df: DataFrame, keys: list[str], order: list[str], value: str, k: int, out: str = "shifted", parts: int | None = None) -> DataFrame:
     """The value k rows before (behind, if negative), 0 beyond the ends."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.lag(value, k, 0.0).over(w) if k >= 0 else F.lead(value, -k, 0.0).over(w))
+    from . import slabs
 
+    def moved(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return d.withColumn(out, F.lag(value, k, 0.0).over(w) if k >= 0 else F.lead(value, -k, 0.0).over(w))
 
-def local_derivative(df: DataFrame, keys: list[str], order: list[str], x: str, y: str) -> DataFrame:
+    return slabs.in_slabs(df, keys, order, moved, max(k, 0), max(-k, 0), parts)
+
+
+def local_derivative(df: DataFrame, keys: list[str], order: list[str], x: str, y: str, parts: int | None = None) -> DataFrame:
     """slope: dy / dx to the next row (NULL where x stays) and remainder: y next - (y + slope * dx); the last row is dropped."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    out = df.withColumn("_dx", F.lead(x).over(w) - F.col(x)).withColumn("_y1", F.lead(y).over(w)).where("_y1 IS NOT NULL AND _dx IS NOT NULL")
+    from . import slabs
+
+    def stepped(d: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy(*order)
+        return d.withColumn("_dx", F.lead(x).over(w) - F.col(x)).withColumn("_y1", F.lead(y).over(w))
+
+    out = slabs.in_slabs(df, keys, order, stepped, after=1, parts=parts).where("_y1 IS NOT NULL AND _dx IS NOT NULL")
     out = out.withColumn("slope", F.try_divide(F.col("_y1") - F.col(y), F.col("_dx")))
     return out.withColumn("remainder", F.col("_y1") - (F.col(y) + F.col("slope") * F.col("_dx"))).drop("_dx", "_y1")
 

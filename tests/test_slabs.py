@@ -50,6 +50,10 @@ def test_windows_over_rows(series):
             (lambda p: trend.rolling_trend(series, ["k"], ["t"], "v", 5, parts=p), ["k", "t", "start", "centre", "slope", "stderr", "p", "significant"]),
             (lambda p: backtest.rolling_sharpe(series.where("NOT isnan(v)"), ["k"], ["t"], "v", 30, parts=p), ["k", "t", "rolling_sharpe", "time_to_target"]),
             (lambda p: windows.lead_lag_embedding(series, ["k"], ["t"], "v", parts=p).na.fill(0.0), ["k", "t", "lag1"]),
+            (lambda p: windows.shifted(series.na.fill(0.0), ["k"], ["t"], "v", -40, parts=p), ["k", "t", "shifted"]),
+            (lambda p: windows.local_derivative(series, ["k"], ["t"], "t", "v", parts=p), ["k", "t", "slope", "remainder"]),
+            (lambda p: windows.forward_context(series, ["k"], ["t"], "v", 9, parts=p).withColumn("s", F.aggregate("context", F.lit(0.0), lambda a, x: 2 * a + x)), ["k", "t", "context_length", "s"]),
+            (lambda p: windows.make_windows(series.na.fill(0.0), ["k"], ["t"], ["v"], 6, 3, "v", parts=p).withColumn("s", F.aggregate("x", F.lit(0.0), lambda a, x: 2 * a + x.v)), ["k", "t", "s", "y"]),
             (lambda p: smoothing.roughness(series, ["k"], ["t"], "v", parts=p), ["k", "n_valid", "roughness", "variance", "mean_abs_change", "volatility", "rms_second", "autocorr_lag1"]),
         ):
             nan = lambda rows: [tuple(None if isinstance(x, float) and math.isnan(x) else x for x in row) for row in rows]
